@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import cutoff, splitting
+from . import cutoff, replies, splitting
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (splitting, cutoff):
+for _module in (replies, splitting, cutoff):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
