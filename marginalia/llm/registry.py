@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import cutoff, replies, sentences, splitting
+from . import boilerplate, cutoff, replies, sentences, splitting
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (replies, sentences, splitting, cutoff):
+for _module in (replies, boilerplate, sentences, splitting, cutoff):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
