@@ -37,7 +37,7 @@ _SENTENCE_END = re.compile(r"[.!?…:;,][»”\"’)]*$")
 
 # fixed values: names of a site's own pages, and labels of its buttons and footers
 _LABELS = frozenset(
-    """home blog contact|contact us|about us|about|teachers|search|forum|faq|library|sign up|downloads|my account|log in|login|lessons|calendar|courses|help|pricing|imprint|terms of use|terms|accessibility statement|accessibility|privacy policy|privacy|follow us|back to top|sitemap|site map|contact the webmaster|built with a static site tool|skip to content|menu|read more|continue reading|edit this page|next|previous|accept all|reject|reject all|got it|ok|only necessary|manage preferences|settings|you are not logged in|subscribe|newsletter
+    """home|blog|contact|contact us|about us|about|teachers|search|forum|faq|library|sign up|downloads|my account|log in|login|lessons|calendar|courses|help|pricing|imprint|terms of use|terms|accessibility statement|accessibility|privacy policy|privacy|follow us|back to top|sitemap|site map|contact the webmaster|built with a static site tool|skip to content|menu|read more|continue reading|edit this page|next|previous|accept all|reject|reject all|got it|ok|only necessary|manage preferences|settings|you are not logged in|subscribe|newsletter
 accueil|à propos|contact|enseignants|rechercher|bibliothèque|inscription|téléchargements|mon compte|connexion|leçons|agenda|cours|aide|tarifs|mentions légales|accessibilité|accessibilité : non conforme|politique de confidentialité|suivez-nous|haut de page|plan du site|écrire au webmestre|site réalisé avec un outil statique|aller au contenu|lire la suite|modifier cette page|suivant|précédent|tout accepter|refuser|tout refuser|j’ai compris|continuer sans accepter|gérer mes choix|vous n’êtes pas connecté|conditions d’utilisation
 startseite|über uns|lehrende|nutzungsbedingungen|nach oben|datenschutz|registrieren|bibliothek|hilfe|kurse|preise|anmelden|lektionen|kontakt|kalender|suche|suchen|mein konto|folgen sie uns|impressum|barrierefreiheit|seitenübersicht|zum inhalt springen|weiterlesen|diese seite bearbeiten|weiter|zurück|alle annehmen|ablehnen|einstellungen|nur notwendige|sie sind nicht angemeldet|verstanden
 inicio|quiénes somos|docentes|ayuda|cursos|buscar|lecciones|entrar|precios|registrarse|biblioteca|contacto|descargas|mi cuenta|calendario|aviso legal|política de privacidad|volver arriba|mapa del sitio|síganos|foro|saltar al contenido|leer más|seguir leyendo|editar esta página|siguiente|anterior|aceptar todo|solo necesarias|rechazar|configurar|entendido|no ha iniciado sesión|términos de uso|accesibilidad""".replace("\n", "|").split("|")
@@ -107,12 +107,12 @@ def _bar_score(text: str) -> float:
             return 1.0
         if _CRUMBS.match(text) and _is_label(_TRAIL.split(text)[0]):
             return 0.9
-    # buttons in a row with single blanks
-    rest = text.lower()
-    for label in sorted((x for x in _LABELS if x in rest), key=len, reverse=True):
-        rest = rest.replace(label, " ")
-    if len(text) < 120 and not rest.strip(" |·"):
-        return 1.0
+    if len(text) < 120 and not _SENTENCE_END.search(text):  # buttons in a row with single blanks
+        rest = text.lower()
+        for label in sorted((x for x in _LABELS if x in rest), key=len, reverse=True):
+            rest = rest.replace(label, " ")
+        if not rest.strip(" |·"):
+            return 1.0
     return 0.0
 
 
