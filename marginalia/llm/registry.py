@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import boilerplate, cutoff, replies, sentences, splitting
+from . import boilerplate, cutoff, markup, replies, sentences, splitting
 
 QUERIES: dict = {}
 ORACLES: dict = {}
