@@ -6,6 +6,6 @@ from . import boilerplate, cutoff, markup, replies, sentences, splitting
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (replies, boilerplate, sentences, splitting, cutoff):
+for _module in (replies, boilerplate, markup, splitting, cutoff, sentences):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
