@@ -6,9 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import search
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+for _module in (search,):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Hybrid retrieval with reranking, lifted to sections with citation labels."""
+    return QUERIES["retrieve_rerank"](spark, sf_dir)
