@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import search
+from . import documents, fixtures, quality, search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _module in (search,):
+for _module in (search, documents, quality, fixtures):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
 
