@@ -34,9 +34,13 @@ def is_refusal(answer: Column, message: str = REFUSAL_MESSAGE) -> Column:
 
 
 def relevance(gold: Column, hit: Column) -> Column:
-    """Largest share of words that a hit has in common with a gold passage."""
-    h = T.word_set(hit)
-    return F.coalesce(F.array_max(F.transform(F.coalesce(gold, F.array().cast("array<string>")), lambda g: T.overlap_ratio(T.word_set(g), h))), F.lit(0.0))
+    """Largest share of words that a hit has in common with a gold passage, both given as sets of
+    words; make the sets once per text, before texts meet."""
+    return F.coalesce(F.array_max(F.transform(F.coalesce(gold, F.array().cast("array<array<string>>")), lambda g: T.overlap_ratio(g, hit))), F.lit(0.0))
+
+
+def gold_words(gold: Column) -> Column:
+    return F.transform(F.coalesce(gold, F.array().cast("array<string>")), lambda g: T.word_set(g))
 
 
 def ranking(hits: DataFrame, k: int = 4, config: EngineConfig = DEFAULT) -> DataFrame:

@@ -7,7 +7,8 @@ in which partitions arrive.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
 from ..functions import text as T
+from ..session import spread
+
+QUERIES_A_SLICE = 20_000  # questions whose inverted list is sent at once
 
 
 def ranked(lists: DataFrame, k: int, by: tuple[str, ...] = ("qid",), item: str = "child_id", score: str = "score") -> DataFrame:
@@ -33,45 +37,127 @@ def postings(docs: DataFrame, key: str = "child_id", text: str = "text") -> Data
     return t.select(key, F.size("_t").alias("dl"), F.explode("_t").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
-def term_stats(docs: DataFrame, posted: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
+def term_stats(docs: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
     """(term, df, idf) with the negative weights of very common terms raised to a share of the mean."""
-    n = docs.agg(F.count("*").alias("n"))
-    df = posted.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.withColumn("raw", F.log(F.lit(n.first()["n"]) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    n = docs.count()
+    df = docs.select(F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    raw = df.withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("m")).first()["m"]
     floor = config.bm25_epsilon * (mean if mean is not None else 0.0)
     return raw.select("term", "df", F.when(F.col("raw") < 0, F.lit(floor)).otherwise(F.col("raw")).alias("idf"))
 
 
+def _query_slices(queries: DataFrame, most: int) -> Iterator[list]:
+    """The questions (qid, question, t) in lists of about `most`, each collected by itself."""
+    q = queries.select(F.col("qid").cast("long").alias("qid"), T.tokens(F.col("question")).alias("t")).where(F.size("t") > 0)
+    n = -(-q.count() // most)
+    for i in range(n):
+        yield (q if n == 1 else q.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == i)).collect()
+
+
+def _best(parts: list[pd.DataFrame], k: int, key: str) -> pd.DataFrame:
+    """The k best rows of each question among several lists."""
+    return pd.concat(parts, ignore_index=True).sort_values(["qid", "score", key], ascending=[True, False, True], kind="stable").groupby("qid", sort=False).head(k)
+
+
+def _sparse_topk(docs: DataFrame, queries: DataFrame, k: int, key: str, weight_of: Callable[[DataFrame], DataFrame] | None, k1: float, b: float, avgdl: float) -> DataFrame:
+    """The k best texts of each question by summed term weights: BM25 with `weight_of` (term -> idf),
+    else the cosine of counts.
+
+    A slice of questions becomes an inverted list by term, sent to the executors; its size is
+    bounded by the slice. Each task scores its texts in blocks against all questions of the slice
+    and keeps k rows a question, so neither term matches nor scores are ever shuffled.
+    """
+    schema = f"qid long, {key} string, score double"
+    texts = spread(docs.where(F.col("text").isNotNull()).select(F.col(key).alias("k"), F.array_join(T.tokens(F.col("text")), " ").alias("t")))
+    out = None
+    for rows in _query_slices(queries, QUERIES_A_SLICE):
+        qids = np.array([r["qid"] for r in rows], dtype=np.int64)
+        terms: dict[str, dict[int, int]] = {}
+        for i, r in enumerate(rows):
+            for w in r["t"]:
+                at = terms.setdefault(w, {})
+                at[i] = at.get(i, 0) + 1
+        vocabulary = {w: j for j, w in enumerate(terms)}
+        lens = np.array([len(x) for x in terms.values()], dtype=np.int64)
+        starts = np.concatenate([[0], np.cumsum(lens)[:-1]]).astype(np.int64) if len(lens) else np.zeros(0, np.int64)
+        q_of = np.array([i for x in terms.values() for i in x], dtype=np.int64)
+        times = np.array([n for x in terms.values() for n in x.values()], dtype=np.float64)
+        weights = np.ones(len(vocabulary))
+        if weight_of is not None:
+            asked = docs.sparkSession.createDataFrame([(w,) for w in vocabulary], "term string")
+            for r in weight_of(asked).collect():
+                weights[vocabulary[r["term"]]] = r["idf"]
+        norms = np.sqrt(np.bincount(q_of, times * times, minlength=len(qids)))
+        sent = docs.sparkSession.sparkContext.broadcast((qids, vocabulary, lens, starts, q_of, times, weights, norms))
+
+        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            qids, vocabulary, lens, starts, q_of, times, weights, norms = sent.value
+            n_q = len(qids)
+            per_block = max(1, min(1000, 4_000_000 // max(1, n_q)))
+            best: pd.DataFrame | None = None
+            for pdf in batches:
+                pdf = pdf.sort_values("k", kind="stable")
+                keys, all_texts = pdf["k"].to_numpy(), pdf["t"].tolist()
+                parts: list[pd.DataFrame] = [] if best is None else [best]
+                for lo in range(0, len(keys), per_block):
+                    block = all_texts[lo : lo + per_block]
+                    d, t, w = [], [], []
+                    for i, text in enumerate(block):
+                        words = text.split(" ") if text else []
+                        counts = Counter(words)
+                        if weight_of_is_idf:
+                            bend = k1 * (1 - b + b * len(words) / avgdl)
+                        else:
+                            length = sum(n * n for n in counts.values()) ** 0.5
+                        for word, n in counts.items():
+                            j = vocabulary.get(word)
+                            if j is not None:
+                                d.append(i)
+                                t.append(j)
+                                w.append(weights[j] * n * (k1 + 1) / (n + bend) if weight_of_is_idf else n / length)
+                    if not d:
+                        continue
+                    da, ta, wa = np.array(d, dtype=np.int64), np.array(t, dtype=np.int64), np.array(w)
+                    reps = lens[ta]
+                    first = np.repeat(starts[ta] - np.concatenate([[0], np.cumsum(reps)[:-1]]), reps)
+                    at = first + np.arange(int(reps.sum()))
+                    flat = q_of[at] * len(block) + np.repeat(da, reps)
+                    score = np.bincount(flat, np.repeat(wa, reps) * times[at], minlength=n_q * len(block)).reshape(n_q, len(block))
+                    met = np.bincount(flat, minlength=n_q * len(block)).reshape(n_q, len(block)) > 0
+                    score = np.round(score if weight_of_is_idf else score / norms[:, None], 6)
+                    score[~met] = -np.inf
+                    top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                    got = np.take_along_axis(score, top, axis=1)
+                    row, col = np.nonzero(np.isfinite(got))
+                    parts.append(pd.DataFrame({"qid": qids[row], key: keys[lo + top[row, col]], "score": got[row, col]}))
+                if parts:
+                    best = _best(parts, k, key)
+            yield best if best is not None else pd.DataFrame({"qid": [], key: [], "score": []}).astype({"qid": "int64", key: "object", "score": "float64"})
+
+        weight_of_is_idf = weight_of is not None
+        hits = texts.mapInPandas(run, schema)
+        out = hits if out is None else out.unionByName(hits)
+    if out is None:
+        return docs.sparkSession.createDataFrame([], schema + ", rank int")
+    return ranked(out, k, item=key)
+
+
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int | None = None, config: EngineConfig = DEFAULT, key: str = "child_id", source_type: str | None = None) -> DataFrame:
     """Okapi scores of every text that shares a term with a question; the k best of each.
 
     `queries`: qid, question; a term asked twice counts twice. Statistics always cover all texts;
-    `source_type` only filters the results. Query terms meet postings by term: the sides are joined
-    by size, and the sums are combined before they move.
+    `source_type` only filters the results.
     """
-    posted = postings(docs, key)
-    stats = term_stats(docs, posted, config)
+    stats = term_stats(docs, config)
     avgdl = docs.agg(F.avg(F.size(T.tokens(F.col("text")))).alias("a")).first()["a"] or 1.0
-    k1, b = config.bm25_k1, config.bm25_b
-    asked = queries.select("qid", F.explode(T.tokens(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
-    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(float(avgdl))))
-    weighted = posted.join(stats, "term").select(key, "term", weight.alias("w"))
-    scores = asked.join(weighted, "term").groupBy("qid", key).agg(F.round(F.sum(F.col("w") * F.col("times")), 6).alias("score"))
-    if source_type is not None:
-        scores = scores.join(docs.where(F.col("source_type") == source_type).select(key), key, "left_semi")
-    return ranked(scores, k or config.bm25_k, item=key)
+    pool = docs if source_type is None else docs.where(F.col("source_type") == source_type)
+    return _sparse_topk(pool, queries, k or config.bm25_k, key, lambda asked: stats.join(asked, "term").select("term", "idf"), config.bm25_k1, config.bm25_b, float(avgdl))
 
 
 def cosine_topk(docs: DataFrame, queries: DataFrame, k: int | None = None, config: EngineConfig = DEFAULT, key: str = "child_id") -> DataFrame:
     """The offline dense channel: cosine of term counts."""
-    norm = lambda df, by: df.groupBy(by).agg(F.sqrt(F.sum(F.col("tf").cast("double") * F.col("tf"))).alias("norm"))
-    d = postings(docs, key)
-    q = postings(queries, "qid", "question").select("qid", "term", F.col("tf").alias("qtf"))
-    dots = q.join(d, "term").groupBy("qid", key).agg(F.sum(F.col("qtf") * F.col("tf")).cast("double").alias("dot"))
-    qn = q.groupBy("qid").agg(F.sqrt(F.sum(F.col("qtf").cast("double") * F.col("qtf"))).alias("qn"))
-    scored = dots.join(norm(d, key), key).join(qn, "qid").select("qid", key, F.round(F.col("dot") / (F.col("norm") * F.col("qn")), 6).alias("score"))
-    return ranked(scored, k or config.dense_k, item=key)
+    return _sparse_topk(docs, queries, k or config.dense_k, key, None, 0.0, 0.0, 1.0)
 
 
 # ---- dense vectors ---------------------------------------------------------------------------
@@ -127,7 +213,7 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str =
                 best = best.sort_values(["qid", "score", key], ascending=[True, False, True], kind="stable").groupby("qid", sort=False).head(k)
             yield best if best is not None else pd.DataFrame({"qid": [], key: [], "score": []}).astype({"qid": "int64", key: "int64", "score": "float64"})
 
-        hits = vectors.select(F.col(key).cast("long").alias("k"), F.col(embedding).alias("e")).mapInPandas(near, schema)
+        hits = spread(vectors).select(F.col(key).cast("long").alias("k"), F.col(embedding).alias("e")).mapInPandas(near, schema)
         found = hits if found is None else found.unionByName(hits)
     return ranked(found, k, item=key)
 

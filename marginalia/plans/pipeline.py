@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
+from ..functions import text as T
 from ..operators import citations, metrics, providers, replies
 from ..operators import retrieval as R
 
@@ -66,8 +67,9 @@ def evaluate(answers: DataFrame, goldens: DataFrame, hits: DataFrame, k: int = 4
     """
     wanted = F.col("category") == "unanswerable"
     j = goldens.join(answers.select("qid", "answer"), "qid").withColumn("made", metrics.is_refusal(F.col("answer"))).withColumn("wanted", wanted)
-    scored = hits.join(goldens.where(F.coalesce(~wanted, F.lit(True))).select("qid", "gold_context"), "qid")
-    r = metrics.ranking(scored.select("qid", "rank", metrics.relevance(F.col("gold_context"), F.col("text")).alias("relevance"), F.size("gold_context").alias("n_gold")), k, config)
+    gold = goldens.where(F.coalesce(~wanted, F.lit(True))).select("qid", metrics.gold_words(F.col("gold_context")).alias("gold"))
+    scored = hits.select("qid", "rank", T.word_set(F.col("text")).alias("hit")).join(gold, "qid")
+    r = metrics.ranking(scored.select("qid", "rank", metrics.relevance(F.col("gold"), F.col("hit")).alias("relevance"), F.size("gold").alias("n_gold")), k, config)
     all_ = j.join(r, "qid", "left")
     count = lambda c: F.sum(F.coalesce(c.cast("long"), F.lit(0).cast("long")))
     known = F.col("category").isNotNull()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import citations, goldens, metrics
-from ..session import table
+from ..session import spread, table
 from . import sql as Q
 
 
@@ -37,9 +37,10 @@ def refusal_confusion(spark, d):
 
 
 def relevance(spark, d):
-    h = _hits(spark, d).join(_parents(spark, d).select("parent_id", "text"), "parent_id")
-    gold = _results(spark, d).select(F.col("result_id").alias("qid"), "contexts")
-    return h.join(gold, "qid").select("qid", "rank", F.round(metrics.relevance(F.col("contexts"), F.col("text")), 6).alias("relevance"), F.size(F.coalesce("contexts", F.array().cast("array<string>"))).alias("n_gold"))
+    words = _parents(spark, d).select("parent_id", T.word_set(F.col("text")).alias("hit"))
+    gold = spread(_results(spark, d)).select(F.col("result_id").alias("qid"), metrics.gold_words(F.col("contexts")).alias("gold"))
+    h = _hits(spark, d).join(words, "parent_id")
+    return h.join(gold, "qid").select("qid", "rank", F.round(metrics.relevance(F.col("gold"), F.col("hit")), 6).alias("relevance"), F.size("gold").alias("n_gold"))
 
 
 def ranking(spark, d):

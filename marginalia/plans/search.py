@@ -31,7 +31,7 @@ def _lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
 
 def term_stats(spark, d):
     c = chunks(spark, d)
-    return R.term_stats(c, R.postings(c)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return R.term_stats(c).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def doc_lengths(spark, d):
