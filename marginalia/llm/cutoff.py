@@ -58,43 +58,53 @@ def _weighted_median(value: str, weight: str) -> F.Column:
     return F.aggregate(pairs, start, lambda a, p: F.struct(F.when(a["v"].isNull() & ((a["s"] + p["w"]) * 2 >= total), p["v"]).otherwise(a["v"]).alias("v"), (a["s"] + p["w"]).alias("s")))["v"]
 
 
-def _settled(df: DataFrame, small: bool) -> DataFrame:
-    """The state of a round, cut from its plan: through the driver if the number of sources was
-    checked to be small, else through the shared checkpoint folder."""
-    return df.sparkSession.createDataFrame(df.collect(), df.schema) if small else cut_lineage(df)
-
-
 def quickselect_cutoffs(scores: DataFrame, ranks: DataFrame) -> DataFrame:
     """(g, cutoff): for each source g, its score of rank `k` from the top (1-based).
 
     `scores`: g, score in [0, 1]. `ranks`: g, k with 1 <= k <= records of g. Each round discards
     at least a quarter of a source's open records, so rounds grow with the logarithm of the rows.
     """
-    small = ranks.count() <= STATE_ROWS
     # open interval (lo, hi) holds the answer; `over` counts records at or above hi
     state = ranks.select("g", "k", F.lit(-1.0).alias("lo"), F.lit(2.0).alias("hi"), F.lit(0.5).alias("pivot"), F.lit(0).cast("long").alias("over"), F.lit(None).cast("double").alias("cutoff"))
-    state = _settled(state, small)
-    done = state.where("false").select("g", "cutoff")
+    if ranks.count() > STATE_ROWS:
+        return _rounds_apart(scores, state)
+    spark, schema = scores.sparkSession, state.schema
+    rows, done = state.collect(), []
+    while rows:
+        rows = _round(scores, F.broadcast(spark.createDataFrame(rows, schema))).collect()  # at most STATE_ROWS rows, as checked
+        done += [(r["g"], r["cutoff"]) for r in rows if r["cutoff"] is not None]
+        rows = [r for r in rows if r["cutoff"] is None]
+    return spark.createDataFrame(done, "g string, cutoff double")
+
+
+def _rounds_apart(scores: DataFrame, state: DataFrame) -> DataFrame:
+    """The same rounds for more sources than the driver should hold; states stay in the shared folder."""
+    state, done = cut_lineage(state), None
     while not state.isEmpty():
-        reports = scores.join(state.select("g", "lo", "hi", "pivot"), "g").mapInPandas(_report, _REPORT)
-        merged = reports.groupBy("g").agg(
-            F.sum("n_above").alias("a"), F.sum("n_at").alias("e"), _weighted_median("med_above", "n_above").alias("next_above"), _weighted_median("med_below", "n_below").alias("next_below")
-        )
-        r = F.col("k") - F.col("over")
-        up, down = r <= F.col("a"), r > F.col("a") + F.col("e")
-        stepped = state.join(merged, "g").select(
-            "g",
-            "k",
-            F.when(up, F.col("pivot")).otherwise(F.col("lo")).alias("lo"),
-            F.when(down, F.col("pivot")).otherwise(F.col("hi")).alias("hi"),
-            F.when(up, F.col("next_above")).otherwise(F.col("next_below")).alias("pivot"),
-            F.when(down, F.col("over") + F.col("a") + F.col("e")).otherwise(F.col("over")).alias("over"),
-            F.when(~up & ~down, F.col("pivot")).alias("cutoff"),
-        )
-        stepped = _settled(stepped, small)
-        done = _settled(done.unionByName(stepped.where("cutoff is not null").select("g", "cutoff")), small)
+        stepped = cut_lineage(_round(scores, state))
+        settled = stepped.where("cutoff is not null").select("g", "cutoff")
+        done = settled if done is None else done.unionByName(settled)
         state = stepped.where("cutoff is null")
-    return done
+    return done if done is not None else state.select("g", "cutoff")
+
+
+def _round(scores: DataFrame, state: DataFrame) -> DataFrame:
+    """One round: reports of all partitions, merged, and each source's interval halved about."""
+    reports = scores.join(state.select("g", "lo", "hi", "pivot"), "g").mapInPandas(_report, _REPORT)
+    merged = reports.groupBy("g").agg(
+        F.sum("n_above").alias("a"), F.sum("n_at").alias("e"), _weighted_median("med_above", "n_above").alias("next_above"), _weighted_median("med_below", "n_below").alias("next_below")
+    )
+    r = F.col("k") - F.col("over")
+    up, down = r <= F.col("a"), r > F.col("a") + F.col("e")
+    return state.join(merged, "g").select(
+        "g",
+        "k",
+        F.when(up, F.col("pivot")).otherwise(F.col("lo")).alias("lo"),
+        F.when(down, F.col("pivot")).otherwise(F.col("hi")).alias("hi"),
+        F.when(up, F.col("next_above")).otherwise(F.col("next_below")).alias("pivot"),
+        F.when(down, F.col("over") + F.col("a") + F.col("e")).otherwise(F.col("over")).alias("over"),
+        F.when(~up & ~down, F.col("pivot")).alias("cutoff"),
+    )
 
 
 def _source() -> F.Column:
