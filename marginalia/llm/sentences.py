@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import spread, table
 
 CHUNK = 16_384
 SLACK = 8  # characters by which later edits may have changed a wrapped line
@@ -159,6 +159,8 @@ def _ends_sentence(text: str, m: re.Match, nxt: str, spaced: bool) -> bool:
             return False  # an initial
         if nxt.islower() or nxt.isdigit():
             return low == "д"
+        if re.match(r"\s*[^\W\d_]\.", text[m.end() : m.end() + 8]):
+            return low == "д"  # one more letter of an abbreviation follows
         return low == "д" or not re.search(r"(?:^|\W)\w\.\s*\w$", before)
     if word.isdigit() and len(word) <= 3 and _ORDINAL.search(before):
         return False
@@ -427,7 +429,7 @@ def sentence_units(docs: DataFrame) -> DataFrame:
     chunk) and then the chunks themselves move, so one huge document is spread over all tasks.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    short = docs.where(F.length("text") <= CHUNK).mapInPandas(_short, UNITS)
+    short = spread(docs.where(F.length("text") <= CHUNK)).mapInPandas(_short, UNITS)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunks = _chunks(docs.where(F.length("text") > CHUNK)).repartition(n, "doc_id", "chunk_no")
     functions = chunks.mapInPandas(_functions, "doc_id long, chunk_no int, f array<int>")
