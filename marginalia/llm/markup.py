@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import spread, table
 from .boosting import BoostedTrees
 
 SAMPLE_ROWS = 1_000
@@ -455,7 +455,7 @@ def fit(texts: DataFrame, rows: int = SAMPLE_ROWS) -> BoostedTrees:
     for name in ("parents", "extracted_documents"):
         part = texts.where(F.col("record_table") == name)
         share = min(1.0, 1.5 * rows / max(1, part.count()))  # so that no task sends the driver more than its share
-        part = part.select((F.xxhash64("record_key") / 2.0**64 + 0.5).alias("h"), F.substring("body", 1, 20_000).alias("body")).where(F.col("h") <= share)
+        part = part.select((F.xxhash64("record_key") / 2.0**64 + 0.5).alias("h"), "body").where(F.col("h") <= share)
         sample += [r.body for r in part.orderBy("h").limit(rows).select("body").collect()]
     return BoostedTrees().fit(*training_rows(sample))
 
@@ -473,7 +473,7 @@ def found_in(texts: DataFrame, model: BoostedTrees) -> DataFrame:
                     rows += [(name, key, f) for f in sorted({_FAMILY[n.kind] for n, y in zip(nodes, take) if y})]
             yield pd.DataFrame(rows, columns=["record_table", "record_key", "markup"])
 
-    return texts.mapInPandas(run, "record_table string, record_key string, markup string").distinct()
+    return spread(texts).mapInPandas(run, "record_table string, record_key string, markup string").distinct()
 
 
 def cleaned(texts: DataFrame, model: BoostedTrees) -> DataFrame:
