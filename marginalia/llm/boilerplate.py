@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.links import host as host_of
 from ..session import table
 
 PRIOR = 3.0  # pages' worth of the all-hosts average in a host's vote
@@ -236,7 +237,7 @@ CANDIDATE = "document_id long, host string, line_no long, path long, score doubl
 
 
 def _host(url: str) -> F.Column:
-    return F.regexp_replace(F.lower(F.coalesce(F.parse_url(url, F.lit("HOST")), F.lit("?"))), "^www\\.", "")
+    return F.coalesce(F.nullif(host_of(F.col(url)), F.lit("")), F.lit("?"))  # an address that can't be read has a host of its own
 
 
 def candidates(pages: DataFrame) -> DataFrame:
