@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 LONGEST = 200_000  # characters encoded at once; longer texts are encoded line by line group
 
@@ -52,4 +54,4 @@ def token_sizes(docs: DataFrame, keep: list[str], path: str | None = None) -> Da
         for pdf in batches:
             yield pdf[keep].assign(tokens=[count_tokens(t, path) for t in pdf["text"]])
 
-    return docs.select(*keep, F.col("text")).mapInPandas(run, schema)
+    return spread(docs.select(*keep, F.col("text"))).mapInPandas(run, schema)
