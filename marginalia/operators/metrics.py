@@ -152,7 +152,7 @@ def calibrate(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
     right = F.coalesce(F.sum("u").over(before), F.lit(0)) + F.sum("a").over(whole) - F.coalesce(F.sum("a").over(before), F.lit(0))
     acc = d.withColumn("accuracy", right / (F.sum("u").over(whole) + F.sum("a").over(whole)))
     best = F.max_by(F.struct("score", "accuracy"), F.struct(F.col("accuracy"), -F.col("score")))
-    return acc.groupBy(*by).agg(best.alias("b")).select(*by, F.col("b.score").alias("threshold"), F.col("b.accuracy").alias("accuracy"))
+    return acc.groupBy(*by).agg(best.alias("b")).where("b is not null").select(*by, F.col("b.score").alias("threshold"), F.col("b.accuracy").alias("accuracy"))
 
 
 def gate(hits: DataFrame, queries: DataFrame, threshold: float, active: bool = True) -> DataFrame:
