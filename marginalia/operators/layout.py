@@ -96,8 +96,15 @@ def nearest_figure_above(captions: DataFrame, figures: DataFrame) -> DataFrame:
     return j.select("page_id", "cap_id", F.when(F.col("fb").isNotNull(), F.array(lo(0), lo(1), hi(2), hi(3))).otherwise(padded).alias("box"))
 
 
-CAPTION = r"(?i)^\s*(?:figure|fig\.?|abbildung|abb\.?|figura)\s*\d"
-TABLE_CAPTION = r"(?i)^\s*(?:table|tableau|tabelle|tabla)\b"
+# fixed values: how captions open
+CAPTION = r"(?i)^\s*(figure|table|tableau)\s+[.\dIVX]"
+TABLE_CAPTION = r"(?i)^\s*(table|tableau)\s+[.\dIVX]"
+SUB_CAPTION = r"(?i)^\s*\([a-z]\)"
+
+
+def is_composite(captions: Column) -> Column:
+    """Whether a plate has several lettered parts, which are described one by one."""
+    return F.size(F.filter(F.coalesce(captions, F.array().cast("array<string>")), lambda x: x.rlike(SUB_CAPTION))) >= 2
 
 
 def caption_lines(text: Column) -> Column:

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 # fixed values: endings of files that aren't pages, and what counts as content on known hosts
-BINARY = "png jpg jpeg gif svg webp ico bmp pdf zip gz tar tgz bz2 mp4 mp3 wav avi mov css js json xml ipynb".split()
-CONTENT = {"d2l.ai": r"/chapter_[^/]+/.+\.html$", "atcold.github.io": r"/week\d+/\d+-\d+/?"}
+BINARY = "pdf zip tar gz png jpg jpeg gif svg ico webp ipynb txt css js json xml mp4 webm mp3 woff woff2 ttf eot rst".split()
+CONTENT = {"d2l.ai": r"/chapter_", "atcold.github.io": r"/week\d"}
 
 
 def host(url: Column) -> Column:

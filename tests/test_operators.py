@@ -186,9 +186,10 @@ def test_crawl_budget_and_failures(spark):
 
 
 def test_captions(spark):
-    d = spark.createDataFrame([("Figure 2: x\nTable 1\nFig. 3 y", "fig 3 y", "FIG 3 Y\nab\nabc\nab\n```\nno")], "t string, c string, raw string")
+    d = spark.createDataFrame([("Figure 2: x\nTable 1\nFIGURE 3 y", "figure 3 y", "FIG 3 Y\nab\nabc\nab\n```\nno")], "t string, c string, raw string")
     r = d.select(layout.caption_lines(F.col("t")).alias("l"), layout.find_line(F.split("t", "\n"), F.col("c")).alias("at"), layout.clean_caption(F.col("raw")).alias("k"), layout.insert_figure(F.col("t"), F.col("c"), F.lit("BLOCK")).alias("i")).first()
-    assert r["l"] == ["Figure 2: x", "Fig. 3 y"] and r["at"] == 3 and r["k"] == "FIG 3 Y\nab\nabc" and r["i"].endswith("BLOCK")
+    assert spark.range(1).select(layout.is_composite(F.array(F.lit("(a) x"), F.lit("(b) y"), F.lit("z"))), layout.is_composite(F.array(F.lit("(a) x")))).first()[:] == (True, False)
+    assert r["l"] == ["Figure 2: x", "FIGURE 3 y"] and r["at"] == 3 and r["k"] == "FIG 3 Y\nab\nabc" and r["i"].endswith("BLOCK")
 
 
 def _turns(n):
