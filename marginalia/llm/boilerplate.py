@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.links import host as host_of
-from ..session import table
+from ..session import cut_lineage, table
 
 PRIOR = 3.0  # pages' worth of the all-hosts average in a host's vote
 WINS = 0.5
@@ -271,7 +271,7 @@ def pages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def furniture(pages: DataFrame) -> DataFrame:
     """(document_id, line_no) of lines whose path won its host's vote."""
-    lines = candidates(pages)
+    lines = cut_lineage(candidates(pages))  # pages are read once; votes and result both come from these small rows
     return lines.join(vote(lines), ["host", "path"]).where(F.col("share") >= WINS).select("document_id", "line_no").distinct()
 
 
