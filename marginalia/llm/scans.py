@@ -7,8 +7,11 @@ the largest product of channel and pair likelihoods. Words broken at a line's en
 page numbers are told by their sequence over the pages, and running heads by where they stand and
 recur.
 
-Counts cover all documents. The tables sent to the executors are pruned to the most frequent
-entries (`WORDS_MOST`, `PAIRS_MOST`); the cut is a count found from a histogram, never a sample.
+Counts cover all documents and all words and pairs; nothing is pruned or sampled. Each word form is
+joined with the frequent words one confusion away. A confusion's rate is the share of its
+occurrences that such forms hold, a form counting unless it is seen more often than the rates
+explain. Scanned documents are read in buckets of bounded size; a bucket is sent the counts of the
+words, candidates and pairs that occur in its own lines.
 
 Rows: documents without `source_id`, or with a null or empty text, have no lines; a repeated
 document counts once; line numbers count from 0.
@@ -27,10 +30,11 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, table
 
-WORDS_MOST = 200_000
-PAIRS_MOST = 300_000
-RARE_MOST = 50_000  # rare words from which confusions are estimated
-KNOWN = 3  # occurrences that make a word known, unless confusion explains them
+BUCKET_DOCS = 4_000  # documents a bucket holds at most on average; bounds the memory of a task
+STRONG = 20  # occurrences of a word that others may be misread from
+KNOWN = 3  # occurrences, beyond those that confusion may explain, that make a word known
+ROUNDS = 5  # of the estimation of rates
+REACH = 9.4  # most that the pairs on both sides of a word can favour one candidate over another
 _HYPHENS = "-‐‑­¬"
 _PAGE = re.compile(r"^\s*<!-- loc page=(\d+) -->\s*$")
 # fixed values: confusions known of optical readers, beside those estimated (read wrongly as)
@@ -94,31 +98,80 @@ def _counts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return total.where("b is null").select(F.col("a").alias("word"), "n"), total.where("b is not null")
 
 
-def _most(df: DataFrame, most: int, least: int) -> list:
-    """The rows with the largest n, at most `most`, and none below `least`; ties at the cut fall out."""
-    sizes = df.where(F.col("n") >= least).groupBy(F.floor(F.log2("n") * 16).alias("k")).agg(F.count("*").alias("c"), F.min("n").alias("m")).orderBy(F.desc("k")).collect()  # at most 1024 rows
-    kept, at = 0, None
-    for r in sizes:
-        if kept + r["c"] > most:
-            break
-        kept, at = kept + r["c"], r["m"]
-    return df.where(F.col("n") >= at).collect() if at is not None else []
+def _explained(n: int, expected: float) -> bool:
+    """Whether confusion alone may have made n occurrences of a form."""
+    return n < KNOWN + 2 * expected + 3 * math.sqrt(expected)
+
+
+def _is_listed(op: tuple[str, str]) -> bool:
+    return op in _MULTI or op[1] in _SINGLE.get(op[0], "")
+
+
+def _shares(n: int, near: list[tuple[int, tuple[str, str]]], rate: dict[tuple[str, str], float] | None) -> list[tuple[tuple[str, str], float]]:
+    """n occurrences of a form shared among the confusions (count of the intended word, confusion)
+    that explain it; without rates yet, by those counts, the listed confusions first."""
+    if rate is None:
+        near = [x for x in near if n <= max(KNOWN - 1, x[0] / 100)]
+        near = [x for x in near if _is_listed(x[1])] or near
+        weights = [float(c) for c, _ in near]
+    else:
+        weights = [c * rate.get(op, 0.0) for c, op in near]
+        if not _explained(n, sum(weights)):
+            return []
+    total = sum(weights)
+    return [(op, n * x / total) for (_, op), x in zip(near, weights) if x]
+
+
+def _rates(seen: dict[tuple[str, str], float], shown: dict[str, float]) -> dict[tuple[str, str], float]:
+    """Confusion probabilities from occurrences of misread forms and of what they were read from."""
+    ops = [*[(a, b) for a, bs in _SINGLE.items() for b in bs], *_MULTI, *seen]
+    return {op: (seen.get(op, 0.0) + (0.5 if _is_listed(op) else 0.02)) / max(shown.get(op[0], 0.0), 1000) for op in ops}
+
+
+def _shown(words: dict[str, int]) -> Counter:
+    out: Counter = Counter()
+    for w, n in words.items():
+        for c in w:
+            out[c] += n
+        for right in {right for right, _ in _MULTI if len(right) > 1}:
+            if k := w.count(right):
+                out[right] += n * k
+    return out
+
+
+def _open(w: str) -> bool:
+    return 2 <= len(w) <= 40 and w.isalpha()
+
+
+def _opened(w: str) -> Iterator[tuple[str, str]]:
+    """(the word with one character left open, that character)."""
+    if len(w) <= 40:
+        for i, c in enumerate(w):
+            yield w[:i] + "\0" + w[i + 1 :], c
+
+
+def _replaced(w: str) -> Iterator[tuple[str, tuple[str, str]]]:
+    """(word, confusion) by the confusions of several characters."""
+    for right, wrong in _MULTI:
+        at = w.find(wrong)
+        while at >= 0:
+            yield w[:at] + right + w[at + len(wrong) :], (right, wrong)
+            at = w.find(wrong, at + 1)
 
 
 class Channel:
     """Words, pairs and confusion probabilities."""
 
-    def __init__(self, words: dict[str, int], pairs: dict[tuple[str, str], int], rare: list[str]) -> None:
+    def __init__(self, words: dict[str, int], pairs: dict[tuple[str, str], int], rate: dict[tuple[str, str], float], total: int | None = None) -> None:
         self.words, self.pairs = words, pairs
-        self.total = sum(words.values()) + 1
+        self.total = total or sum(words.values()) + 1
         self.at: dict[str, list[str]] = {}  # a word with one character left open -> words
         for w, n in words.items():
-            if n >= 20 and 2 <= len(w) <= 40 and w.isalpha():
-                for i in range(len(w)):
-                    self.at.setdefault(w[:i] + "\0" + w[i + 1 :], []).append(w)
-        self.rate: dict[tuple[str, str], float] = {}
+            if n >= STRONG and _open(w):
+                for key, _ in _opened(w):
+                    self.at.setdefault(key, []).append(w)
+        self.rate = rate or _rates({}, _shown(words))
         self.cache: dict[str, list[tuple[str, float]]] = {}
-        self._estimate(rare)
 
     def _edits(self, w: str) -> Iterator[tuple[str, tuple[str, str]]]:
         """(word, confusion) that one confusion may have turned into w."""
@@ -126,31 +179,13 @@ class Channel:
             for v in self.at.get(w[:i] + "\0" + w[i + 1 :], ()):
                 if v != w:
                     yield v, (v[i], c)
-        for right, wrong in _MULTI:
-            at = w.find(wrong)
-            while at >= 0:
-                v = w[:at] + right + w[at + len(wrong) :]
-                if self.words.get(v, 0) >= 20:
-                    yield v, (right, wrong)
-                at = w.find(wrong, at + 1)
-
-    def _estimate(self, rare: list[str]) -> None:
-        seen: Counter = Counter()
-        chars: Counter = Counter()
-        for w, n in self.words.items():
-            for c in w:
-                chars[c] += n
-        for w in rare:
-            if len(w) < 4:
-                continue
-            found = {op for v, op in self._edits(w)}
-            listed = [op for op in found if op in _MULTI or op[1] in _SINGLE.get(op[0], "")]
-            for op in listed or list(found)[:1]:
-                seen[op] += 1
-        for a, b in [*[(a, b) for a, bs in _SINGLE.items() for b in bs], *_MULTI, *seen]:
-            known = (a, b) in _MULTI or b in _SINGLE.get(a, "")
-            base = max(chars[a[0]], 1000)
-            self.rate[a, b] = (seen[a, b] + (0.5 if known else 0.02)) / base
+        for v, op in _replaced(w):
+            if self.words.get(v, 0) >= STRONG:
+                yield v, op
+
+    def known(self, low: str) -> bool:
+        n = self.words.get(low, 0)
+        return n >= KNOWN and not _explained(n, sum(self.words[v] * self.rate.get(op, 0.0) for v, op in self._edits(low)))
 
     def candidates(self, word: str) -> list[tuple[str, float]]:
         """(lower-case word, log of its expected number of readings as `word`); the word itself is
@@ -158,23 +193,24 @@ class Channel:
         if word in self.cache:
             return self.cache[word]
         low = word.lower()
-        n = self.words.get(low, 0)
+        n, known = self.words.get(low, 0), self.known(low)
         if "-" in low[1:-1]:
             parts = low.split("-")
-            if n >= KNOWN or all(self.words.get(p, 0) >= KNOWN or not re.search(r"[^\W\d_]", p) for p in parts):
+            if known or all(self.known(p) or not re.search(r"[^\W\d_]", p) for p in parts):
                 self.cache[word] = [(low, math.log(n + 1.0))]
                 return self.cache[word]
         name = word[:1].isupper()
-        out = [(low, math.log(n) if n >= KNOWN else math.log(max(n, 0.0) * 0.05 + (0.05 if name else 0.004)))]
-        if n < 2000 and len(low) >= 2:
+        # a form's own occurrence is no evidence for it
+        out = [(low, math.log(n) if known else math.log(max(n - 1, 0) * 0.05 + (0.05 if name else 0.004)))]
+        if len(low) >= 2:
             best: dict[str, float] = {}
             for v, op in self._edits(low):
-                listed = op in _MULTI or op[1] in _SINGLE.get(op[0], "")
+                listed = _is_listed(op)
                 odd = not word.isalpha() or not word[1:].islower()
                 if not listed and (name and not odd or len(low) < 5 - odd):
                     continue
                 p = self.rate.get(op, 1e-7 if name else 4e-6)
-                if n < KNOWN and not listed:
+                if not known and not listed:
                     p = max(p, 4e-6)
                 best[v] = max(best.get(v, -99.0), math.log(self.words[v] * p + 1e-12))
             if not best and n < KNOWN and len(low) >= 6 and not name:  # two confusions in one word
@@ -191,7 +227,8 @@ class Channel:
         self.cache[word] = out
         return out
 
-    def _listed(self, w: str) -> Iterator[str]:
+    @staticmethod
+    def _listed(w: str) -> Iterator[str]:
         for right, wrongs in _SINGLE.items():
             for wrong in wrongs:
                 at = w.find(wrong)
@@ -199,9 +236,10 @@ class Channel:
                     yield w[:at] + right + w[at + 1 :]
                     at = w.find(wrong, at + 1)
 
-    def pair(self, a: str, b: str) -> float:
-        """Log of how much more likely b is after a than alone, with back-off."""
-        n = self.pairs.get((a, b), 0)
+    def pair(self, a: str, b: str, read: bool = False) -> float:
+        """Log of how much more likely b is after a than alone, with back-off. A pair as read is no
+        evidence for itself."""
+        n = max(self.pairs.get((a, b), 0) - read, 0)
         na, nb = self.words.get(a, 0), self.words.get(b, 0)
         if n == 0 or not na or not nb:
             return -0.7 if na > 200 and nb > 200 else 0.0
@@ -214,8 +252,8 @@ class Channel:
         back: list[list[int]] = []
         for prev, here in zip(lattice, lattice[1:]):
             step, froms = [], []
-            for v, s in here:
-                options = [score[k] + self.pair(u, v) for k, (u, _) in enumerate(prev)]
+            for j, (v, s) in enumerate(here):
+                options = [score[k] + self.pair(u, v, j == k == 0) for k, (u, _) in enumerate(prev)]
                 k = max(range(len(options)), key=options.__getitem__)
                 step.append(options[k] + s)
                 froms.append(k)
@@ -376,12 +414,29 @@ def furniture(lines: list[str]) -> tuple[set[int], set[int]]:
     return numbers, heads
 
 
-def read_document(text: str, model: Channel) -> tuple[list[tuple[int, str]], list[tuple[int, int, str, str]]]:
+def _body(lines: list[str], numbers: set[int], heads: set[int]) -> list[int]:
+    return [i for i, x in enumerate(lines) if x.strip() and i not in numbers and i not in heads and not _PAGE.match(x) and not x.startswith(("--- [", "```"))]
+
+
+def asked(text: str, edges: tuple[set[int], set[int]]) -> set[str]:
+    """The words whose counts `read_document` may look up, beside their candidates."""
+    lines = text.split("\n")
+    body = [(lines[i], words_of(lines[i])) for i in _body(lines, *edges)]
+    out = {w.lower() for _, words in body for _, w in words}
+    for (x, words), (_, after) in zip(body, body[1:]):
+        if x.rstrip()[-1:] in _HYPHENS and words and after:
+            low_a, second = words[-1][1].rstrip(_HYPHENS).lower(), after[0][1].lower()
+            low_b, stem = second.rstrip(_HYPHENS), low_a.split("-")[-1]
+            out |= {stem + low_b, low_a + low_b, low_a + "-" + low_b, low_a + second, stem, low_b.split("-")[0]}
+    return out | {p for w in out if "-" in w[1:-1] for p in w.split("-")}
+
+
+def read_document(text: str, model: Channel, edges: tuple[set[int], set[int]] | None = None) -> tuple[list[tuple[int, str]], list[tuple[int, int, str, str]]]:
     """((line, noise) of a document, (line, position, word read, word) corrections)."""
     lines = text.split("\n")
-    numbers, heads = furniture(lines)
+    numbers, heads = edges or furniture(lines)
     noise: list[tuple[int, str]] = [(i, "page_number") for i in sorted(numbers)] + [(i, "running_head") for i in sorted(heads)]
-    body = [i for i, x in enumerate(lines) if x.strip() and i not in numbers and i not in heads and not _PAGE.match(x) and not x.startswith(("--- [", "```"))]
+    body = _body(lines, numbers, heads)
     fixes: list[tuple[int, int, str, str]] = []
     fence = math_ = False
     carried: tuple[int, str] | None = None  # first part of a broken word
@@ -440,7 +495,7 @@ def _is_break(first: str, second: str, mark: str, model: Channel) -> bool:
     joined, kept = stem + low_b, low_a + "-" + low_b
     n_joined = max(model.words.get(joined, 0), model.words.get(low_a + low_b, 0))
     n_kept = model.words.get(kept, 0)
-    if n_joined >= KNOWN or n_kept >= 2:
+    if model.known(joined) or model.known(low_a + low_b) or n_kept >= 2:
         return n_joined >= n_kept
     if len(model.candidates(joined)) > 1 and max(model.candidates(joined)[1:], key=lambda c: c[1])[1] > -3:
         return True
@@ -451,10 +506,10 @@ def _is_break(first: str, second: str, mark: str, model: Channel) -> bool:
     return not (a >= 20 and b >= 20 and len(stem) > 2 and len(low_b) > 2)
 
 
-def repair(text: str, model: Channel) -> str:
+def repair(text: str, model: Channel, edges: tuple[set[int], set[int]] | None = None) -> str:
     """Continuous paragraphs: furniture dropped, broken words joined, misread words corrected."""
     lines = text.split("\n")
-    noise, fixes = read_document(text, model)
+    noise, fixes = read_document(text, model, edges)
     kinds: dict[int, set[str]] = {}
     for i, kind in noise:
         kinds.setdefault(i, set()).add(kind)
@@ -496,51 +551,164 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("document_id", F.col("markdown").alias("body"), F.col("metadata").getItem("source_id").isNotNull().alias("scanned")).repartition(n, "document_id").dropDuplicates(["document_id"])
 
 
-def fit(docs: DataFrame) -> Channel:
-    """The channel from counts over all documents, scanned or not."""
-    words, pairs = _counts(docs)
-    rare = words.where(F.col("n") <= 2).orderBy(F.xxhash64("word")).limit(RARE_MOST).select("word").collect()
-    kept = {r["word"]: r["n"] for r in _most(words, WORDS_MOST, 2)}
-    return Channel(kept, {(r["a"], r["b"]): r["n"] for r in _most(pairs, PAIRS_MOST, 3)}, [r["word"] for r in rare])
+_NEAR = "array<struct<v:string,n:bigint,a:string,b:string>>"
+
+
+def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(word, key, a, b) of a form: where a word that one confusion made into it would be found."""
+    for pdf in batches:
+        rows = []
+        for w in pdf["word"]:
+            rows += [(w, key, None, c) for key, c in _opened(w)]
+            rows += [(w, v, a, b) for v, (a, b) in _replaced(w)]
+        yield pd.DataFrame(rows, columns=["word", "key", "a", "b"])
+
+
+def _far_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(word, key) of a form that one confusion doesn't explain: two confusions, or a blank misread."""
+    for pdf in batches:
+        rows: list[tuple[str, str]] = []
+        for w in pdf["word"]:
+            keys = {k for mid in Channel._listed(w) for k in [*(key for key, _ in _opened(mid)), *(v for v, _ in _replaced(mid))]}
+            rows += [(w, k) for i in range(2, len(w) - 2) for k in (w[:i], w[i + 1 :])] + [(w, k) for k in keys]
+        yield pd.DataFrame(rows, columns=["word", "key"])
+
+
+def _strong_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = []
+        for w, n in zip(pdf["word"], pdf["n"]):
+            rows.append((w, w, n, None))
+            rows += [(key, w, n, c) for key, c in _opened(w) if _open(w)]
+        yield pd.DataFrame(rows, columns=["key", "v", "m", "c"])
+
+
+def _near(words: DataFrame, forms: DataFrame) -> DataFrame:
+    """(word, n, near): each form's count and the frequent words it may have been misread from.
 
+    `words` has counts, `forms` more words that are looked up, with or without a count.
+    """
+    strong = cut_lineage(words.where(F.col("n") >= STRONG).mapInPandas(_strong_keys, "key string, v string, m long, c string"))
+    every = cut_lineage(words.unionByName(forms.select("word", F.lit(0).cast("long").alias("n"))).groupBy("word").agg(F.sum("n").alias("n")))
+    met = every.select("word").mapInPandas(_keys, "word string, key string, a string, b string").join(strong, "key").where("v <> word and (a is null) = (c is not null)")
+    one = met.groupBy("word").agg(F.collect_list(F.struct("v", F.col("m").alias("n"), F.coalesce("a", "c").alias("a"), "b")).alias("near"))
+    once = cut_lineage(every.join(one, "word", "left"))
+    lone = once.where(F.col("near").isNull() & (F.col("n") < KNOWN) & (F.length("word") >= 6)).select("word")
+    far = lone.mapInPandas(_far_keys, "word string, key string").join(strong, "key").groupBy("word").agg(F.collect_set(F.struct("v", F.col("m").alias("n"), F.lit(None).cast("string").alias("a"), F.lit(None).cast("string").alias("b"))).alias("far"))
+    return cut_lineage(once.join(far, "word", "left").select("word", "n", F.coalesce("near", "far", F.array().cast(_NEAR)).alias("near")))
 
-def noise_lines(scanned: DataFrame, model: Channel) -> DataFrame:
-    """(document_id, line_no, noise)."""
-    sent = scanned.sparkSession.sparkContext.broadcast((model.words, model.pairs, model.rate))
+
+def _estimate(near: DataFrame) -> dict[tuple[str, str], float]:
+    """Confusion rates from the occurrences of all forms that one confusion explains."""
+
+    def shown(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: Counter = Counter()
+        for pdf in batches:
+            out.update(_shown(dict(zip(pdf["word"], pdf["n"]))))
+        yield pd.DataFrame(list(out.items()), columns=["a", "n"])
+
+    strong = near.where(F.col("n") >= STRONG).select("word", "n")
+    base = {r["a"]: r["n"] for r in strong.mapInPandas(shown, "a string, n long").groupBy("a").agg(F.sum("n").alias("n")).collect()}  # characters
+    forms = near.where("n > 0 and length(word) >= 4 and exists(near, x -> x.a is not null)").select("n", "near")
+    rate: dict[tuple[str, str], float] | None = None
+    for _ in range(ROUNDS):
+
+        def run(batches: Iterator[pd.DataFrame], rate=rate) -> Iterator[pd.DataFrame]:
+            out: Counter = Counter()
+            for pdf in batches:
+                for n, near in zip(pdf["n"], pdf["near"]):
+                    for op, x in _shares(n, [(v["n"], (v["a"], v["b"])) for v in near], rate):
+                        out[op] += x
+            yield pd.DataFrame([(a, b, x) for (a, b), x in out.items()], columns=["a", "b", "x"])
+
+        seen = forms.mapInPandas(run, "a string, b string, x double").groupBy("a", "b").agg(F.sum("x").alias("x")).collect()  # pairs of characters
+        rate = _rates({(r["a"], r["b"]): r["x"] for r in seen}, base)
+    return rate
+
+
+class _Recorder(Channel):
+    """Notes the pairs that decoding looks up."""
+
+    met: set[tuple[str, str]]
+
+    def decode(self, words: list[str]) -> list[str]:
+        lattice = [self.candidates(w) for w in words]
+        for prev, here in zip(lattice, lattice[1:]):
+            if len(prev) > 1 or len(here) > 1:
+                self.met.update((u, v) for u, _ in prev for v, _ in here)
+        return [w.lower() for w in words]
+
+
+def _pages(scanned: DataFrame) -> DataFrame:
+    """(bucket, document_id, body, numbers, heads) of scanned documents."""
+    n = max(2 * int(scanned.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-scanned.count() // BUCKET_DOCS))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = _channel(sent.value)
         for pdf in batches:
-            rows = [(doc, i, kind) for doc, text in zip(pdf["document_id"], pdf["body"]) for i, kind in read_document(text, m)[0]]
-            yield pd.DataFrame(rows, columns=["document_id", "line_no", "noise"])
+            found = [furniture(t.split("\n")) for t in pdf["body"]]
+            yield pdf.assign(numbers=[sorted(a) for a, _ in found], heads=[sorted(b) for _, b in found])
 
-    return scanned.mapInPandas(run, "document_id long, line_no long, noise string")
+    keyed = scanned.select(F.pmod(F.xxhash64("document_id"), F.lit(n)).cast("int").alias("bucket"), "document_id", "body")
+    return cut_lineage(keyed.mapInPandas(run, "bucket int, document_id long, body string, numbers array<int>, heads array<int>"))
 
 
-def _channel(parts: tuple) -> Channel:
-    m = Channel(parts[0], parts[1], [])
-    m.rate = parts[2]
-    return m
+def _edges(pdf: pd.DataFrame) -> Iterator[tuple[int, str, tuple[set[int], set[int]]]]:
+    for doc, text, numbers, heads in zip(pdf["document_id"], pdf["body"], pdf["numbers"], pdf["heads"]):
+        yield doc, text, (set(numbers), set(heads))
+
+
+def _read(docs: DataFrame, each, schema: str) -> DataFrame:
+    """`each` (document_id, text, channel, edges) -> rows, over scanned documents by buckets; a
+    bucket's channel holds what its own lines look up, with counts over all documents."""
+    words, pairs = _counts(docs)
+    pages = _pages(docs.where("scanned"))
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = {(b, w) for b, (_, text, edges) in zip(pdf["bucket"], _edges(pdf)) for w in asked(text, edges)}
+            yield pd.DataFrame(list(out), columns=["bucket", "word"])
+
+    needed = cut_lineage(pages.mapInPandas(ask, "bucket int, word string").distinct())
+    near = _near(words, needed.select("word").distinct())
+    rate = _estimate(near)
+    total = (words.agg(F.sum("n")).first()[0] or 0) + 1
+    own = cut_lineage(needed.join(near, "word").select("bucket", "word", "n", F.transform("near", lambda x: F.struct(x["v"].alias("v"), x["n"].alias("n"))).alias("near")))
+
+    def counts(rows: pd.DataFrame) -> dict[str, int]:
+        out = {v["v"]: v["n"] for near in rows["near"] if near is not None for v in near}
+        return out | {w: n for w, n in zip(rows["word"], rows["n"]) if n}
+
+    def record(pdf: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        m = _Recorder(counts(rows), {}, rate, total)
+        m.met = set()
+        for _, text, edges in _edges(pdf):
+            read_document(text, m, edges)
+        bucket = pdf["bucket"].iloc[0] if len(pdf) else 0
+        return pd.DataFrame([(bucket, a, b) for a, b in m.met], columns=["bucket", "a", "b"])
+
+    met = pages.groupBy("bucket").cogroup(own.groupBy("bucket")).applyInPandas(record, "bucket int, a string, b string")
+    beside = met.join(pairs, ["a", "b"]).select("bucket", F.col("a").alias("word"), "b", "n", F.lit(None).cast("array<struct<v:string,n:bigint>>").alias("near"))
+    model = own.select("bucket", "word", F.lit(None).cast("string").alias("b"), "n", "near").unionByName(beside)
+
+    def decode(pdf: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        two = rows["b"].notna()
+        pair = rows[two]
+        m = Channel(counts(rows[~two]), dict(zip(zip(pair["word"], pair["b"]), pair["n"])), rate, total)
+        out = [x for doc, text, edges in _edges(pdf) for x in each(doc, text, m, edges)]
+        return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return pages.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInPandas(decode, schema)
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Noisy lines of scanned documents."""
-    docs = _docs(spark, sf_dir)
-    return noise_lines(docs.where("scanned"), fit(docs))
+    each = lambda doc, text, m, edges: [(doc, i, kind) for i, kind in read_document(text, m, edges)[0]]
+    return _read(_docs(spark, sf_dir), each, "document_id long, line_no long, noise string")
 
 
 def repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scanned documents as continuous paragraphs."""
-    docs = _docs(spark, sf_dir)
-    model = fit(docs)
-    sent = spark.sparkContext.broadcast((model.words, model.pairs, model.rate))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = _channel(sent.value)
-        for pdf in batches:
-            yield pd.DataFrame({"document_id": pdf["document_id"], "body": [repair(t, m) for t in pdf["body"]]})
-
-    return docs.where("scanned").mapInPandas(run, "document_id long, body string")
+    return _read(_docs(spark, sf_dir), lambda doc, text, m, edges: [(doc, repair(text, m, edges))], "document_id long, body string")
 
 
 QUERIES = {"p5_found": found, "p5_repaired": repaired}

@@ -223,3 +223,14 @@ def test_scan_noise():
     assert noise == [(6, "hyphen_break"), (7, "misread"), (10, "page_number"), (14, "running_head"), (15, "page_number")]
     assert [(w, v) for _, _, w, v in fixes] == [("rnodel", "model")]
     assert "smooths the gradient norm. The model learns low-rank maps." in scans.repair(SCAN, m)
+
+
+def test_confusion_rates_and_known_words_don_t_depend_on_size(spark):
+    rates = {}
+    for times in (1, 10):
+        words = {w: 3000 * times for w in ("network", "letter", "sentence", "tensor")} | {w: times for w in ("nctwork", "lctter", "scntence", "tcnsor")} | {"tender": 40 * times}
+        near = scans._near(spark.createDataFrame(list(words.items()), "word string, n long"), spark.createDataFrame([], "word string"))
+        rates[times] = scans._estimate(near)
+        m = scans.Channel(words, {}, rates[times])
+        assert m.decode(["the", "nctwork", "tender"]) == ["the", "network", "tender"]
+    assert rates[10]["e", "c"] == pytest.approx(rates[1]["e", "c"], rel=0.2)
