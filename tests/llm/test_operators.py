@@ -234,3 +234,15 @@ def test_confusion_rates_and_known_words_don_t_depend_on_size(spark):
         m = scans.Channel(words, {}, rates[times])
         assert m.decode(["the", "nctwork", "tender"]) == ["the", "network", "tender"]
     assert rates[10]["e", "c"] == pytest.approx(rates[1]["e", "c"], rel=0.2)
+
+
+def test_scan_counts_are_whole(spark, sf, monkeypatch):
+    for name in ("WORDS_MOST", "PAIRS_MOST", "RARE_MOST"):
+        monkeypatch.setattr(scans, name, 5, raising=False)
+    monkeypatch.setattr(scans, "BUCKET_DOCS", 3)
+    docs = scans._docs(spark, sf)
+    words, pairs = scans._counts(docs)
+    rate = scans._estimate(scans._near(words, words))
+    m = scans.Channel({r["word"]: r["n"] for r in words.collect()}, {(r["a"], r["b"]): r["n"] for r in pairs.collect()}, rate)
+    want = {(r["document_id"], i, kind) for r in docs.where("scanned").collect() for i, kind in scans.read_document(r["body"], m)[0]}
+    assert {tuple(r) for r in scans.found(spark, sf).collect()} == want and any(kind == "misread" for _, _, kind in want)
