@@ -221,7 +221,7 @@ class Channel:
                     a, b = self.words.get(low[:i], 0), self.words.get(low[i + 1 :], 0)
                     if a >= 200 and b >= 200:
                         best[low[:i] + " " + low[i + 1 :]] = math.log(min(a, b) * 2e-6)
-            out += sorted(best.items(), key=lambda x: -x[1])[:6]
+            out += [x for x in sorted(best.items(), key=lambda x: -x[1]) if x[1] >= out[0][1] - REACH]  # no path through the others can win
         if len(self.cache) > 200_000:
             self.cache.clear()
         self.cache[word] = out

@@ -246,3 +246,9 @@ def test_scan_counts_are_whole(spark, sf, monkeypatch):
     m = scans.Channel({r["word"]: r["n"] for r in words.collect()}, {(r["a"], r["b"]): r["n"] for r in pairs.collect()}, rate)
     want = {(r["document_id"], i, kind) for r in docs.where("scanned").collect() for i, kind in scans.read_document(r["body"], m)[0]}
     assert {tuple(r) for r in scans.found(spark, sf).collect()} == want and any(kind == "misread" for _, _, kind in want)
+
+
+def test_neighbours_may_favour_any_candidate_of_a_misread_word():
+    words = {w: 900 for w in "aorder border corder dorder eorder forder gorder".split()} | {"horder": 500, "tall": 500, "x": 10**6}
+    m = scans.Channel(words, {("tall", "horder"): 400}, {})
+    assert m.decode(["tall", "zorder"]) == ["tall", "horder"]
