@@ -174,16 +174,25 @@ _UNWRAPPED = r"^ *([-*•+–—#|`~$]|[0-9]+[.)-]|[0-9.]+[.-] |L = |    |def |f
 _UNWRAPPED_RE = re.compile(_UNWRAPPED)
 
 
+_BLANK_LINES = r"\n(?:[ \t\r]*\n)+"
+
+
 def wrap_width(text: str) -> int:
-    """Width at which this text's prose was wrapped, or 0 if it wasn't."""
-    top = max((len(x.rstrip(" ")) for x in text.split("\n") if not _UNWRAPPED_RE.match(x)), default=0)
-    return top if 30 <= top <= 110 else 0
+    """Width at which this text's prose was wrapped, or 0 if it wasn't: the longest line of its
+    paragraphs of several lines, without the paragraphs that hold a line too long for a wrap."""
+    width = 0
+    for paragraph in re.split(_BLANK_LINES, text):
+        lines = [len(x.rstrip(" ")) for x in paragraph.split("\n") if x.strip(" ") and not _UNWRAPPED_RE.match(x)]
+        if len(lines) > 1 and 30 <= max(lines) <= 110:
+            width = max(width, max(lines))
+    return width
 
 
 def _wrap_width_column() -> F.Column:
     """`wrap_width` in the JVM, for texts that are read in chunks."""
-    top = F.array_max(F.transform(F.filter(F.split("text", "\n"), lambda x: ~x.rlike(_UNWRAPPED)), lambda x: F.length(F.rtrim(x))))
-    return F.when(top.between(30, 110), top).otherwise(0).cast("int")
+    lines = lambda p: F.transform(F.filter(F.split(p, "\n"), lambda x: (F.rtrim(x) != "") & ~x.rlike(_UNWRAPPED)), lambda x: F.length(F.rtrim(x)))
+    tops = F.transform(F.filter(F.transform(F.split("text", _BLANK_LINES), lines), lambda x: F.size(x) > 1), F.array_max)
+    return F.coalesce(F.array_max(F.filter(tops, lambda x: x.between(30, 110))), F.lit(0)).cast("int")
 
 
 def scan(text: str, first: int, last: int, width: int) -> Iterator[tuple[int, int]]:

@@ -252,3 +252,12 @@ def test_neighbours_may_favour_any_candidate_of_a_misread_word():
     words = {w: 900 for w in "aorder border corder dorder eorder forder gorder".split()} | {"horder": 500, "tall": 500, "x": 10**6}
     m = scans.Channel(words, {("tall", "horder"): 400}, {})
     assert m.decode(["tall", "zorder"]) == ["tall", "horder"]
+
+
+def test_a_long_line_doesn_t_turn_wrapping_off(spark):
+    wrapped = "The causal embedding table controls the error, so the\nshallow attention head reduces the distance between\ntwo passages. It holds."
+    texts = [wrapped, "字" * 150 + "。\n\n" + wrapped, "A title of one line that is wider than the wrapped text below it, by far\n \n" + wrapped, "x" * 150 + "\nshort line\n", "", "\n\n"]
+    assert [sentences.wrap_width(x) for x in texts] == [53, 53, 53, 0, 0, 0]
+    assert [r["w"] for r in spark.createDataFrame(list(enumerate(texts)), "i int, text string").coalesce(1).select("i", sentences._wrap_width_column().alias("w")).orderBy("i").collect()] == [53, 53, 53, 0, 0, 0]
+    for text in texts[1:3]:
+        assert [text[a:b] for a, b in sentences.units(text)][1:] == [wrapped[:-10], "It holds."]
