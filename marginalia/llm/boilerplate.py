@@ -6,8 +6,9 @@ which is its text or its heading's, lower-cased, with figures and the site's nam
 page scores its containers by what it alone shows: link density, cues of site voice, sentences,
 neighbours. Spark averages the scores per host and path, backed by the path's average over all
 hosts where a host has few pages, and a path that wins its host's vote is furniture on all pages
-of that host. Only these small votes and the candidate lines are shuffled; paragraphs and code
-are never candidates on their own, so they need no vote.
+of that host. A line near a page's start or end also wins where half of the host's pages repeat it
+there, whatever its wording. Only these small votes and the candidate lines are shuffled; code,
+tables, formulas and paragraphs elsewhere are never candidates on their own, so they need no vote.
 
 Rows: documents without `source_url`, or with a null text, have no lines; a repeated document
 counts once; line numbers count from 0.
@@ -28,6 +29,8 @@ from ..session import cut_lineage, table
 
 PRIOR = 3.0  # pages' worth of the all-hosts average in a host's vote
 WINS = 0.5
+EDGE = 12  # non-blank lines from a page's start or end that count as its edge
+REPEATS_LEAST = 4  # pages that must repeat a line for repetition to count
 
 _LINK = re.compile(r"!?\[([^\]]*)\]\(([^)\s]*)[^)]*\)")
 _ITEM = re.compile(r"^\s*(?:[-*•+–—]|\d+[.)])\s+")
@@ -75,6 +78,7 @@ class Line:
     no: int
     path: str
     score: float
+    repeats: bool = False  # at the page's edge, where its repetition over pages counts; once a path
 
 
 def _plain(line: str) -> str:
@@ -230,10 +234,38 @@ def read_page(markdown: str, host: str) -> list[Line]:
             near = [x.score for x in out[-2:] if i - x.no <= 2]
             out.append(Line(i, f"line/{_klass(text, site)}", 0.45 if near and min(near) >= 0.9 and j - i == 1 else 0.0))
         i += 1
+    edge, seen = _edge(lines), {x.no for x in out}
+    out += [Line(k, f"line/{_klass(_plain(lines[k]), site)}", -1.0) for k in sorted(edge - seen)]  # no score: repetition alone may win
+    once: set[str] = set()
+    for x in out:
+        x.repeats = x.no in edge and x.path.startswith("line/") and x.path not in once
+        if x.repeats:
+            once.add(x.path)
     return out
 
 
-CANDIDATE = "document_id long, host string, line_no long, path long, score double"
+def _edge(lines: list[str]) -> set[int]:
+    """Lines at the edges of a page, without headings, tables, code and formulas."""
+    shown = [i for i, x in enumerate(lines) if x.strip(" \t\r\ufeff\u200b\u00a0")]
+    outer = {*shown[:EDGE], *shown[-EDGE:]}
+    out: set[int] = set()
+    fence = math = False
+    for i in shown:
+        s = lines[i].strip()
+        if fence:
+            fence = not (_FENCE.match(lines[i]) and not s.strip("`~"))
+        elif math:
+            math = "$$" not in s
+        elif _FENCE.match(lines[i]):
+            fence = True
+        elif s.startswith("$$"):
+            math = s == "$$" or not s.endswith("$$")
+        elif i in outer and not (_HEADING.match(s) or s.startswith("|") and s.endswith("|") or s.startswith("--- [")) and re.search(r"[^\W\d_]", _plain(s)):
+            out.add(i)
+    return out
+
+
+CANDIDATE = "document_id long, host string, line_no long, path long, score double, repeats boolean"
 
 
 def _host(url: str) -> F.Column:
@@ -241,7 +273,8 @@ def _host(url: str) -> F.Column:
 
 
 def candidates(pages: DataFrame) -> DataFrame:
-    """Candidate lines of pages (document_id, host, markdown), each page once."""
+    """Candidate lines of pages (document_id, host, markdown), each page once, and one row of each
+    page with line -1."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -249,17 +282,23 @@ def candidates(pages: DataFrame) -> DataFrame:
         for pdf in batches:
             rows = []
             for doc, host, text in zip(pdf["document_id"], pdf["host"], pdf["markdown"]):
-                rows += [(doc, host, x.no, xxhash.xxh64_intdigest(x.path) - 2**63, x.score) for x in read_page(text, host)]
-            yield pd.DataFrame(rows, columns=["document_id", "host", "line_no", "path", "score"])
+                rows.append((doc, host, -1, 0, 0.0, False))
+                rows += [(doc, host, x.no, xxhash.xxh64_intdigest(x.path) - 2**63, x.score, x.repeats) for x in read_page(text, host)]
+            yield pd.DataFrame(rows, columns=["document_id", "host", "line_no", "path", "score", "repeats"])
 
     return pages.mapInPandas(run, CANDIDATE)
 
 
 def vote(found: DataFrame) -> DataFrame:
-    """(host, path, share): the host's vote on each of its paths."""
-    by_host = found.groupBy("host", "path").agg(F.sum("score").alias("s"), F.count("*").alias("n"))
+    """(host, path, share): the host's vote on each of its paths, or the share of its pages that
+    repeat the path at their edge, if that is larger."""
+    scored = F.when(F.col("score") >= 0, F.col("score"))
+    by_host = found.where("line_no >= 0").groupBy("host", "path").agg(F.sum(scored).alias("s"), F.count(scored).alias("n"), F.sum(F.col("repeats").cast("int")).alias("r"))
+    n_pages = found.where("line_no < 0").groupBy("host").agg(F.count("*").alias("pages"))
     overall = by_host.groupBy("path").agg((F.sum("s") / F.sum("n")).alias("mean"))
-    return by_host.join(overall, "path").select("host", "path", ((F.col("s") + PRIOR * F.col("mean")) / (F.col("n") + PRIOR)).alias("share"))
+    voted = F.when(F.col("n") > 0, (F.col("s") + PRIOR * F.col("mean")) / (F.col("n") + PRIOR))
+    repeated = F.when(F.col("r") >= REPEATS_LEAST, F.col("r") / F.col("pages")).otherwise(0.0)
+    return by_host.join(overall, "path").join(n_pages, "host").select("host", "path", F.greatest(voted, repeated).alias("share"))
 
 
 def pages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -272,7 +311,7 @@ def pages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 def furniture(pages: DataFrame) -> DataFrame:
     """(document_id, line_no) of lines whose path won its host's vote."""
     lines = cut_lineage(candidates(pages))  # pages are read once; votes and result both come from these small rows
-    return lines.join(vote(lines), ["host", "path"]).where(F.col("share") >= WINS).select("document_id", "line_no").distinct()
+    return lines.where("line_no >= 0").join(vote(lines), ["host", "path"]).where(F.col("share") >= WINS).select("document_id", "line_no").distinct()
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:

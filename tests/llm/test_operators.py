@@ -261,3 +261,11 @@ def test_a_long_line_doesn_t_turn_wrapping_off(spark):
     assert [r["w"] for r in spark.createDataFrame(list(enumerate(texts)), "i int, text string").coalesce(1).select("i", sentences._wrap_width_column().alias("w")).orderBy("i").collect()] == [53, 53, 53, 0, 0, 0]
     for text in texts[1:3]:
         assert [text[a:b] for a, b in sentences.units(text)][1:] == [wrapped[:-10], "It holds."]
+
+
+def test_a_line_that_a_host_s_pages_repeat_is_furniture(spark):
+    page = "Etusivu / Oppitunnit\n\n# Layer {0}\n\nThe layer number {1} learns {1} weights.\n\nA remark on {1}.\n\nTämän sivun ylläpidosta vastaa toimitus, jonka tavoittaa kurssin sähköpostilla."
+    words = "red blue green black white brown".split()
+    pages = spark.createDataFrame([(i, "h.test", page.format(i, w)) for i, w in enumerate(words)] + [(9, "g.test", page.format(9, "grey"))], "document_id long, host string, markdown string")
+    got = {(r["document_id"], r["line_no"]) for r in boilerplate.furniture(pages).collect()}
+    assert got == {(i, k) for i in range(6) for k in (0, 8)}
