@@ -9,7 +9,9 @@ pair judged literal is. Accepted nodes are rendered into headings, lists, fences
 and plain text.
 
 The trees are fitted on a bounded sample of rows (`SAMPLE_ROWS` per table, those with the smallest
-hashes), whose nodes are labelled by a grammar that leaves doubtful nodes out.
+hashes). Only nodes that need no judgement are labelled there: whole constructs that hold words, and
+marks that can't be markup. All others stay open, and what the trees say of any node is final; no
+grammar looks over it again.
 
 Fences, single-backtick code, formulas, page markers and figure lines are never candidates. Null
 and empty texts have no markup; a repeated key counts once.
@@ -35,7 +37,7 @@ FAMILIES = ("html", "markdown", "wiki", "latex")
 
 _MASKED = re.compile(
     r"^[ \t]{0,3}(?P<f>`{3,}|~{3,})[^\n]*(?:\n.*?)??(?:^[ \t]{0,3}(?P=f)[`~]*[ \t]*$|\Z)"
-    r"|\$\$.*?\$\$|\\\[.*?\\\]|\\\(.*?\\\)|(?<!`)`[^`\n]+`(?!`)|(?<![\\$\w])\$(?=\S)[^$\n]{1,300}?(?<=\S)\$(?!\d)"
+    r"|\$\$.*?\$\$|\\\[.*?\\\]|\\\(.*?\\\)|(?<!`)`[^`\n]+`(?!`)|(?<![\\$\w])\$(?=\S)[^$\n]+?(?<=\S)\$(?!\d)"
     r"|<!-- loc page=\d+ -->|^--- \[/?FIGURE\] ---[ \t]*$",
     re.S | re.M,
 )
@@ -43,28 +45,28 @@ _TAGS = frozenset(
     "a abbr article aside b big blockquote body br button caption center cite code col dd del details dfn div dl dt em figcaption figure font footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label legend li link main mark meta nav ol option p path pre q s samp script section select small span strike strong style sub summary sup svg table tbody td textarea tfoot th thead time title tr tt u ul var video wbr".split()
 )
 _CANDIDATE = re.compile(
-    r"(?=[<&{\[\\~*_!|='`-])(?:(?P<comment><!--.*?-->)"
-    r"|(?P<tag></?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]{0,300})?/?>)"
+    r"(?=[<&{\[\\~*_!|='`-])(?:(?P<comment><!--(?:(?!<!--).)*?-->)"
+    r"|(?P<tag></?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]*)?/?>)"
     r"|(?P<autolink><(?:https?://|mailto:)[^\s<>]+>)"
-    r"|(?P<angle><(?=[^<>\n]{1,60}>)[^<>\n]+>)"
+    r"|(?P<angle><[^<>\s\d.][^<>\n]*>)"
     r"|(?P<entity>&(?:#\d{1,7}|#x[0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});?)"
-    r"|(?P<template>\{\{[^{}\n]{1,300}\}\})"
+    r"|(?P<template>\{\{[^{}]+\}\})"
     r"|(?P<wtable>^\{\|[^\n]*|^\|\}[ \t]*$|^\|-[^\n]*$)"
-    r"|(?P<wlink>\[\[[^\[\]\n]{1,200}(?:\[[^\[\]\n]*\][^\[\]\n]*)?\]\])"
-    r"|(?P<image>!\[[^\]\n]{0,200}\]\([^()\s]*(?:\([^()\s]*\))?(?:\s+\"[^\"\n]*\")?\))"
-    r"|(?P<elink>\[(?:https?|ftp)://[^\s\]]+[ \t][^\[\]\n]{1,200}\])"
-    r"|(?P<footdef>^\[\^[^\]\s]{1,30}\]:)|(?P<foot>\[\^[^\]\s]{1,30}\])"
-    r"|(?P<refdef>^[ ]{0,3}\[[^\]\n]{1,80}\]:[ \t]*\S+[^\n]*$)"
-    r"|(?P<link>\[(?:[^\[\]\n]|\n(?!\n)|\[[^\[\]\n]*\]){1,200}\]\([^()\s]*(?:\([^()\s]*\))?(?:\s+\"[^\"]*\")?\))"
-    r"|(?P<reflink>\[[^\[\]\n]{1,120}\]\[[^\[\]\n]{0,80}\])"
-    r"|(?P<wbold>'{2,5}(?=\S)(?:(?!'').){1,300}?'{2,5})"
-    r"|(?P<lquote>``(?=\S)(?:(?!``|'').){1,300}?'')"
+    r"|(?P<wlink>\[\[[^\[\]\n]+(?:\[[^\[\]\n]*\][^\[\]\n]*)?\]\])"
+    r"|(?P<image>!\[[^\]\n]*\]\([^()\s]*(?:\([^()\s]*\))?(?:\s+\"[^\"\n]*\")?\))"
+    r"|(?P<elink>\[(?:https?|ftp)://[^\s\]]+[ \t][^\[\]\n]+\])"
+    r"|(?P<footdef>^\[\^[^\]\s]+\]:)|(?P<foot>\[\^[^\]\s]+\])"
+    r"|(?P<refdef>^[ ]{0,3}\[[^\]\n]+\]:[ \t]*\S+[^\n]*$)"
+    r"|(?P<link>\[(?:[^\[\]\n]|\n(?!\n)|\[[^\[\]\n]*\])+\]\([^()\s]*(?:\([^()\s]*\))?(?:\s+\"[^\"]*\")?\))"
+    r"|(?P<reflink>\[[^\[\]\n]+\]\[[^\[\]\n]*\])"
+    r"|(?P<wbold>'{2,5}(?=\S)(?:(?!''|\n\s*\n).)+?'{2,5})"
+    r"|(?P<lquote>``(?=\S)(?:(?!``|''|\n\s*\n).)+?'')"
     r"|(?P<env>\\(?:begin|end)\{[A-Za-z]+\*?\}(?:\[[^\]\n]*\]|\{[^}\n]*\})*)"
     r"|(?P<group>\{\\(?:it|bf|em|tt|sc|rm|sf|sl|small|large|Large|tiny|footnotesize)\b[^{}]*\})"
     r"|(?P<command>~?\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?(?:\{(?:[^{}]|\{[^{}]*\})*\})?)"
     r"|(?P<escape>\\[\\`*_{}\[\]()#+\-.!|~<>$%&])"
-    r"|(?P<strike>~~(?=\S)(?:(?!~~|\n\n).){1,300}?(?<=\S)~~)"
-    r"|(?P<strong>(?P<s>\*{1,3}|_{1,3})(?=\S)(?:(?!\n\s*\n)(?!(?P=s)).){1,300}?(?<=\S)(?P=s))"
+    r"|(?P<strike>~~(?=\S)(?:(?!~~|\n\n).)+?(?<=\S)~~)"
+    r"|(?P<strong>(?P<s>\*{1,3}|_{1,3})(?=\S)(?:(?!\n\s*\n)(?!(?P=s)).)+?(?<=\S)(?P=s))"
     r"|(?P<whead>^(?P<e>={1,6})[ \t]*[^=\n]+?[ \t]*(?P=e)[ \t]*$)"
     r"|(?P<under>(?<=\n)(?:={3,}|-{3,})[ \t]*$))",
     re.S | re.M,
@@ -110,7 +112,7 @@ def parse(text: str, masked: str | None = None) -> list[Node]:
 
     def walk(a: int, b: int, parent: int, depth: int) -> None:
         at = a
-        while at < b and (m := _CANDIDATE.search(t, at, b)):
+        while at < b and (m := _CANDIDATE.search(t, at, b)):  # each alternative ends at a mark, a line or a paragraph
             kind, raw = m.lastgroup, m.group()
             if kind in ("s", "e"):
                 kind = "strong" if kind == "s" else "whead"
@@ -156,6 +158,15 @@ def parse(text: str, masked: str | None = None) -> list[Node]:
                         break
             else:
                 stack.append(i)
+        elif n.kind == "wtable":
+            if n.raw.startswith("|}"):
+                for k in range(len(stack) - 1, -1, -1):
+                    if nodes[stack[k]].kind == "wtable":
+                        nodes[stack[k]].mate, n.mate = i, stack[k]
+                        del stack[k:]
+                        break
+            elif n.raw.startswith("{|"):
+                stack.append(i)
         stack_open = [k for k in stack if k != i and nodes[k].end <= n.start]
         if n.parent < 0 and stack_open and n.mate not in stack_open:
             n.parent = stack_open[-1]
@@ -179,6 +190,9 @@ def extent(nodes: list[Node], n: Node) -> tuple[int, int]:
 _CLASS = lambda c: 0 if not c else 1 if c.isspace() else 2 if c.isalpha() else 3 if c.isdigit() else 4 if c in "_*" else 5
 
 
+N_FEATURES = 29
+
+
 def features(text: str, nodes: list[Node]) -> np.ndarray:
     """One row a node: kind and name, subtree density, attribute tokens, depth, siblings, surroundings."""
     n_text = max(1, len(text))
@@ -192,74 +206,62 @@ def features(text: str, nodes: list[Node]) -> np.ndarray:
         attrs = n.raw.split()[1:] if n.kind == "tag" else n.raw.split("|")[1:] if n.kind in ("template", "wlink", "wtable") else []
         sibs = len(nodes[n.parent].kids) if n.parent >= 0 else len(nodes)
         before, after = text[n.start - 1 : n.start], text[n.end : n.end + 1]
-        known = n.name in _TAGS if n.kind == "tag" else n.name in _COMMANDS if n.kind == "command" else 1
+        known = n.name in _TAGS if n.kind == "tag" else n.name in _COMMANDS if n.kind == "command" else n.kind != "angle"
         rows.append(
             (
-                _KINDS.index(n.kind), known, n.mate >= 0, len(n.name), len(n.raw), (b - a) / n_text, len(n.kids), sum(len(nodes[k].raw) for k in n.kids) / max(1, b - a),
+                _KINDS.index(n.kind), known, n.mate >= 0, len(n.name), min(len(n.raw), 12), (b - a) / n_text, len(n.kids), sum(len(nodes[k].raw) for k in n.kids) / max(1, b - a),
                 len(attrs), sum("=" in x for x in attrs), n.depth, sibs, by_kind[n.kind], _CLASS(before), _CLASS(after), before == "\n" or not before, after == "\n" or not after,
                 sum(c.isdigit() for c in inner) / max(1, len(inner)), sum(c.isalpha() for c in inner) / max(1, len(inner)), " " in inner, "," in inner,
-                inner[:1].isspace() or inner[-1:].isspace(), "{" in n.raw, ";" in n.raw[-1:], n.raw.startswith("</"), before == ":" or text[n.start - 2 : n.start] == ":\\", text[n.start - 1 : n.start] == "(" and after == ")",
+                inner[:1].isspace() or inner[-1:].isspace(), "{" in n.raw, ";" in n.raw[-1:], n.raw.startswith("</"), before == ":" or text[n.start - 2 : n.start] == ":\\", text[n.start - 1 : n.start] == "(" and after == ")", _CLASS(n.raw[1:2]), min(inner.count(" "), 12),
             )
         )
-    return np.array(rows, dtype=np.float32).reshape(len(nodes), 27)
+    return np.array(rows, dtype=np.float32).reshape(len(nodes), N_FEATURES)
 
 
-def certain(text: str, nodes: list[Node], n: Node) -> bool | None:
-    """What a strict grammar says of a node: markup, not markup, or nothing."""
+def surely(text: str, nodes: list[Node], n: Node) -> bool | None:
+    """What can be said of a node without judgement: markup that holds words and is whole (both tags, both
+    ends, an address), or marks that can't be markup (no letters, a path, a comparison). Everything
+    between, such as lone tags, marks inside words or names without an address, stays open."""
     before, after = text[n.start - 1 : n.start], text[n.end : n.end + 1]
     inner = n.raw.strip("*_~'`[]{}<>/!\\= \n")
+    words = bool(re.search(r"[^\W\d_]{2}", inner))
+    bare = not re.search(r"[^\W\d_]", inner)
+    free = not (before.isalnum() or after.isalnum() or before in "*_\\" and before)
     match n.kind:
-        case "comment":
+        case "comment" | "elink" | "autolink" | "image" | "footdef" | "foot" | "group":
             return True
         case "tag":
-            if n.name in _TAGS:
-                tail = re.sub(r"^</?[A-Za-z0-9]+|/?>$", "", n.raw).strip()
-                return True if not tail or "=" in tail else None
-            return False
+            return True if n.name in _TAGS and (n.mate >= 0 or "=" in n.raw) else False if n.name not in _TAGS and n.mate < 0 and "=" not in n.raw else None
         case "angle":
-            return False
+            return False if bare else None
         case "entity":
-            return (html.unescape(n.raw) != n.raw) if n.raw.endswith(";") else False
+            return True if n.raw.endswith(";") and html.unescape(n.raw) != n.raw else False if before.isalnum() or after.isalnum() else None
         case "template":
-            return bool(re.match(r"\{\{\s*[A-Za-z]", n.raw))
+            return True if "|" in n.raw and words else False if bare else None
         case "wlink":
-            return not re.fullmatch(r"[\d\s.,;+-]*", inner) and bool(re.search(r"[^\W\d]", inner))
+            return True if "|" in n.raw and words else False if bare else None
         case "wtable":
-            return True if n.raw.startswith(("{|", "|}")) else (True if any(x.kind == "wtable" and x.raw.startswith("{|") for x in nodes) else False)
-        case "wbold":
-            return before != "'" and bool(re.search(r"\w", inner))
+            return True if n.mate >= 0 else False if n.depth == 0 and n.raw.startswith("|-") else None
+        case "wbold" | "lquote" | "strike":
+            return True if words and free else False if bare else None
         case "whead":
-            return bool(re.search(r"[^\W\d]", inner))
-        case "elink" | "autolink" | "image" | "footdef" | "foot" | "under" | "strike":
-            return True
-        case "refdef":
-            return bool(re.search(r"\]:\s*<?(?:https?:|/|\.|#|\w+[./])", n.raw))
-        case "link":
-            return bool(re.search(r"\]\((?:https?:|/|\.|#|mailto:|[\w%~-]+[./#][^)\s]*|[\w-]+(?=\)))", n.raw))
+            return True if words and n.raw.startswith("==") else False if bare else None
+        case "under":
+            return True if "=" in n.raw else None
+        case "refdef" | "link":
+            return True if words and re.search(r"\](?:\(|:\s*)<?(?:https?:|/|\w+[./])", n.raw) else False if bare else None
         case "reflink":
-            return not re.fullmatch(r"\[[\d\s.,;-]*\]\[[\d\s.,;-]*\]", n.raw) and not before.isalnum() and bool(re.search(r"[^\W\d]", inner))
-        case "lquote":
-            return True
+            return True if words and free and re.search(r"\]\[[^\W\d_]{2}", n.raw) else False if bare else None
         case "env":
-            return True
-        case "group":
-            return True
+            return True if n.mate >= 0 else None
         case "command":
-            if before in (":", "\\") or (before and re.search(r"[A-Za-z]:\S*$", text[max(0, n.start - 30) : n.start])):
+            if before and before in ":\\" or re.search(r"[A-Za-z]:\S*$", text[max(0, text.rfind(" ", 0, n.start)) : n.start]):
                 return False  # a path
-            if n.name in _COMMANDS:
-                return True
-            return None if "{" in n.raw else False
+            return True if n.name in _COMMANDS and "{" in n.raw else None
         case "escape":
-            if before and (before.isalnum() and n.raw[1] == "\\" or re.search(r"[A-Za-z]:\\\S*$", text[max(0, n.start - 30) : n.start])):
-                return None
-            return True
+            return False if re.search(r"[A-Za-z]:\S*$", text[max(0, text.rfind(" ", 0, n.start)) : n.start]) else True if not before.isalnum() or not after.isalnum() else None
         case "strong":
-            if before.isalnum() or after.isalnum() or before in ("*", "_", "\\"):
-                return False
-            if re.fullmatch(r"[\d\s.+*/-]*", inner) or not re.search(r"\w", inner):
-                return False
-            return True
+            return False if bare or before.isalnum() and (after.isalnum() or " " in inner) else True if words and free else None
     return None
 
 
@@ -304,8 +306,7 @@ def judge(texts: list[str], model: BoostedTrees) -> list[tuple[list[Node], list[
         m = margin[at : at + len(nodes)]
         at += len(nodes)
         take = decode(nodes, m) if nodes else []
-        # an exact check follows: what the grammar excludes isn't markup
-        out.append((nodes, [bool(y) and certain(text, nodes, n) is not False for n, y in zip(nodes, take)]))
+        out.append((nodes, take))
     return out
 
 
@@ -441,12 +442,12 @@ def training_rows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         nodes = parse(t)
         if not nodes:
             continue
-        labels = [certain(t, nodes, n) for n in nodes]
+        labels = [surely(t, nodes, n) for n in nodes]
         keep = [i for i, y in enumerate(labels) if y is not None]
         if keep:
             xs.append(features(t, nodes)[keep])
             ys += [bool(labels[i]) for i in keep]
-    return (np.concatenate(xs) if xs else np.zeros((0, 27), np.float32)), np.array(ys, dtype=float)
+    return (np.concatenate(xs) if xs else np.zeros((0, N_FEATURES), np.float32)), np.array(ys, dtype=float)
 
 
 def fit(texts: DataFrame, rows: int = SAMPLE_ROWS) -> BoostedTrees:
