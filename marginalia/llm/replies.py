@@ -6,8 +6,10 @@ question is `copied_question`; a refusal grammar that accounts for all its sente
 script and function-word checks on its prose give `other_language`; a pushdown parser over fences,
 formulas, brackets, quotations and lists, with a model of how units end, gives `truncated`.
 
-The ending model is fitted on a bounded sample of replies (`SAMPLE_ROWS`, those with the smallest
-hashes): how often a pair of words closes a unit that carries its own end mark.
+Python reads each reply once. Where that leaves a question open, counts over all replies answer it,
+by joins: how often a pair of words closes a unit that carries its own end mark, for replies that
+stop without one; and the words of replies in a clear language, for texts whose own function words
+don't tell theirs. Nothing is sampled, and nothing but counts and open rows is shuffled.
 
 A null or blank reply is `empty`, whatever the question; with a null question only `empty`,
 `refusal` and `truncated` can apply; a repeated key counts once.
@@ -15,7 +17,6 @@ A null or blank reply is `empty`, whatever the question; with a null question on
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
 from collections import Counter
@@ -25,9 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import spread, table
-
-SAMPLE_ROWS = 15_000
+from ..session import cut_lineage, spread, table
 
 _INVISIBLE = re.compile("[­​-‏‪-‮⁠-⁤﻿︀-️]")
 # fixed values: labels that open a reply, placeholders, and source labels
@@ -41,7 +40,7 @@ _SOURCE = re.compile(r"(?:\b(?:sources?|quellen?|fuentes?)\s*:\s*)?\[(?:(?:doc|s
 _TAG = re.compile(r"</?\w+[^<>\n]*>")
 
 _FENCE = re.compile(r"^(`{3,}|~{3,})[^\n]*\n.*?(?:^\1[^\S\n]*$|\Z)", re.M | re.S)
-_FORMULA = re.compile(r"\$\$.*?(?:\$\$|\Z)|\\\[.*?(?:\\\]|\Z)|\$[^$\n]{1,200}\$|\\\(.*?\\\)", re.S)
+_FORMULA = re.compile(r"\$\$.*?(?:\$\$|\Z)|\\\[.*?(?:\\\]|\Z)|\$[^$\n]+\$|\\\(.*?\\\)", re.S)
 _QUOTED = re.compile(r"«[^»]*»|“[^”]*”|„[^“”]*[“”]|\"[^\"\n]*\"|`[^`\n]*`|‘[^’]*’")
 _WORD = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*")
 
@@ -98,14 +97,19 @@ def tiles(a: list[str], b: list[str], least: int = 2) -> list[tuple[int, int, in
 
 
 def is_copy(question: str | None, reply: str) -> bool:
-    """The reply holds the question, whole or nearly, and hardly anything else."""
+    """The reply holds the question, whole or nearly, once or several times, and hardly anything else."""
     q, r = _folded(undress(question)), _folded(undress(reply))
-    if not q or not r or len(r) > len(q) * 1.5 + 3:
+    if not q or not r:
         return False
     if q == r:
         return True
-    found = tiles(r, q)
-    covered = sum(n for _, _, n in found)
+    own = set(q)
+    if len(r) >= 1.8 * len(q) and sum(w in own for w in r) >= 0.85 * len(r):  # the question said again and again
+        if sum(n for _, _, n in tiles(r, q * -(-len(r) // len(q))) if n >= 0.8 * len(q)) >= 0.85 * len(r):
+            return True
+    if len(r) > len(q) * 1.5 + 3:
+        return False
+    covered = sum(n for _, _, n in tiles(r, q))
     rest = len(r) - covered
     return covered >= 0.6 * len(q) and rest <= max(1, 0.25 * len(r)) and covered >= 0.7 * len(r)
 
@@ -154,7 +158,7 @@ _SENTENCE = re.compile(r"[^.!?。！？\n]+[.!?。！？]*[”»\"’)]*")
 def is_refusal(reply: str) -> bool:
     """At least one refusing sentence, and no sentence with content; a last cut sentence is open."""
     t = undress(reply)
-    if len(t) > 4000 or "```" in t or "$$" in t:
+    if "```" in t or "$$" in t:
         return False
     sentences = [s.strip() for s in _SENTENCE.findall(t) if _WORD.search(s)]
     refuses = 0
@@ -233,15 +237,14 @@ def language(text: str) -> tuple[str | None, float]:
     return first, a - (rest[0][1] if rest else 0.0)
 
 
-def is_other_language(question: str | None, reply: str, model: EndingModel) -> bool:
-    """By script or function words where these are clear, else by the words of clear texts."""
-    found = []
-    for text in (undress(question), undress(reply)):
-        lang, margin = language(text)
-        if margin < 2 and (lang is None or lang in _FUNCTION):
-            lang = model.guess(prose(text)) or (lang if margin >= 0.5 else None)
-        found.append(lang)
-    return bool(found[0] and found[1] and found[0] != found[1])
+def spoken_in(text: str | None) -> tuple[str | None, float, list[str] | None]:
+    """(language, margin, words): by script or function words where these are clear; else with the words
+    that the counts are asked about, the language standing if they don't tell."""
+    t = undress(_FENCE.sub("\n", text or ""))
+    lang, margin = language(t)
+    if margin < 2 and (lang is None or lang in _FUNCTION):
+        return (lang if margin >= 0.5 else None), margin, re.findall(r"[^\W\d_]{2,}", prose(t).lower())
+    return lang, margin, None
 
 
 # ---- truncation ------------------------------------------------------------------------------
@@ -304,78 +307,9 @@ def _tokens(text: str) -> list[str]:
     return [re.sub(r"\d+", "0", w) for w in re.findall(r"[^\W_]+|[,:;]", text.lower())]
 
 
-def _units(text: str) -> tuple[list[str], list[str]]:
-    """(sentences that carry their end mark, list items that another line follows)."""
-    t = _FORMULA.sub("\n\n", _FENCE.sub("\n\n", _SOURCE.sub(" ", text)))
-    sentences, items = [], []
-    lines = t.split("\n")
-    for i, line in enumerate(lines):
-        if m := _ITEM.match(line):
-            if i + 1 < len(lines) and _ITEM.match(lines[i + 1]):
-                items.append(m[1].strip())
-        else:
-            sentences += [s for s in re.findall(r"[^.!?]+(?:\.(?=[\w])[^.!?]+)*[.!?]+[”»\"’)]*(?=\s|$)", line) if not _ABBREVIATION.search(s.rstrip("”»\"’)"))]
-    return sentences, items
-
-
-class EndingModel:
-    """How often a last word, or pair of last words, closes a unit rather than going on."""
-
-    def __init__(self) -> None:
-        self.total: dict[str, Counter] = {"s": Counter(), "i": Counter()}
-        self.ends: dict[str, Counter] = {"s": Counter(), "i": Counter()}
-        self.words: Counter = Counter()
-        self.spoken: dict[str, Counter] = {}
-
-    def guess(self, text: str) -> str | None:
-        """The likeliest language of Latin script by its words, if it is clearly so."""
-        words = [w for w in re.findall(r"[^\W\d_]{2,}", text.lower()) if any(w in c for c in self.spoken.values())]
-        if not words or len(self.spoken) < 2:
-            return None
-        ranked = sorted(((sum(math.log((c[w] + 0.1) / (c.total() + 100)) for w in words), lang) for lang, c in self.spoken.items()), reverse=True)
-        return ranked[0][1] if ranked[0][0] - ranked[1][0] >= 1.5 else None
-
-    def fit(self, texts: Iterator[str]) -> EndingModel:
-        for text in texts:
-            lang, margin = language(text)
-            if margin >= 3 and lang in _FUNCTION:
-                self.spoken.setdefault(lang, Counter()).update(re.findall(r"[^\W\d_]{2,}", prose(text).lower()))
-            for kind, units in zip("si", _units(text)):
-                for u in units:
-                    w = ["^", *_tokens(u)]
-                    if len(w) < 2:
-                        continue
-                    self.words.update(w)
-                    total, ends = self.total[kind], self.ends[kind]
-                    for a, b, after in zip(w, w[1:], [*w[2:], ""]):
-                        done = not after or (kind == "i" and after == ":")  # an item may go on after its term
-                        for key in ((a, b), (a == "^", b)):
-                            total[key] += 1
-                            ends[key] += done
-        return self
-
-    def closes(self, text: str, kind: str) -> bool:
-        """Whether a unit may end as this one does."""
-        w = ["^", *_tokens(text)]
-        if len(w) < 2:
-            return True
-        total, ends = self.total[kind], self.ends[kind]
-        pair, last = (w[-2], w[-1]), (w[-2] == "^", w[-1])
-        if kind == "i":
-            for key in (pair, last):
-                if total[key]:
-                    return ends[key] >= 0.5 * total[key]
-            total, ends = self.total["s"], self.ends["s"]
-        if total[pair] >= 4:
-            return ends[pair] >= 0.12 * total[pair]
-        if not total[pair] and self.words[w[-2]] >= 50:
-            return False  # a pair never seen after a frequent word: most likely a cut word
-        if total[last] >= 4:
-            return ends[last] >= 0.2 * total[last]
-        return total[last] > 0 and ends[last] == total[last]
-
-
-def is_truncated(reply: str, model: EndingModel) -> bool:
+def cut(reply: str) -> bool | tuple[str, str]:
+    """Whether a reply stops early; where only counts can tell, (kind, its last unit): `s` for a sentence,
+    `i` for a list item."""
     t = _INVISIBLE.sub("", reply)
     t = _SOURCE.sub("", t).rstrip()
     cut_label = re.search(r"\[(?:doc|web|pdf)?[^\]\n]*$", t, re.I)
@@ -394,7 +328,7 @@ def is_truncated(reply: str, model: EndingModel) -> bool:
         item = m[1].strip()
         if len(item) > 60 and _ENDS.search(item):
             return bool(_ABBREVIATION.search(item))
-        return not model.closes(item.rstrip(" .;"), "i")
+        return "i", item.rstrip(" .;")
     if re.fullmatch(r"(?:[-*•–—+]|\d+[.)])", last):
         return True
     if re.search(r"[:：,;]$", last):
@@ -405,23 +339,131 @@ def is_truncated(reply: str, model: EndingModel) -> bool:
     tail = re.sub(r"(?:…|\.\.\.)$", "", pieces[-1]).strip()
     if re.fullmatch(r"[\"“„«(\s]*#{0,6}\s*\S+", tail) and len(pieces) > 1:
         return True  # one lone word after a whole sentence
-    return not model.closes(re.sub(r"[\"”»’)\s]+$", "", tail), "s")
+    return "s", re.sub(r"[\"”»’)\s]+$", "", tail)
+
+
+# ---- over pairs ------------------------------------------------------------------------------
+
+_READ = (
+    "record_table string, record_id long, defect string, q_lang string, r_lang string, q_words array<string>, r_words array<string>, is_cut boolean, kind string, before string, last string, "
+    "lang string, word string, n long"
+)
+_READ_COLUMNS = [c.split()[0] for c in _READ.split(", ")]
+_ID = ["record_table", "record_id"]
 
 
-def defect_of(question: str | None, reply: str | None, refusal_wanted: bool, model: EndingModel) -> str | None:
-    """The first defect that applies, or None."""
+def read_pair(question: str | None, reply: str | None, refusal_wanted: bool) -> tuple:
+    """(defect, q_lang, r_lang, q_words, r_words, is_cut, kind, before, last) of a pair, in this order:
+    a settled defect alone; else what is known and what the counts are asked about; all null if sound."""
+    sound = (None,) * 9
     if is_empty(reply):
-        return "empty"
+        return "empty", *sound[1:]
     if is_copy(question, reply):
-        return "copied_question"
-    refuses = is_refusal(reply)
-    if refuses and not refusal_wanted:
-        return "refusal"
-    if is_other_language(question, reply, model):
-        return "other_language"
-    if is_truncated(reply, model):
-        return "truncated"
-    return None
+        return "copied_question", *sound[1:]
+    if not refusal_wanted and is_refusal(reply):
+        return "refusal", *sound[1:]
+    (q, _, q_words), (r, _, r_words) = spoken_in(question), spoken_in(reply)
+    sure = q_words is None and r_words is None
+    if sure and q and r and q != r:
+        return "other_language", *sound[1:]
+    stop = cut(reply)
+    kind = before = last = None
+    if isinstance(stop, tuple):
+        w = ["^", *_tokens(stop[1])]
+        kind, before, last = (stop[0], w[-2], w[-1]) if len(w) > 1 else (None, None, None)
+        stop = None if kind else False
+    if sure and stop is not None:
+        return ("truncated" if stop else None), *sound[1:]
+    return None, q, r, q_words, r_words, stop, kind, before, last
+
+
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Settled and open pairs; and, without a key, words of replies in a clear language."""
+    spoken: dict[str, Counter] = {}
+    for pdf in batches:
+        rows = []
+        for name, key, q, a, wanted in zip(pdf["record_table"], pdf["record_id"], pdf["question"], pdf["reply"], pdf["refusal_wanted"]):
+            got = read_pair(q, a, wanted)
+            if got[0] or got[5] is not None or got[6] or got[3] is not None or got[4] is not None:
+                rows.append((name, key, *got, None, None, None))
+            if a and not got[0]:
+                lang, margin = language(a)
+                if margin >= 3 and lang in _FUNCTION:
+                    spoken.setdefault(lang, Counter()).update(re.findall(r"[^\W\d_]{2,}", prose(a).lower()))
+        if sum(map(len, spoken.values())) > 100_000:
+            rows += [(None,) * 11 + (lang, w, n) for lang, c in spoken.items() for w, n in c.items()]
+            spoken = {}
+        yield pd.DataFrame(rows, columns=_READ_COLUMNS)
+    yield pd.DataFrame([(None,) * 11 + (lang, w, n) for lang, c in spoken.items() for w, n in c.items()], columns=_READ_COLUMNS)
+
+
+def ending_counts(replies: DataFrame) -> DataFrame:
+    """(kind, before, last, total, ends): how often a word follows another in units of all replies, and how
+    often the unit ends with it. Units are sentences that carry their end mark (`s`) and list items that
+    another item follows (`i`, which may also go on after a colon)."""
+    java = lambda p, flags: f"(?{flags}u)" + p.pattern.replace(r"\Z", r"\z").replace(r"[\w]", r"[\p{L}\p{N}_]")
+    item = java(_ITEM, "d")
+    text = F.col("reply")
+    for pattern, flags, put in ((_SOURCE, "i", " "), (_FENCE, "msd", "\n\n"), (_FORMULA, "s", "\n\n")):
+        text = F.regexp_replace(text, java(pattern, flags), put)
+    lines = replies.where("reply is not null").select(F.split(text, "\n").alias("l"))
+    items = F.filter(F.transform("l", lambda x, i: F.when(x.rlike(item) & F.coalesce(F.get("l", i + 1).rlike(item), F.lit(False)), F.trim(F.regexp_extract(x, item, 1)))), lambda x: x.isNotNull())
+    sentence = r"[^.!?]+(?:\.(?=[\p{L}\p{N}_])[^.!?]+)*[.!?]+[”»\"’)]*(?=\s|$)"
+    sentences = F.flatten(F.transform(F.filter("l", lambda x: ~x.rlike(item)), lambda x: F.regexp_extract_all(x, F.lit(sentence), F.lit(0))))
+    bare = lambda s: F.regexp_replace(s, r"[”»\"’)]+$", "")
+    whole = F.filter(sentences, lambda s: ~bare(s).rlike(java(_ABBREVIATION, "id")) & ~bare(s).endswith(".."))  # dots are no end mark: they may stand for a cut
+    unit = lambda kind: lambda u: F.struct(F.lit(kind).alias("kind"), u.alias("u"))
+    units = lines.select(F.explode(F.concat(F.transform(items, unit("i")), F.transform(whole, unit("s")))).alias("x")).select("x.kind", "x.u")
+    words = F.transform(F.regexp_extract_all(F.lower("u"), F.lit(r"[\p{L}\p{N}]+|[,:;]"), F.lit(0)), lambda w: F.regexp_replace(w, r"\p{Nd}+", "0"))
+    w = units.select("kind", F.concat(F.array(F.lit("^")), words).alias("w")).where("size(w) > 1")
+    steps = F.transform(
+        F.sequence(F.lit(1), F.size("w") - 1),
+        lambda i: F.struct(F.get("w", i - 1).alias("before"), F.get("w", i).alias("last"), ((i == F.size("w") - 1) | ((F.col("kind") == "i") & F.coalesce(F.get("w", i + 1) == ":", F.lit(False)))).alias("done")),
+    )
+    return w.select("kind", F.explode(steps).alias("s")).groupBy("kind", "s.before", "s.last").agg(F.count("*").alias("total"), F.sum(F.col("s.done").cast("long")).alias("ends"))
+
+
+def _closes(asked: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(record_table, record_id, closes): whether the last unit of a reply (kind, before, last) may end so."""
+    key = lambda *parts: F.concat_ws("\1", *parts)
+    opens = lambda c: F.when(F.col(c) == "^", "first").otherwise("later")
+    two = cut_lineage(ending_counts(pairs))
+    counts = two.select(key(F.lit("two"), "kind", "before", "last").alias("key"), "total", "ends")
+    counts = counts.unionByName(two.groupBy(key(F.lit("one"), "kind", opens("before"), "last").alias("key")).agg(F.sum("total").alias("total"), F.sum("ends").alias("ends")))
+    word = F.explode(F.when(F.col("before") == "^", F.array("before", "last")).otherwise(F.array("last")))
+    counts = counts.unionByName(two.select(word.alias("w"), "total").groupBy(key(F.lit("word"), "w").alias("key")).agg(F.sum("total").alias("total"), F.lit(0).cast("long").alias("ends")))
+    wanted = {
+        "pair": key(F.lit("two"), "kind", "before", "last"), "lone": key(F.lit("one"), "kind", opens("before"), "last"), "s_pair": key(F.lit("two"), F.lit("s"), "before", "last"),
+        "s_lone": key(F.lit("one"), F.lit("s"), opens("before"), "last"), "word": key(F.lit("word"), "before"),
+    }
+    each = asked.select(*_ID, "kind", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), k.alias("key")) for n, k in wanted.items()])).alias("x")).select(*_ID, "kind", "x.name", "x.key")
+    met = each.join(counts, "key", "left").groupBy(*_ID, "kind")
+    value = lambda n, c: F.coalesce(F.max(F.when(F.col("name") == n, F.col(c))), F.lit(0)).alias(f"{n}_{c}")
+    got = met.agg(*[value(n, c) for n in wanted for c in ("total", "ends")])
+    c = F.col
+    sentence = (
+        F.when(c("s_pair_total") >= 4, c("s_pair_ends") >= 0.12 * c("s_pair_total"))
+        .when((c("s_pair_total") == 0) & (c("word_total") >= 50), F.lit(False))  # a pair never seen after a frequent word: most likely a cut word
+        .when(c("s_lone_total") >= 4, c("s_lone_ends") >= 0.2 * c("s_lone_total"))
+        .otherwise((c("s_lone_total") > 0) & (c("s_lone_ends") == c("s_lone_total")))
+    )
+    item = F.when(c("pair_total") > 0, c("pair_ends") >= 0.5 * c("pair_total")).when(c("lone_total") > 0, c("lone_ends") >= 0.5 * c("lone_total")).otherwise(sentence)
+    return got.select(*_ID, F.when(c("kind") == "i", item).otherwise(sentence).alias("closes"))
+
+
+def _guesses(asked: DataFrame, spoken: DataFrame) -> DataFrame:
+    """(record_table, record_id, q_guess, r_guess): the likeliest language of Latin script by the words of
+    clear replies, if it is clearly so. `spoken`: lang, word, n."""
+    totals = {r["lang"]: r["t"] for r in spoken.groupBy("lang").agg(F.sum("n").alias("t")).collect()}  # one row a language of the list
+    each = asked.select(*_ID, F.explode(F.array(F.struct(F.lit("q").alias("side"), F.col("q_words").alias("w")), F.struct(F.lit("r").alias("side"), F.col("r_words").alias("w")))).alias("x")).select(*_ID, "x.side", F.explode("x.w").alias("word"))
+    if len(totals) < 2:
+        return asked.select(*_ID, F.lit(None).cast("string").alias("q_guess"), F.lit(None).cast("string").alias("r_guess"))
+    by_word = spoken.groupBy("word").agg(*[F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)).alias(f"n_{lang}") for lang in totals])
+    counted = each.groupBy(*_ID, "side", "word").agg(F.count("*").alias("times")).join(by_word, "word")
+    scores = counted.groupBy(*_ID, "side").agg(*[F.sum(F.col("times") * F.log((F.col(f"n_{lang}") + 0.1) / F.lit(t + 100.0))).alias(f"s_{lang}") for lang, t in totals.items()])
+    ranked = F.sort_array(F.array(*[F.struct(F.col(f"s_{lang}").alias("s"), F.lit(lang).alias("lang")) for lang in totals]), asc=False)
+    best = scores.select(*_ID, "side", ranked.alias("k")).select(*_ID, "side", F.when(F.col("k")[0]["s"] - F.col("k")[1]["s"] >= 1.5, F.col("k")[0]["lang"]).alias("guess"))
+    return best.groupBy(*_ID).agg(*[F.max(F.when(F.col("side") == x, F.col("guess"))).alias(f"{x}_guess") for x in "qr"])
 
 
 PAIR = "record_table string, record_id long, defect string"
@@ -436,30 +478,25 @@ def pairs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.unionByName(t)
 
 
-def fit_endings(pairs: DataFrame, rows: int = SAMPLE_ROWS) -> EndingModel:
-    """The ending model from the `rows` replies with the smallest hashes."""
-    sample = pairs.where(F.length("reply") > 20).select("reply", F.xxhash64("record_table", "record_id").alias("h")).orderBy("h").limit(rows)
-    return EndingModel().fit(r.reply for r in sample.select("reply").collect())
-
-
-def defects(pairs: DataFrame, model: EndingModel) -> DataFrame:
+def defects(pairs: DataFrame) -> DataFrame:
     """(record_table, record_id, defect) of every pair with a defect; each key once."""
-    sent = pairs.sparkSession.sparkContext.broadcast(model)  # size bounded by the sample
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = sent.value
-        for pdf in batches:
-            kinds = [defect_of(q, a, w, m) for q, a, w in zip(pdf["question"], pdf["reply"], pdf["refusal_wanted"])]
-            out = pdf[["record_table", "record_id"]].assign(defect=kinds)
-            yield out[out["defect"].notna()]
-
-    return spread(pairs.where(F.col("record_id").isNotNull())).mapInPandas(run, PAIR).groupBy("record_table", "record_id").agg(F.min("defect").alias("defect"))
+    pairs = pairs.where(F.col("record_id").isNotNull())
+    read = cut_lineage(spread(pairs).mapInPandas(_read, _READ))
+    rows = read.where("word is null").groupBy(*_ID).agg(*[F.min_by(c, F.struct(F.coalesce("defect", F.lit("~")), "before")).alias(c) for c in _READ_COLUMNS[2:11]])
+    rows = cut_lineage(rows)
+    open_ = rows.where("defect is null")
+    guessed = _guesses(open_.where("q_words is not null or r_words is not null"), read.where("word is not null").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    closing = _closes(open_.where("kind is not null").select(*_ID, "kind", "before", "last"), pairs.select("reply"))
+    j = open_.join(guessed, _ID, "left").join(closing, _ID, "left")
+    spoken = lambda x: F.when(F.col(f"{x}_words").isNotNull(), F.coalesce(f"{x}_guess", f"{x}_lang")).otherwise(F.col(f"{x}_lang"))
+    other = F.coalesce(spoken("q") != spoken("r"), F.lit(False))
+    decided = F.when(other, "other_language").when(F.coalesce("is_cut", ~F.col("closes"), F.lit(False)), "truncated")
+    return rows.where("defect is not null").select(*_ID, "defect").unionByName(j.select(*_ID, decided.alias("defect")).where("defect is not null"))
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every defective pair with its one defect."""
-    pairs = pairs_of(spark, sf_dir)
-    return defects(pairs, fit_endings(pairs))
+    return defects(pairs_of(spark, sf_dir))
 
 
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -142,29 +142,49 @@ def test_long_documents_go_through_chunks(spark):
     assert sorted((r["start_char"], r["end_char"]) for r in got) == sentences.units(text) and len(got) == 3000
 
 
-ENDINGS = replies.EndingModel().fit(iter(["The layer limits the learning rate. The gated kernel smooths the loss surface. The layer limits the loss surface.\n\nThree points matter:\n- Gated kernel\n- Sparse layer\n- Gated layer"] * 30))
+ENDS = "The layer limits the learning rate. The gated kernel smooths the loss surface. The layer limits the loss surface.\n\nThree points matter:\n- Gated kernel\n- Sparse layer\n- Gated layer"
+DEFECTS = [
+    ("What is it?", "**Answer:** [DOC 3]", False, "empty"),
+    ("What does the kernel do?", "Q: what does kernel do…", False, "copied_question"),
+    ("What does the kernel do?", "You ask: What does the kernel do? The gated kernel smooths the loss surface.", False, None),
+    ("what does the kernel do", "what does the kernel do\n\nwhat does the kernel do", False, "copied_question"),
+    ("What is it?", "Unfortunately, no reliable statement can be made here. Please ask your teacher.", False, "refusal"),
+    ("What is it?", "Unfortunately, no reliable statement can be made here. " * 150, False, "refusal"),
+    ("What is it?", "The layer limits $" + "x + " * 90 + "y$ and the gated", False, "truncated"),
+    ("Que limite la couche ?", "La couche limite la perte.\n\n```\nif x and y: return the_log\n```", False, None),
+    ("What is it?", "Unfortunately, no reliable statement can be made here.", True, None),
+    ("What is it?", "The first passage does not cover this, but the second one does: The layer limits the loss surface.", False, None),
+    ("What is it?", "La couche limite la surface de perte pour les données.", False, "other_language"),
+    ("What is it?", "The layer limits the loss surface. The French notes call this “la couche de perte”.", False, None),
+    ("What is it?", "The layer limits the loss surface. The gated", False, "truncated"),
+    ("What is it?", "The layer limits the loss surface", False, None),
+    ("What is it?", "The layer limits the loss surface.\n\n```\nx = 1", False, "truncated"),
+    ("What is it?", "The layer limits the loss surface. Three points matter: [DOC 2]", False, "truncated"),
+    ("What is it?", "The layer limits the loss surface.\n\n- Gated kernel\n- Gated layer", False, None),
+]
 
 
-@pytest.mark.parametrize(
-    ("question", "reply", "wanted", "defect"),
-    [
-        ("What is it?", "**Answer:** [DOC 3]", False, "empty"),
-        ("What does the kernel do?", "Q: what does kernel do…", False, "copied_question"),
-        ("What does the kernel do?", "You ask: What does the kernel do? The gated kernel smooths the loss surface.", False, None),
-        ("What is it?", "Unfortunately, no reliable statement can be made here. Please ask your teacher.", False, "refusal"),
-        ("What is it?", "Unfortunately, no reliable statement can be made here.", True, None),
-        ("What is it?", "The first passage does not cover this, but the second one does: The layer limits the loss surface.", False, None),
-        ("What is it?", "La couche limite la surface de perte pour les données.", False, "other_language"),
-        ("What is it?", "The layer limits the loss surface. The French notes call this “la couche de perte”.", False, None),
-        ("What is it?", "The layer limits the loss surface. The gated", False, "truncated"),
-        ("What is it?", "The layer limits the loss surface", False, None),
-        ("What is it?", "The layer limits the loss surface.\n\n```\nx = 1", False, "truncated"),
-        ("What is it?", "The layer limits the loss surface. Three points matter: [DOC 2]", False, "truncated"),
-        ("What is it?", "The layer limits the loss surface.\n\n- Gated kernel\n- Gated layer", False, None),
-    ],
-)
-def test_defects(question, reply, wanted, defect):
-    assert replies.defect_of(question, reply, wanted, ENDINGS) == defect
+def test_defects(spark):
+    rows = [("t", 10_000 + i, "What is it?", ENDS, False) for i in range(30)] + [("t", i, q, a, w) for i, (q, a, w, _) in enumerate(DEFECTS)]
+    got = replies.defects(spark.createDataFrame(rows, "record_table string, record_id long, question string, reply string, refusal_wanted boolean"))
+    found = {r["record_id"]: r["defect"] for r in got.collect()}
+    assert [found.get(i) for i in range(len(DEFECTS))] == [d for *_, d in DEFECTS]
+
+
+def test_ending_counts_are_those_of_a_plain_count(spark):
+    import re
+    from collections import Counter
+
+    texts = [ENDS, "A layer. It ends [DOC 3] here at v2.5 in rank 12!\n- x: y\n- z\n- w\n\n```\na b. c\n```\nA cut sentence that stops ...", None, ""]
+    want: Counter = Counter()
+    for kind, unit in [("s", "The layer limits the learning rate"), ("s", "The gated kernel smooths the loss surface"), ("s", "The layer limits the loss surface"), ("i", "Gated kernel"), ("i", "Sparse layer"), ("s", "A layer"), ("s", " It ends   here at v2.5 in rank 12"), ("i", "x: y"), ("i", "z")]:
+        w = ["^", *[re.sub(r"\d+", "0", x) for x in re.findall(r"[^\W_]+|[,:;]", unit.lower())]]
+        for k in range(1, len(w)):
+            done = k == len(w) - 1 or kind == "i" and w[k + 1] == ":"
+            want[kind, w[k - 1], w[k]] += 1
+            want[kind, w[k - 1], w[k], "ends"] += done
+    got = replies.ending_counts(spark.createDataFrame([(x,) for x in texts], "reply string")).collect()
+    assert {(r["kind"], r["before"], r["last"]): (r["total"], r["ends"]) for r in got} == {k: (n, want[(*k, "ends")]) for k, n in want.items() if len(k) == 3}
 
 
 def test_tiling_covers_each_word_once():
