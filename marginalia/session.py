@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -49,12 +50,14 @@ def ship_package(spark: SparkSession) -> None:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the folder the session names in spark.checkpoint.dir.
 
-    The folder is shared on a cluster, so the data survive a lost executor. Only where the
-    setting is absent, as in tests, a folder of our own is set.
+    The folder is shared on a cluster, so the data survive a lost executor. Only on one machine, as
+    in tests, a missing setting gives a folder of our own; a cluster without it is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="marginalia-checkpoint-"))
     return df.checkpoint(eager=True)
 
