@@ -8,8 +8,9 @@ symbol to the next state and says whether a unit ends there.
 A document longer than `CHUNK` characters is read in chunks. Each chunk is first read from all
 states at once, which gives its state-transition function; the functions of a document are
 composed by a parallel prefix scan (doubling), which gives the state each chunk starts in; then
-every chunk emits its units, and units that cross a chunk border are joined. Short documents are
-one chunk that starts in the first state.
+every chunk emits the units that lie within it, and one row of what stays open at its two borders,
+from which the units that cross borders are joined. Short documents are one chunk that starts in the
+first state.
 
 Null texts, and texts without visible characters, have no units. Offsets are code points.
 """
@@ -21,10 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import spread, table
+from ..session import cut_lineage, spread, table
 
 CHUNK = 16_384
 SLACK = 8  # characters by which later edits may have changed a wrapped line
@@ -119,6 +120,10 @@ _ABBREVIATIONS = frozenset(
 )
 _NUMBERED = frozenset("no nos n° nº art chap".split())  # only before a figure
 _ORDINAL = re.compile(r"(?:^|\s)(?:der|die|das|dem|den|des|am|im|vom|zum|zur|beim|bis|seit|ab|und)\s+\d{1,3}$", re.I)
+# fixed values: words that open a sentence after an initial, and are no surnames
+_STARTERS = frozenset(
+    "The This That These Those He She It They We You There Here His Her Its But And When While If Il Elle Ils Elles On Nous Ce Cette Ces Cela Ceci Les Mais Et Dans Quand Er Sie Es Wir Ihr Der Die Das Dies Diese Dieser Dieses Aber Und Wenn Él Ella Ellos Ellas El Los Las Este Esta Esto Estos Estas Pero Cuando".split()
+)
 # fixed values: words of scripts without marks after which, or before which, a blank ends nothing
 _OPENING_WORDS = frozenset("ดังนั้น อย่างไรก็ตาม ในบทนี้ โดยทั่วไป ในทางปฏิบัติ ระหว่างการฝึก หลังจากลู่เข้าแล้ว และ หรือ แต่ เพราะ นอกจากนี้ กล่าวคือ ตัวอย่างเช่น ประมาณ เมื่อ หาก ถ้า สำหรับ ในกรณีนี้ ต่อมา จากนั้น ทั้งนี้ ในที่สุด สุดท้าย อันที่จริง เช่น".split())
 _CONTINUES = re.compile(r"[\"“(]?(?:ประมาณ|และ|หรือ|บนชุด|บน|ซึ่ง|ที่|เพราะ|เนื่องจาก|แต่|จาก|ถึง|ต่อ|ครั้ง|เท่า|เปอร์เซ็นต์|ของ|ด้วย|เช่น|ฯลฯ|ๆ)")
@@ -155,8 +160,9 @@ def _ends_sentence(text: str, m: re.Match, nxt: str, spaced: bool) -> bool:
     if low in _NUMBERED and nxt.isdigit():
         return False
     if len(word) == 1 and word.isalpha() and not _CASELESS.match(word):
-        if word.isupper() and word.lower() != word:
-            return False  # an initial
+        if word.isupper() and word.lower() != word:  # an initial, unless a word follows that opens sentences and no name
+            follows = re.match(r"\s+([^\W\d_]+)", text[m.end() : m.end() + 40])
+            return word != "M" and follows is not None and follows[1] in _STARTERS
         if nxt.islower() or nxt.isdigit():
             return low == "д"
         if re.match(r"\s*[^\W\d_]\.", text[m.end() : m.end() + 8]):
@@ -188,13 +194,6 @@ def wrap_width(text: str) -> int:
     return width
 
 
-def _wrap_width_column() -> F.Column:
-    """`wrap_width` in the JVM, for texts that are read in chunks."""
-    lines = lambda p: F.transform(F.filter(F.split(p, "\n"), lambda x: (F.rtrim(x) != "") & ~x.rlike(_UNWRAPPED)), lambda x: F.length(F.rtrim(x)))
-    tops = F.transform(F.filter(F.transform(F.split("text", _BLANK_LINES), lines), lambda x: F.size(x) > 1), F.array_max)
-    return F.coalesce(F.array_max(F.filter(tops, lambda x: x.between(30, 110))), F.lit(0)).cast("int")
-
-
 def scan(text: str, first: int, last: int, width: int) -> Iterator[tuple[int, int]]:
     """(symbol, end) of every symbol that starts in [first, last)."""
     n = len(text)
@@ -412,42 +411,95 @@ def _entries(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "chunk_no": pdf["chunk_no"].to_numpy() + 1, "state": scanned[:, 0].astype("int32")})
 
 
+_SEGMENT = "doc_id long, chunk_no int, start_char long, end_char long, edge boolean, passed boolean, tail_start long, tail_end long"
+_SEGMENT_COLUMNS = [c.split()[0] for c in _SEGMENT.split(", ")]
+Span = tuple[int, int] | None
+
+
+def _joined(a: Span, b: Span) -> Span:
+    return (min(a[0], b[0]), max(a[1], b[1])) if a and b else a or b
+
+
+def borders(segments: list[tuple[int, int, bool]]) -> tuple[list[tuple[int, int]], Span, bool, Span]:
+    """(units within a chunk, what is open at its start, whether a unit ends in it, what is open at its end)."""
+    within: list[tuple[int, int]] = []
+    head: Span = None
+    now: Span = None
+    passed = False
+    for a, b, closed in segments:
+        if a < b:
+            now = _joined(now, (a, b))
+        if closed:
+            if not passed:
+                head, passed = now, True
+            elif now:
+                within.append(now)
+            now = None
+    return (within, head, True, now) if passed else (within, now, False, None)
+
+
 def _segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for r in pdf.itertuples(index=False):
             text, a, b, shift = _window(r)
-            segments, _ = emit(text, a, b, r.width, first_state(text) if r.chunk_no == 0 else int(r.state))
-            rows += [(r.doc_id, r.chunk_no, i, s + shift, e + shift, s < e, closed) for i, (s, e, closed) in enumerate(segments)]
-        yield pd.DataFrame(rows, columns=["doc_id", "chunk_no", "seg", "s", "e", "seen", "closed"])
-
-
-def _chunks(docs: DataFrame) -> DataFrame:
-    n = F.ceil(F.length("text") / CHUNK).cast("int")
-    c = docs.select("doc_id", "text", _wrap_width_column().alias("width"), F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_no"))
-    first = F.col("chunk_no") * CHUNK
-    offset = F.greatest(F.lit(0), first - MARGIN)
-    size = F.least(F.lit(CHUNK), F.length("text") - first)
-    return c.select("doc_id", "chunk_no", "width", first.cast("long").alias("first"), offset.cast("long").alias("offset"), size.cast("long").alias("size"), F.substring("text", offset + 1, first - offset + size + MARGIN).alias("body"))
+            found, _ = emit(text, a, b, r.width, first_state(text) if r.chunk_no == 0 else int(r.state))
+            within, head, passed, tail = borders(found)
+            at = lambda span: (span[0] + shift, span[1] + shift) if span else (None, None)  # noqa: B023, E731
+            rows += [(r.doc_id, r.chunk_no, *at(x), False, None, None, None) for x in within]
+            rows.append((r.doc_id, r.chunk_no, *at(head), True, passed, *at(tail)))
+        out = pd.DataFrame(rows, columns=_SEGMENT_COLUMNS)
+        yield out.astype({c: "Int64" for c in ("start_char", "end_char", "tail_start", "tail_end")})
+
+
+def _crossing(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The units of a document that cross borders of its chunks."""
+    rows = []
+    now: Span = None
+    whole = lambda a, b: None if pd.isna(a) else (int(a), int(b))
+    for r in pdf.sort_values("chunk_no").itertuples(index=False):
+        now = _joined(now, whole(r.start_char, r.end_char))
+        if r.passed:
+            rows += [now] if now else []
+            now = whole(r.tail_start, r.tail_end)
+    rows += [now] if now else []
+    return pd.DataFrame([(pdf["doc_id"].iloc[0], a, b) for a, b in rows], columns=["doc_id", "start_char", "end_char"]).astype("int64")
+
+
+_CHUNKS = "doc_id long, chunk_no int, width int, first long, offset long, size long, body string"
+
+
+def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts cut into chunks with margins; each text is gone through once."""
+    for pdf in batches:
+        for doc, text in zip(pdf["doc_id"], pdf["text"]):
+            width = wrap_width(text)
+            rows = []
+            for no, first in enumerate(range(0, len(text), CHUNK)):
+                offset, size = max(0, first - MARGIN), min(CHUNK, len(text) - first)
+                rows.append((doc, no, width, first, offset, size, text[offset : first + size + MARGIN]))
+                if len(rows) == 256:
+                    yield pd.DataFrame(rows, columns=[c.split()[0] for c in _CHUNKS.split(", ")])
+                    rows = []
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _CHUNKS.split(", ")])
 
 
 def sentence_units(docs: DataFrame) -> DataFrame:
     """(doc_id, start_char, end_char) of every unit of every document.
 
-    Short documents need no shuffle. Of long ones only the transition functions (a few numbers a
-    chunk) and then the chunks themselves move, so one huge document is spread over all tasks.
+    Short documents need no shuffle. The chunks of long ones are spread over all tasks; what meets
+    in one task for a document are the numbers of its chunks, a transition function and the open
+    borders for each `CHUNK` characters.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     short = spread(docs.where(F.length("text") <= CHUNK)).mapInPandas(_short, UNITS)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunks = _chunks(docs.where(F.length("text") > CHUNK)).repartition(n, "doc_id", "chunk_no")
+    chunks = docs.where(F.length("text") > CHUNK).mapInPandas(_cut, _CHUNKS).repartition(n, "doc_id", "chunk_no")
     functions = chunks.mapInPandas(_functions, "doc_id long, chunk_no int, f array<int>")
     entries = functions.groupBy("doc_id").applyInPandas(_entries, "doc_id long, chunk_no int, state int")
-    segments = chunks.join(entries, ["doc_id", "chunk_no"], "left").mapInPandas(_segments, "doc_id long, chunk_no int, seg int, s long, e long, seen boolean, closed boolean")
-    w = Window.partitionBy("doc_id").orderBy("chunk_no", "seg")
-    unit = segments.withColumn("unit", F.coalesce(F.sum(F.col("closed").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    long = unit.where("seen").groupBy("doc_id", "unit").agg(F.min("s").alias("start_char"), F.max("e").alias("end_char")).select("doc_id", "start_char", "end_char")
-    return short.unionByName(long)
+    segments = cut_lineage(chunks.join(entries, ["doc_id", "chunk_no"], "left").mapInPandas(_segments, _SEGMENT))  # numbers only
+    crossing = segments.where("edge").groupBy("doc_id").applyInPandas(_crossing, UNITS)
+    return short.unionByName(segments.where("not edge").select("doc_id", "start_char", "end_char")).unionByName(crossing)
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
