@@ -5,9 +5,12 @@ weight; documents of a source in order of their keys are a weighted sample witho
 The total is the largest for which no source needs more than its allowed repeats: complete epochs
 of a source come first, then the documents whose running token sum stays within the rest.
 
-The order within a source is cut into buckets by a monotone function of the key. Bucket sums are
+The order within a source is cut into buckets by the logarithm of the key, `STEPS` a factor e. Whatever
+the weights, a bucket then holds at most 1 / (e STEPS) of a source's documents, 0.15 %. Bucket sums are
 aggregated before anything moves, so a running sum is the sum of earlier buckets plus a sum within
 one bucket, and a source with a third of all documents is spread over as many tasks as any other.
+Documents are whole, so the prefix stops short of the budget; the one document of the rest that fits
+the gap best is added if that comes nearer.
 
 Sources without tokens can't contribute; the others keep their shares in proportion. Documents
 without tokens are left out. Each document counts once; repeated rows of a source's weight count
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage, table
 from .tokens import token_sizes
 
-BUCKETS = 512
+STEPS = 256  # buckets a factor e of the key
 
 
 def quality() -> F.Column:
@@ -44,9 +47,9 @@ def mix(docs: DataFrame, weights: DataFrame, seed: int = 7) -> DataFrame:
     """(source, doc_id, tokens, copies) of the mixture. `docs`: doc_id, source, tokens, weight."""
     weights = weights.where("source is not null and target_share > 0 and max_repeats >= 1").groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("repeats"))
     docs = exponential_keys(docs.where("tokens > 0"), seed)
-    docs = docs.withColumn("bucket", F.least(F.lit(BUCKETS - 1), F.floor((1 - F.exp(-F.col("key"))) * BUCKETS)).cast("int"))
+    docs = docs.withColumn("bucket", F.floor(F.log("key") * STEPS).cast("int"))  # keys are above 0 and finite, as is their number of buckets
     docs = docs.join(weights.select("source"), "source", "left_semi")
-    sums = cut_lineage(docs.groupBy("source", "bucket").agg(F.sum("tokens").alias("t")))  # sources x BUCKETS rows
+    sums = cut_lineage(docs.groupBy("source", "bucket").agg(F.sum("tokens").alias("t")))  # a few thousand rows a source
     totals = sums.groupBy("source").agg(F.sum("t").alias("have")).join(weights, "source")
     # the largest total that every source can serve
     most = totals.agg(F.min(F.col("repeats") * F.col("have") / F.col("share")).alias("total"))
@@ -57,9 +60,15 @@ def mix(docs: DataFrame, weights: DataFrame, seed: int = 7) -> DataFrame:
     starts = sums.withColumn("before", before).join(plan.select("source", "epochs", "rest", "repeats"), "source").select("source", "bucket", "before", "epochs", "rest", "repeats")
     within = F.sum("tokens").over(Window.partitionBy("source", "bucket").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     run = docs.withColumn("within", within).join(starts, ["source", "bucket"])
-    # the document that crosses the rest is taken if that comes nearer to it
-    taken = (F.col("before") + F.col("within") - F.col("tokens") / 2.0 <= F.col("rest")) & (F.col("rest") > 0) & (F.col("epochs") < F.col("repeats"))
-    return run.select("source", "doc_id", "tokens", (F.col("epochs") + taken.cast("long")).alias("copies")).where("copies > 0")
+    upto = F.col("before") + F.col("within")
+    run = cut_lineage(run.withColumn("drawn", (upto <= F.col("rest")) & (F.col("epochs") < F.col("repeats"))))
+    # the gap that whole documents leave, and the document that fits it best
+    open_ = run.where((F.col("epochs") < F.col("repeats")) & (F.col("rest") > 0))
+    gaps = open_.groupBy("source").agg((F.first("rest") - F.coalesce(F.sum(F.when(F.col("drawn"), F.col("tokens"))), F.lit(0))).alias("gap"))
+    miss = F.abs(F.col("gap") - F.col("tokens"))
+    fill = open_.where(~F.col("drawn")).join(gaps, "source").where(miss < F.col("gap")).groupBy("source").agg(F.min_by("doc_id", F.struct(miss, "key", "doc_id")).alias("fill"))
+    taken = F.col("drawn") | F.coalesce(F.col("fill") == F.col("doc_id"), F.lit(False))
+    return run.join(fill, "source", "left").select("source", "doc_id", "tokens", (F.col("epochs") + taken.cast("long")).alias("copies")).where("copies > 0")
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
