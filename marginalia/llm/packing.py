@@ -13,6 +13,8 @@ that is null or below 1 is ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -22,8 +24,7 @@ from ..session import cut_lineage, table
 from .tokens import token_sizes
 
 GROUP_ITEMS = 20_000  # items a group holds on average; bounds the memory of a task
-ROUNDS = 3
-KINDS_MOST = 1_000  # rows of the table of capacities
+KINDS_AT_ONCE = 1_000  # kinds of containers filled in one pass; more are filled in several
 
 
 def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,12 +67,15 @@ def lower_bound(sizes: np.ndarray, capacity: int, counts: np.ndarray | None = No
         whole = scaled % c == 0
         value = np.where(whole, k * sizes, c * (scaled // c))  # in units of 1 / (k * capacity)
         best = max(best, -(-int((value * counts).sum()) // (k * c)))
-    limits = np.unique(sizes[sizes * 2 <= c])
-    if len(limits) > 64:
-        limits = limits[np.linspace(0, len(limits) - 1, 64).astype(int)]
-    for e in limits:  # large items fill a container alone, items below e vanish
-        value = np.where(sizes > c - e, c, np.where(sizes < e, 0, sizes))
-        best = max(best, -(-int((value * counts).sum()) // c))
+    # for each limit e: items above c - e fill a container alone, items below e vanish; sums by prefix
+    order = np.argsort(sizes, kind="stable")
+    x, n = sizes[order], counts[order].astype(np.int64)
+    below_n, below_v = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(x * n)])
+    e = x[x * 2 <= c]
+    if len(e):
+        large, small = np.searchsorted(x, c - e, side="right"), np.searchsorted(x, e, side="left")
+        value = c * (below_n[-1] - below_n[large]) + below_v[large] - below_v[small]
+        best = max(best, -(-int(value.max()) // c))
     return best
 
 
@@ -96,11 +100,12 @@ def _packed(items: DataFrame, salt: int) -> DataFrame:
 def pack(sizes: DataFrame, capacities: DataFrame) -> DataFrame:
     """(container_kind, container_id, capacity, doc_id, piece_no, start_token, size) of every piece.
 
-    `sizes`: doc_id, tokens. The table of capacities is one row a kind and checked to be small.
+    `sizes`: doc_id, tokens. The table of capacities is one row a kind.
     """
-    kinds = capacities.where("container_kind is not null and capacity_tokens >= 1").groupBy("container_kind").agg(F.max("capacity_tokens").alias("c")).limit(KINDS_MOST + 1).collect()
-    if len(kinds) > KINDS_MOST:
-        raise ValueError(f"more than {KINDS_MOST} kinds of containers")
+    kinds = capacities.where("container_kind is not null and capacity_tokens >= 1").groupBy("container_kind").agg(F.max("capacity_tokens").alias("c")).orderBy("container_kind").collect()  # a table of settings
+    if len(kinds) > KINDS_AT_ONCE:
+        parts = [capacities.sparkSession.createDataFrame([(k["container_kind"], k["c"]) for k in kinds[lo : lo + KINDS_AT_ONCE]], "container_kind string, capacity_tokens int") for lo in range(0, len(kinds), KINDS_AT_ONCE)]
+        return reduce(DataFrame.unionByName, [pack(sizes, part) for part in parts])
     if not kinds:
         kinds_col = F.array().cast("array<struct<container_kind:string,capacity:int>>")
     else:
@@ -115,7 +120,9 @@ def pack(sizes: DataFrame, capacities: DataFrame) -> DataFrame:
     columns = ["container_kind", "container_id", "capacity", "doc_id", "piece_no", "start_token", "size"]
     done = full.withColumn("container_id", F.concat_ws("-", "container_kind", F.lit("full"), "doc_id", "piece_no")).select(columns)
     packed = _packed(pieces.where("size < capacity"), 0)
-    for r in range(1, ROUNDS + 1):
+    r = 0
+    while True:  # ends: each round but the last saves a container of some kind
+        r += 1
         loose = (F.col("n_bins") > F.col("least_bins")) & (F.col("room") > 0)
         released = packed.where(loose)
         if released.isEmpty():
@@ -130,8 +137,6 @@ def pack(sizes: DataFrame, capacities: DataFrame) -> DataFrame:
         done = done.unionByName(named(packed.where(won & ~loose), r - 1).select(columns))
         done = done.unionByName(named(packed.where(~won), r - 1).select(columns))
         packed = again.where(won)
-    else:
-        r = ROUNDS + 1
     return done.unionByName(named(packed, r - 1).select(columns))
 
 
