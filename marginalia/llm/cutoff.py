@@ -90,7 +90,8 @@ def _rounds_apart(scores: DataFrame, state: DataFrame) -> DataFrame:
 
 def _round(scores: DataFrame, state: DataFrame) -> DataFrame:
     """One round: reports of all partitions, merged, and each source's interval halved about."""
-    reports = scores.join(state.select("g", "lo", "hi", "pivot"), "g").mapInPandas(_report, _REPORT)
+    open_ = scores.join(state.select("g", "lo", "hi", "pivot"), "g").where((F.col("score") > F.col("lo")) & (F.col("score") < F.col("hi")))
+    reports = open_.mapInPandas(_report, _REPORT)  # closed scores and settled sources never reach Python
     merged = reports.groupBy("g").agg(
         F.sum("n_above").alias("a"), F.sum("n_at").alias("e"), _weighted_median("med_above", "n_above").alias("next_above"), _weighted_median("med_below", "n_below").alias("next_below")
     )
