@@ -2,7 +2,8 @@
 
 Lexical-cohesion segmentation. A text is read as units (blocks, sentences, lines); at each gap
 between units the similarity of the words before and after gives a cohesion curve, whose valleys
-mark changes of topic. Each piece ends at the deepest valley of its size window. A unit that
+mark changes of topic. Each piece ends at the deepest valley of its size window, which reaches from
+half the limit to the limit (all of it where that half has no natural cut). A unit that
 can't fit alone is cut at the next finer boundary: line, blank, and only last between characters.
 
 Rows: an item is oversized if its text is longer than `max_chars` in code points. A null or empty
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import spread, table
 from .structure import atomic_blocks
 
 _SENTENCE_GAP = re.compile(r"(?<=[.!?…])[»”\"')\]]*\s+|(?<=[。！？｡])[」』”）]*\s*|\n+")
@@ -98,8 +99,8 @@ def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]
     """Spans (start, end, boundary) of pieces of at most `limit` characters, each starting exactly
     `overlap` characters before the end of the one before (fewer only if the limit is no larger).
 
-    A natural cut in the window's second half wins by depth; else the last natural cut of the
-    window, else the last line break, else the last blank, else the limit itself.
+    The deepest natural cut between half the limit and the limit wins; without one there, the deepest
+    before it; else the last line break, else the last blank, else the limit itself.
     """
     if len(text) <= limit:
         return [(0, len(text), "end")]
@@ -150,15 +151,9 @@ def split_items(items: DataFrame, limits: DataFrame) -> DataFrame:
     oversized items leave the JVM; they are spread by key, so one field or source may hold all.
     """
     limits = limits.select("item_field", "max_chars", F.coalesce("overlap_chars", F.lit(0)).alias("overlap_chars"))
-    n = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    large = (
-        items.join(limits, "item_field")
-        .where(F.length("body") > F.col("max_chars"))
-        .repartition(n, "item_field", "item_key")
-        .dropDuplicates(["item_field", "item_key"])
-        .select("item_field", "item_key", "body", F.coalesce("own", F.lit("")).alias("own"), "max_chars", "overlap_chars")
-    )
-    return large.mapInPandas(_split_batches, PIECES)
+    large = items.join(limits, "item_field").where(F.length("body") > F.col("max_chars")).select("item_field", "item_key", "body", F.coalesce("own", F.lit("")).alias("own"), "max_chars", "overlap_chars")
+    # a repeated item gives the same pieces again, which are dropped by their numbers
+    return spread(large).mapInPandas(_split_batches, PIECES).dropDuplicates(["item_field", "item_key", "piece_no"])
 
 
 def items_of(spark: SparkSession, sf_dir: str) -> DataFrame:

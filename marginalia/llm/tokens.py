@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 from ..session import spread
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
-LONGEST = 200_000  # characters encoded at once; longer texts are encoded line by line group
+LONGEST = 200_000  # characters after which a text is cut at the next place where tokens can't cross
+_CUT = re.compile(r"(?<=[^\W\d_]) (?=[^\W\d_])")  # before a blank between letters, where the pattern starts a new piece
 
 
 @lru_cache(maxsize=4)
@@ -34,13 +36,10 @@ def count_tokens(text: str | None, path: str | None = None) -> int:
     encode = encoder(path).encode_ordinary
     if len(text) <= LONGEST:
         return len(encode(text))
-    # very long texts: cut where the pattern surely starts a new piece, before a blank that a letter follows
     total, at = 0, 0
-    while at < len(text):
-        end = min(len(text), at + LONGEST)
-        if end < len(text):
-            while end > at + LONGEST // 2 and not (text[end] == " " and text[end + 1 : end + 2].isalpha() and text[end - 1].isalpha()):
-                end -= 1
+    while at < len(text):  # a text without such a place is encoded as a whole
+        m = _CUT.search(text, at + LONGEST) if at + LONGEST < len(text) else None
+        end = m.start() if m else len(text)
         total += len(encode(text[at:end]))
         at = end
     return total
