@@ -21,6 +21,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +46,7 @@ _QUOTED = re.compile(r"«[^»]*»|“[^”]*”|„[^“”]*[“”]|\"[^\"\n]*
 _WORD = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*")
 
 
+@lru_cache(maxsize=16)
 def undress(text: str | None) -> str:
     """The text without invisible characters, source labels, tags, fence marks and opening labels."""
     t = _INVISIBLE.sub("", text or "")
@@ -65,9 +67,12 @@ def is_empty(text: str | None) -> bool:
 # ---- copied questions ------------------------------------------------------------------------
 
 
+_ACCENTS = re.compile("[\u0300-\u036f]+")
+
+
 def _folded(text: str) -> list[str]:
-    t = unicodedata.normalize("NFKD", text.lower())
-    return re.findall(r"[^\W_]+", "".join(c for c in t if not unicodedata.combining(c)))
+    t = text.lower()
+    return re.findall(r"[^\W_]+", t if t.isascii() else _ACCENTS.sub("", unicodedata.normalize("NFKD", t)))
 
 
 def tiles(a: list[str], b: list[str], least: int = 2) -> list[tuple[int, int, int]]:
@@ -203,6 +208,8 @@ _SCRIPTS = [
     ("el", re.compile("[Ͱ-Ͽ]")),
     ("ko", re.compile("[가-힯]")),
 ]
+_OTHER_SCRIPT = re.compile("[\u0370-\u1fff\u3040-\uffff]")
+_MARKED = re.compile("[" + "".join(_LETTERS) + "]")
 
 
 def prose(text: str) -> str:
@@ -216,35 +223,38 @@ def prose(text: str) -> str:
 
 def language(text: str) -> tuple[str | None, float]:
     """(language, margin over the second) by script, then function words and letters."""
-    t = prose(text)
-    letters = len(re.findall(r"[^\W\d_]", t))
-    if not letters:
+    t = prose(text).lower()
+    words = re.findall(r"[^\W\d_]+", t)
+    if not words:
         return None, 0.0
-    for lang, script in _SCRIPTS:
-        n = len(script.findall(t))
-        if n > 0.4 * letters or (n > 0.15 * letters and lang in ("ja", "zh", "th")):
-            return lang, float(n)
+    if _OTHER_SCRIPT.search(t):
+        letters = sum(map(len, words))
+        for lang, script in _SCRIPTS:
+            n = len(script.findall(t))
+            if n > 0.4 * letters or (n > 0.15 * letters and lang in ("ja", "zh", "th")):
+                return lang, float(n)
     score: Counter = Counter()
-    for w in re.findall(r"[^\W\d_]+", t.lower()):
+    for w, times in Counter(words).items():
         for lang, x in _WEIGHT.get(w, {}).items():
-            score[lang] += x
-    for c, lang in _LETTERS.items():
-        if n := t.lower().count(c):
-            score[lang] += 0.5 * n
+            score[lang] += x * times
+    if not t.isascii():
+        for c, times in Counter(_MARKED.findall(t)).items():
+            score[_LETTERS[c]] += 0.5 * times
     if not score:
         return None, 0.0
     (first, a), *rest = score.most_common(2)
     return first, a - (rest[0][1] if rest else 0.0)
 
 
-def spoken_in(text: str | None) -> tuple[str | None, float, list[str] | None]:
-    """(language, margin, words): by script or function words where these are clear; else with the words
-    that the counts are asked about, the language standing if they don't tell."""
+@lru_cache(maxsize=16)
+def spoken_in(text: str | None) -> tuple[str | None, float, list[str] | None, str]:
+    """(language, margin, words, text it was told from): by script or function words where these are clear;
+    else with the words that the counts are asked about, the language standing if they don't tell."""
     t = undress(_FENCE.sub("\n", text or ""))
     lang, margin = language(t)
     if margin < 2 and (lang is None or lang in _FUNCTION):
-        return (lang if margin >= 0.5 else None), margin, re.findall(r"[^\W\d_]{2,}", prose(t).lower())
-    return lang, margin, None
+        return (lang if margin >= 0.5 else None), margin, re.findall(r"[^\W\d_]{2,}", prose(t).lower()), t
+    return lang, margin, None, t
 
 
 # ---- truncation ------------------------------------------------------------------------------
@@ -362,7 +372,7 @@ def read_pair(question: str | None, reply: str | None, refusal_wanted: bool) ->
         return "copied_question", *sound[1:]
     if not refusal_wanted and is_refusal(reply):
         return "refusal", *sound[1:]
-    (q, _, q_words), (r, _, r_words) = spoken_in(question), spoken_in(reply)
+    (q, _, q_words, _), (r, _, r_words, _) = spoken_in(question), spoken_in(reply)
     sure = q_words is None and r_words is None
     if sure and q and r and q != r:
         return "other_language", *sound[1:]
@@ -387,9 +397,9 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if got[0] or got[5] is not None or got[6] or got[3] is not None or got[4] is not None:
                 rows.append((name, key, *got, None, None, None))
             if a and not got[0]:
-                lang, margin = language(a)
+                lang, margin, _, t = spoken_in(a)
                 if margin >= 3 and lang in _FUNCTION:
-                    spoken.setdefault(lang, Counter()).update(re.findall(r"[^\W\d_]{2,}", prose(a).lower()))
+                    spoken.setdefault(lang, Counter()).update(re.findall(r"[^\W\d_]{2,}", prose(t).lower()))
         if sum(map(len, spoken.values())) > 100_000:
             rows += [(None,) * 11 + (lang, w, n) for lang, c in spoken.items() for w, n in c.items()]
             spoken = {}
