@@ -47,6 +47,11 @@ def non_empty(*columns: Column) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns])
 
 
+def cut(text: str | None, n: int) -> str:
+    """`truncated` for a string at hand."""
+    return "(empty)" if not text else text if len(text) <= n else text[: n - 3] + "..."
+
+
 def truncated(text: Column, n: int) -> Column:
     """At most n characters, the last three dots if cut; `(empty)` for nothing."""
     return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.lit("(empty)")).when(F.length(text) > n, F.concat(F.left(text, F.lit(n - 3)), F.lit("..."))).otherwise(text)

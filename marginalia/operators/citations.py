@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -41,3 +41,12 @@ def analysis(answers: DataFrame) -> DataFrame:
     all_ = F.when(F.col("n_documents") > 0, F.sequence(F.lit(1), F.col("n_documents").cast("int"))).otherwise(F.array().cast("array<int>"))
     a = answers.select("qid", F.array_sort(F.array_distinct(F.filter(numbers, lambda x: (x >= 1) & (x <= F.col("n_documents"))))).alias("cited"), all_.alias("all"))
     return a.select("qid", "cited", F.array_except("all", "cited").alias("uncited"), F.when(F.size("all") > 0, F.round(F.size("cited") / F.size("all"), 2)).alias("rate"))
+
+
+def top_sources(labelled: DataFrame, k: int = 3) -> DataFrame:
+    """(qid, sources): the labels of a question's first k hits by rank, one a line, each once."""
+    w = Window.partitionBy("qid", "label").orderBy("rank")
+    once = labelled.withColumn("_n", F.row_number().over(w)).where("_n = 1")
+    first = once.withColumn("_p", F.row_number().over(Window.partitionBy("qid").orderBy("rank"))).where(F.col("_p") <= k)
+    ordered = F.array_sort(F.collect_list(F.struct("_p", F.concat(F.lit("- "), F.col("label")).alias("l"))))
+    return first.groupBy("qid").agg(F.array_join(F.transform(ordered, lambda x: x["l"]), "\n").alias("sources"))

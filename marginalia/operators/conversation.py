@@ -6,13 +6,14 @@ are turns without text. One conversation is one group; its state is bounded by t
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
+from .providers import ChatModel
 
 ROLES = {"student": "Student", "tutor": "Tutor"}
 SUMMARY, RECENT = "[SUMMARY OF THE CONVERSATION SO FAR]", "[LATEST TURNS]"
@@ -96,6 +97,28 @@ class Memory:
         self.turns, self.summary = [], ""
 
 
+SUMMARISER = "Continue the summary of a lesson between a student and a tutor. Keep names, open questions and what was agreed, in at most {words} words."
+
+
+def summariser(model: ChatModel, words: int = 500) -> Callable[[str, str], str]:
+    """A `summarise` for `Memory` by a chat model: the summary so far and the turns to add, to the new one."""
+
+    def run(before: str, turns: str) -> str:
+        parts = [f"SUMMARY SO FAR\n{before}"] if before else []
+        return cut_words(model.complete(SUMMARISER.format(words=words), "\n\n".join([*parts, f"TURNS TO ADD\n{turns}"])), words)
+
+    return run
+
+
+def tell(parts: Iterable[str], put: Callable[[str], object]) -> str:
+    """Passes on the parts of a streamed answer as they come, and gives the whole."""
+    said: list[str] = []
+    for p in parts:
+        put(p)
+        said.append(p)
+    return "".join(said)
+
+
 STATE = "conv_id long, n_turns int, n_kept int, summary string, history string"
 
 

@@ -94,45 +94,44 @@ def _pipe_table(rows: list[list[str]]) -> str:
     return "\n".join([line(rows[0]), "| " + " | ".join(["---"] * width) + " |", *map(line, rows[1:])])
 
 
-# fixed values: letters and operators of MathML and their LaTeX names
-MATH_SIGNS = {"α": r"\alpha", "β": r"\beta", "γ": r"\gamma", "δ": r"\delta", "ε": r"\epsilon", "θ": r"\theta", "λ": r"\lambda", "μ": r"\mu", "π": r"\pi", "σ": r"\sigma", "φ": r"\phi", "ω": r"\omega", "Σ": r"\Sigma", "∑": r"\sum", "∏": r"\prod", "∫": r"\int", "∞": r"\infty", "≤": r"\leq", "≥": r"\geq", "≠": r"\neq", "×": r"\times", "·": r"\cdot", "→": r"\to", "∈": r"\in", "∂": r"\partial", "∇": r"\nabla"}
+# fixed values: operators and letters of MathML and their LaTeX
+MATH_OPERATORS = {"\u2212": "-", "×": r"\times", "⋅": r"\cdot", "∈": r"\in", "∉": r"\notin", "≤": r"\leq", "≥": r"\geq", "≠": r"\neq", "\u2061": "", "\u2062": "", "→": r"\to", "↦": r"\mapsto", "∑": r"\sum", "∏": r"\prod", "∫": r"\int", "∂": r"\partial", "∇": r"\nabla", "∞": r"\infty"}
+MATH_LETTERS = {"ℝ": r"\mathbb{R}", "ℕ": r"\mathbb{N}", "ℤ": r"\mathbb{Z}", "ℚ": r"\mathbb{Q}", "ℂ": r"\mathbb{C}"}
+#: parts that a construct needs, and how they stand in it; with fewer parts it is read as a row
+MATH_FORMS: dict[str, tuple[int, Callable[..., str]]] = {
+    "msup": (2, lambda x, up: f"{x}^{{{up}}}"),
+    "msub": (2, lambda x, low: f"{x}_{{{low}}}"),
+    "msubsup": (3, lambda x, low, up: f"{x}_{{{low}}}^{{{up}}}"),
+    "mfrac": (2, lambda x, y: rf"\frac{{{x}}}{{{y}}}"),
+    "mroot": (2, lambda x, n: rf"\sqrt[{n}]{{{x}}}"),
+}
 
 
 def mathml_to_latex(n: Node | str) -> str:
-    """LaTeX of a MathML tree; kinds it doesn't know are read as rows of their parts."""
+    """LaTeX of a MathML tree; kinds it doesn't know are read as rows of their parts, without blanks."""
     if isinstance(n, str):
-        t = n.strip()
-        return MATH_SIGNS.get(t, t)
-    parts = [k for k in n.kids if isinstance(k, Node) or k.strip()]
-    at = lambda i: mathml_to_latex(parts[i]) if i < len(parts) else ""
+        return n if n.strip() else ""
+    parts = [k for k in n.kids if isinstance(k, Node)]
+    row = lambda: "".join(map(mathml_to_latex, n.kids))
+    if n.tag in MATH_FORMS and len(parts) >= MATH_FORMS[n.tag][0]:
+        count, form = MATH_FORMS[n.tag]
+        return form(*map(mathml_to_latex, parts[:count]))
     match n.tag:
-        case "mfrac":
-            return rf"\frac{{{at(0)}}}{{{at(1)}}}"
-        case "msup" | "mover":
-            return rf"\hat{{{at(0)}}}" if n.tag == "mover" and at(1) == "^" else f"{at(0)}^{{{at(1)}}}"
-        case "msub" | "munder":
-            return f"{at(0)}_{{{at(1)}}}"
-        case "msubsup" | "munderover":
-            return f"{at(0)}_{{{at(1)}}}^{{{at(2)}}}"
-        case "msqrt":
-            return rf"\sqrt{{{' '.join(map(mathml_to_latex, parts))}}}"
-        case "mroot":
-            return rf"\sqrt[{at(1)}]{{{at(0)}}}"
+        case "annotation" | "annotation-xml":
+            return ""
+        case "mi":
+            return MATH_LETTERS.get(n.text(), n.text())
+        case "mo":
+            return MATH_OPERATORS.get(n.text().strip(), n.text().strip())
+        case "mn":
+            return n.text()
         case "mtext":
             return rf"\text{{{n.text()}}}"
+        case "msqrt":
+            return rf"\sqrt{{{row()}}}"
         case "mfenced":
-            return n.attrs.get("open", "(") + ", ".join(map(mathml_to_latex, parts)) + n.attrs.get("close", ")")
-        case "mtable":
-            return r"\begin{matrix}" + r" \\ ".join(map(mathml_to_latex, parts)) + r"\end{matrix}"
-        case "mtr":
-            return " & ".join(map(mathml_to_latex, parts))
-        case "mspace":
-            return " "
-        case "annotation" | "annotation-xml":
-            return ""
-        case "semantics":
-            return at(0)
-    return " ".join(filter(None, map(mathml_to_latex, parts)))
+            return rf"\left({row()}\right)"
+    return row()
 
 
 def latex_of(n: Node) -> str:
@@ -147,6 +146,13 @@ def code_language(n: Node) -> str:
     return "" if not m or m[1] in ("default", "none", "text") else m[1]
 
 
+def image(n: Node) -> str:
+    """An image as markdown: the address it loads late if it does; nothing for images of the page's chrome,
+    without an address, or with a template's variable that was never filled in."""
+    src, alt = n.attrs.get("data-src") or n.attrs.get("src", ""), n.attrs.get("alt", "").strip()
+    return "" if not src or CHROME.search(alt) or "{{" in src or "{%" in src else f"![{alt}]({src})"
+
+
 def to_markdown(n: Node, base: str = "") -> str:
     """A subtree as markdown: ATX headings, dashes for items, fenced code, pipe tables."""
 
@@ -171,8 +177,7 @@ def to_markdown(n: Node, base: str = "") -> str:
             case "a":
                 return f"[{inner.strip()}]({x.attrs['href']})" if x.attrs.get("href") and inner.strip() else inner
             case "img":
-                src, alt = x.attrs.get("data-src") or x.attrs.get("src", ""), x.attrs.get("alt", "").strip()
-                return "" if not src or CHROME.search(alt) or "{{" in src else f"![{alt}]({src})"
+                return image(x)
         return inner
 
     blocks: list[str] = []
@@ -260,34 +265,94 @@ def article(root: Node, url: str) -> tuple[str, dict[str, str]]:
     return to_markdown(_main(root)), {k: v for k, v in meta.items() if v}
 
 
+class NoMainContent(ValueError):
+    """The page lacks the element that holds its text."""
+
+
+# fixed values: hosts of generated books, and addresses of notebook launchers and forums on their pages
+BOOKS = ("d2l.ai",)
+LAUNCHERS = re.compile(r"colab\.research\.google|studiolab\.sagemaker|sagemaker\.aws")
+FORUMS = re.compile(r"discuss\.d2l\.ai")
+
+
+def _classes(n: Node) -> list[str]:
+    return n.attrs.get("class", "").split()
+
+
+def _edited(n: Node, edit: Callable[[Node], list[Node | str]]) -> Node:
+    """A copy of a tree in which each node, from the leaves up, is replaced by what `edit` gives for it."""
+    out = Node(n.tag, n.attrs)
+    for k in n.kids:
+        out.kids += [k] if isinstance(k, str) else edit(_edited(k, edit))
+    return out
+
+
+def _book_part(n: Node) -> list[Node | str]:
+    """What stays of a node of a book's page: the active panel of tabs, inputs of code as fences with their
+    language but no outputs, links within the book as their text, and no launchers or forum links."""
+    of = _classes(n)
+    if "mdl-tabs__tab-bar" in of or "mdl-tabs__panel" in of and "is-active" not in of or "tab-pane" in of and "active" not in of:
+        return []
+    if {"headerlink", "d2l-tabs", "mdl-tooltip", "copybtn", "output"} & set(of):
+        return []
+    if n.tag == "a":
+        href = n.attrs.get("href", "")
+        if LAUNCHERS.search(href) or FORUMS.search(href):
+            return []
+        if {"reference", "internal"} <= set(of):
+            return [n.text()]
+    if n.tag == "p" and n.attrs.get("emptied"):
+        return []
+    language = next((c.removeprefix("highlight-") for c in of if c.startswith("highlight-")), None)
+    if language is not None and (code := n.first("pre")):
+        fence = Node("pre", {"class": "" if language == "default" else f"highlight-{language}"})
+        fence.kids = ["\n".join(code.text().split("\n")).strip("\n")]
+        return [fence]
+    return [n]
+
+
 def book(root: Node, url: str) -> tuple[str, dict[str, str]]:
-    """Pages of a generated book: the active panel of tabs only, numbered titles."""
-    for n in root.walk():
-        n.kids = [k for k in n.kids if isinstance(k, str) or not ("tab-pane" in k.attrs.get("class", "") and "active" not in k.attrs.get("class", "").split())]
-    text, meta = article(root, url)
-    head = (root.first("title") or root.first("h1") or Node("", {})).text().split("—")[0].replace("¶", "").strip()
-    meta |= {"title": head, "extractor": "book"}
-    if m := re.match(r"(\d+(?:\.\d+)*)", head):
+    """Pages of a generated book; an error without main content."""
+    main = next((n for n in root.walk() if n.attrs.get("role") == "main"), None) or root.first("main") or next((n for n in root.walk() if n.tag == "div" and "document" in _classes(n)), None)
+    if main is None:
+        raise NoMainContent(url)
+    for p in main.walk():  # a paragraph that only leads to the forum
+        if p.tag == "p" and any(a.tag == "a" and FORUMS.search(a.attrs.get("href", "")) for a in p.walk()):
+            p.attrs = {**p.attrs, "emptied": "1"}
+    head = root.first("title")
+    title = head.text().split("—")[0].strip() if head else ""
+    if not title and (h1 := root.first("h1")):
+        title = h1.text().replace("¶", "").strip()
+    meta = {"source_url": url, "title": title, "extractor": "book", "source_type": "web"}
+    if m := re.match(r"(\d+(?:\.\d+)*)", title):
         meta |= {"section_number": m[1], "chapter": m[1].split(".")[0]}
-    return text, meta
+    return to_markdown(_edited(main, _book_part)).replace("¶", ""), {k: v for k, v in meta.items() if v}
 
 
-DOCUMENT = "page_id long, url string, markdown string, metadata map<string,string>"
+for _domain in BOOKS:
+    register(_domain)(book)
+
+DOCUMENT = "page_id long, url string, markdown string, metadata map<string,string>, error string"
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, markdown, metadata) of pages (page_id, url, html)."""
+    """(page_id, url, markdown, metadata, error) of pages (page_id, url, html); a page that its strategy can't
+    read has an error and no markdown, and doesn't fail the others."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for i, url, html in zip(pdf["page_id"], pdf["url"], pdf["html"]):
                 if html is None:
-                    rows.append((i, url, None, None))
+                    rows.append((i, url, None, None, "no page"))
                     continue
                 host = re.sub(r"^\w+://(?:[^@/]*@)?([^/:?#]*).*", r"\1", url or "")
-                text, meta = strategy_for(host)(parse(html), url or "")
-                rows.append((i, url, re.sub(r"\n{3,}", "\n\n", text).strip(), meta))
-            yield pd.DataFrame(rows, columns=["page_id", "url", "markdown", "metadata"])
+                try:
+                    text, meta = strategy_for(host)(parse(html), url or "")
+                except NoMainContent:
+                    rows.append((i, url, None, None, "no main content"))
+                    continue
+                rows.append((i, url, re.sub(r"\n{3,}", "\n\n", text).strip(), meta, None))
+            yield pd.DataFrame(rows, columns=["page_id", "url", "markdown", "metadata", "error"])
 
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInPandas(run, DOCUMENT)

@@ -43,7 +43,7 @@ def cluster_figures(figures: DataFrame) -> DataFrame:
         bands: list[list[float]] = []
         label = []
         for top, bottom in zip(pdf["y0"], pdf["y1"]):
-            k = next((i for i, (a, b) in enumerate(bands) if top <= b + BAND and bottom >= a - BAND), None)
+            k = next((i for i, (a, b) in enumerate(bands) if top < b + BAND and bottom > a - BAND), None)
             if k is None:
                 bands.append([top, bottom])
                 k = len(bands) - 1
@@ -58,29 +58,30 @@ def cluster_figures(figures: DataFrame) -> DataFrame:
 
 def pair_captions(figures: DataFrame, captions: DataFrame) -> DataFrame:
     """(page_id, fig_id, cap_id): each figure's nearest caption below that shares its columns, each
-    caption once, figures in order of (y, x)."""
-    f = figures.where("box is not null").select("page_id", "fig_id", F.lit(None).cast("long").alias("cap_id"), "box")
-    c = captions.where("box is not null").select("page_id", F.lit(None).cast("long").alias("fig_id"), "cap_id", "box")
+    caption once, null where none is left. Figures choose in reading order, which is their `ordinal` (else
+    their id): figures of one row may differ by a point in height, so boxes don't tell it."""
+    order = lambda df, i: F.col("ordinal") if "ordinal" in df.columns else F.col(i)
+    f = figures.where("box is not null").select("page_id", "fig_id", F.lit(None).cast("long").alias("cap_id"), "box", order(figures, "fig_id").cast("long").alias("ordinal"))
+    c = captions.where("box is not null").select("page_id", F.lit(None).cast("long").alias("fig_id"), "cap_id", "box", order(captions, "cap_id").cast("long").alias("ordinal"))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        figs = sorted((b[1], b[0], int(i), b) for i, b in zip(pdf["fig_id"], pdf["box"]) if pd.notna(i))
-        caps = {int(i): b for i, b in zip(pdf["cap_id"], pdf["box"]) if pd.notna(i)}
+        pdf = pdf.sort_values("ordinal", kind="stable")
+        caps = [(int(i), b) for i, b in zip(pdf["cap_id"], pdf["box"]) if pd.notna(i)]
         rows = []
-        for _, _, i, b in figs:
-            near = [(cb[1] - b[3], ci) for ci, cb in caps.items() if min(b[2], cb[2]) - max(b[0], cb[0]) > 0 and cb[1] - b[3] >= ABOVE]
-            if near:
-                ci = min(near)[1]
-                del caps[ci]
-                rows.append((pdf["page_id"].iloc[0], i, ci))
-        return pd.DataFrame(rows, columns=["page_id", "fig_id", "cap_id"])
+        for i, b in zip(pdf["fig_id"], pdf["box"]):
+            if pd.isna(i):
+                continue
+            near = [(cb[1] - b[3], k) for k, (_, cb) in enumerate(caps) if min(b[2], cb[2]) - max(b[0], cb[0]) > 0 and cb[1] - b[3] >= ABOVE]
+            rows.append((pdf["page_id"].iloc[0], int(i), caps.pop(min(near)[1])[0] if near else None))
+        return pd.DataFrame(rows, columns=["page_id", "fig_id", "cap_id"]).astype({"cap_id": "Int64"})
 
     return f.unionByName(c).groupBy("page_id").applyInPandas(one, "page_id long, fig_id long, cap_id long")
 
 
 def captions_in_band(clusters: DataFrame, captions: DataFrame) -> DataFrame:
-    """(page_id, cluster, cap_id): captions from a little above to some way below a cluster's foot."""
-    j = clusters.select("page_id", "cluster", "bottom").join(captions.select("page_id", "cap_id", F.col("box")[1].alias("y")), "page_id")
-    return j.where((F.col("y") - F.col("bottom")).between(ABOVE, BELOW)).select("page_id", "cluster", "cap_id")
+    """(page_id, cluster, cap_id): captions from a little above a cluster's head to some way below its foot."""
+    j = clusters.select("page_id", "cluster", "top", "bottom").join(captions.select("page_id", "cap_id", F.col("box")[1].alias("y")), "page_id")
+    return j.where(F.col("y").between(F.col("top") + ABOVE, F.col("bottom") + BELOW)).select("page_id", "cluster", "cap_id")
 
 
 def nearest_figure_above(captions: DataFrame, figures: DataFrame) -> DataFrame:
@@ -107,6 +108,16 @@ def is_composite(captions: Column) -> Column:
     return F.size(F.filter(F.coalesce(captions, F.array().cast("array<string>")), lambda x: x.rlike(SUB_CAPTION))) >= 2
 
 
+def route(captions: Column) -> Column:
+    """`composite` for a plate whose parts are described one by one, else `simple`."""
+    return F.when(is_composite(captions), "composite").otherwise("simple")
+
+
+def padded(box: Column, width: Column, height: Column, by: float = 8.0) -> Column:
+    """A box with a margin on all sides, within its page."""
+    return F.array(F.greatest(F.lit(0.0), box[0] - by), F.greatest(F.lit(0.0), box[1] - by), F.least(width, box[2] + by), F.least(height, box[3] + by))
+
+
 def caption_lines(text: Column) -> Column:
     """A page's lines that caption a figure, not a table."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(CAPTION) & ~x.rlike(TABLE_CAPTION))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from urllib.parse import urljoin
+from urllib.robotparser import RobotFileParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -90,17 +92,91 @@ def markdown_links(docs: DataFrame, key: str, text: str) -> DataFrame:
     return each.select(key, "position", F.regexp_extract("m", r"^\[([^\]]+)\]", 1).alias("label"), F.regexp_extract("m", r"\]\(([^)]*)\)$", 1).alias("target"))
 
 
-def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], max_pages: int = 100, include: str | None = None, levels: int = 50) -> DataFrame:
+def fetch_page(url: str, timeout: float = 20.0, agent: str = "marginalia", render: Callable[[str, float], str] | None = None) -> str:
+    """A page's text, decoded as it declares, else as UTF-8, else as Latin-1. `render` stands for a browser,
+    for pages that scripts make. An error status raises."""
+    if render is not None:
+        return render(url, timeout)
+    from urllib.request import Request, urlopen
+
+    with urlopen(Request(url, headers={"User-Agent": agent}), timeout=timeout) as r:
+        raw, stated = r.read(), r.headers.get_content_charset()
+    named = re.search(rb"<meta[^>]+charset=[\"']?([\w-]+)", raw[:4096], re.I)
+    for name in (stated, named and named[1].decode(), "utf-8"):
+        try:
+            if name:
+                return raw.decode(name)
+        except (LookupError, UnicodeDecodeError):
+            continue
+    return raw.decode("latin-1")
+
+
+def fetcher(timeout: float = 20.0, agent: str = "marginalia", delay: float = 0.0, render: Callable[[str, float], str] | None = None) -> Callable[[DataFrame], DataFrame]:
+    """A `fetch` for `crawl`: (url) to (url, html), with null html for a page that fails. Each host is one
+    group, so that its pages come one after the other with a delay between; a level's hosts go in parallel."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        import time
+
+        pages = []
+        for i, url in enumerate(pdf["url"]):
+            if i and delay:
+                time.sleep(delay)
+            try:
+                pages.append(fetch_page(url, timeout, agent, render))
+            except Exception:
+                pages.append(None)
+        return pd.DataFrame({"url": pdf["url"], "html": pages})
+
+    return lambda urls: urls.select("url").groupBy(host(F.col("url"))).applyInPandas(run, "url string, html string")
+
+
+def origin(url: Column) -> Column:
+    return F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1))
+
+
+def robots(urls: DataFrame, fetch: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(origin, rules): the robots file of each site once; null where there is none."""
+    sites = urls.select(origin(F.col("url")).alias("origin")).where("origin <> ''").distinct()
+    got = fetch(sites.select(F.concat("origin", F.lit("/robots.txt")).alias("url")))
+    return sites.join(got.select(origin(F.col("url")).alias("origin"), F.col("html").alias("rules")), "origin", "left")
+
+
+def allowed(urls: DataFrame, rules: DataFrame, agent: str = "marginalia") -> DataFrame:
+    """The urls that their site's rules (origin, rules) let `agent` fetch; without rules, all."""
+
+    @F.pandas_udf("boolean")
+    def may(url: pd.Series, text: pd.Series) -> pd.Series:
+        read: dict[str, RobotFileParser] = {}
+        out = []
+        for u, t in zip(url, text):
+            if t is None:
+                out.append(True)
+                continue
+            if t not in read:
+                read[t] = RobotFileParser()
+                read[t].parse(t.splitlines())
+            out.append(read[t].can_fetch(agent, u))
+        return pd.Series(out, dtype="boolean")
+
+    j = urls.withColumn("_o", origin(F.col("url"))).join(rules.select(F.col("origin").alias("_o"), F.col("rules").alias("_r")), "_o", "left")
+    return j.where(F.col("_r").isNull() | may("url", "_r")).drop("_o", "_r")
+
+
+def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], max_pages: int = 100, include: str | None = None, levels: int = 50, agent: str | None = None) -> DataFrame:
     """Pages reached breadth first from `seeds` (url): (url, level, html, content).
 
     Level by level: the frontier is fetched, its links are filtered by scope and content, and those
     seen before are dropped by an anti join. `fetch` maps (url) to (url, html), with null html for
     a failed page, which costs no budget. Within a level pages are taken in order of their
-    addresses, so the budget cuts the same pages every time.
+    addresses, so the budget cuts the same pages every time. With an `agent`, robots rules of the
+    seeds' sites are fetched once and obeyed.
     """
     seeds = seeds.select(normal(F.col("url")).alias("url")).distinct()
     scopes = seeds.select(host(F.col("url")).alias("h"), default_prefix(F.col("url")).alias("prefix")).distinct()
-    seen, frontier, got = seeds, seeds, None
+    rules = None if agent is None else cut_lineage(robots(seeds, fetch))
+    may = lambda urls: urls if rules is None else allowed(urls, rules, agent)
+    seen, frontier, got = seeds, may(seeds), None
     left = max_pages
     for level in range(levels):
         fetched = cut_lineage(fetch(frontier).where("html is not null").orderBy("url").limit(left).withColumn("level", F.lit(level)).withColumn("content", is_content(F.col("url"), include)))
@@ -111,7 +187,7 @@ def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], max_pages:
             break
         links = discover(fetched).select(normal(F.col("link")).alias("url")).distinct().withColumn("h", host(F.col("url")))
         scoped = links.join(scopes, "h").where(in_scope(F.col("url"), F.col("h"), F.col("prefix")) & is_content(F.col("url"), include)).select("url").distinct()
-        frontier = cut_lineage(scoped.join(seen, "url", "left_anti"))
+        frontier = cut_lineage(may(scoped.join(seen, "url", "left_anti")))
         if frontier.isEmpty():
             break
         seen = cut_lineage(seen.unionByName(frontier))

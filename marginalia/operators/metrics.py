@@ -7,6 +7,8 @@ precision. A gold list that is null counts as empty.
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
 from ..functions import text as T
+from ..session import cut_lineage
 
 # fixed values: French phrases that mark an answer as a refusal
 REFUSAL_PHRASES = [
@@ -79,34 +82,37 @@ def confusion(flags: DataFrame, by: list[str] | None = None) -> DataFrame:
     return g.withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))))
 
 
-BOOTSTRAP = "metric string, lower double, upper double, mean double, n long"
-BOOTSTRAP_HISTOGRAM = 2_000_000
+def bootstrap(scores: DataFrame, resamples: int = 1000, ci: float = 0.95, seed: int = 42, by: tuple[str, ...] = ("metric",)) -> DataFrame:
+    """Percentile bootstrap of each group's mean from (*by, score): (*by, lower, upper, mean, n).
 
-
-def bootstrap(scores: DataFrame, resamples: int = 1000, ci: float = 0.95, seed: int = 42) -> DataFrame:
-    """Percentile bootstrap of each metric's mean from (metric, ord, score).
-
-    Scores travel as (metric, value, count), so copies of a value are one row; nulls are left out.
-    Fewer than two scores give the mean for all three figures. Drawing n of n scores with
-    replacement is drawing multinomial counts of their values, which is what is drawn here.
+    Poisson weights: in each resample a score counts Poisson(1) times, so c equal scores count
+    Poisson(c) times. The draws of a value are seeded by the group and the value, whatever task
+    makes them; tasks send sums of their draws, and no task sees all values of a group. Nulls and
+    NaN are left out; fewer than two scores give the mean for all three figures.
     """
     import numpy as np
 
-    hist = scores.where(F.col("score").isNotNull() & ~F.isnan("score")).groupBy("metric", F.round("score", 6).alias("v")).agg(F.count("*").alias("c"))
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        v, c = pdf["v"].to_numpy(), pdf["c"].to_numpy()
-        n = int(c.sum())
-        mean = float((v * c).sum() / n)
-        lo = hi = mean
-        if n >= 2:
-            draws = np.random.default_rng(seed).multinomial(n, c / n, size=resamples) @ v / n
-            draws.sort()
-            a = (1 - ci) / 2
-            lo, hi = float(draws[int(a * resamples)]), float(draws[min(resamples - 1, int((1 - a) * resamples))])
-        return pd.DataFrame({"metric": [pdf["metric"].iloc[0]], "lower": [lo], "upper": [hi], "mean": [mean], "n": [n]})
-
-    return hist.groupBy("metric").applyInPandas(one, BOOTSTRAP)
+    keys = list(by)
+    hist = scores.where(F.col("score").isNotNull() & ~F.isnan("score")).groupBy(*keys, F.round("score", 6).alias("v")).agg(F.count("*").alias("c"))
+    seeded = hist.withColumn("g", F.xxhash64(*keys)).withColumn("seed", F.xxhash64(*keys, "v", F.lit(seed)))
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for g, v, c, x in zip(pdf["g"], pdf["v"], pdf["c"], pdf["seed"]):
+                times = np.random.default_rng(int(x) % 2**63).poisson(c, resamples)
+                sums.setdefault(g, np.zeros((2, resamples)))
+                sums[g] += np.stack([times * v, times])
+        rows = [(g, i, s[0, i], s[1, i]) for g, s in sums.items() for i in range(resamples)]
+        yield pd.DataFrame(rows, columns=["g", "i", "s", "t"])
+
+    draws = seeded.select("g", "v", "c", "seed").mapInPandas(draw, "g long, i int, s double, t double").groupBy("g", "i").agg((F.sum("s") / F.nullif(F.sum("t"), F.lit(0.0))).alias("m"))
+    ordered = draws.where("m is not null").groupBy("g").agg(F.sort_array(F.collect_list("m")).alias("m"))  # `resamples` numbers a group
+    a = (1 - ci) / 2
+    at = lambda share: F.get("m", F.least(F.size("m") - 1, F.floor(F.lit(share) * F.size("m")).cast("int")))
+    means = seeded.groupBy(*keys, "g").agg((F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"), F.sum("c").alias("n"))
+    some = F.col("n") >= 2
+    return means.join(ordered, "g").select(*keys, F.when(some, at(a)).otherwise(F.col("mean")).alias("lower"), F.when(some, at(1 - a)).otherwise(F.col("mean")).alias("upper"), "mean", "n")
 
 
 def bootstrap_sequential(scores: list[float], resamples: int = 1000, ci: float = 0.95, seed: int = 42) -> tuple[float | None, float | None, float | None]:
@@ -137,24 +143,44 @@ def lexical_overlap(question: Column, context: Column) -> Column:
     return F.when(F.size(q) > 0, F.size(F.array_intersect(q, keywords(context))) / F.size(q))
 
 
+RANGES = 256  # ranges of scores that are accumulated apart
+
+
 def calibrate(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
     """The threshold of best accuracy, refusing below it; of equal ones the lowest.
 
-    `scored`: score, unanswerable. Counts are aggregated per distinct score before they are
-    accumulated, so the window holds distinct scores only. Null and NaN scores or labels don't count.
+    `scored`: score, unanswerable. Counts are aggregated per distinct score, the distinct scores are
+    cut into ranges at their quantiles, and what lies below a score is the sum of the ranges below
+    plus a sum within its range; so no task takes all scores of a group. Null and NaN scores or
+    labels don't count.
     """
     by = by or []
     s = scored.where(F.col("score").isNotNull() & ~F.isnan("score") & F.col("unanswerable").isNotNull())
     u = F.col("unanswerable").cast("long")
-    d = s.groupBy(*by, "score").agg(F.sum(u).alias("u"), F.sum(1 - u).alias("a"))
-    before = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    d = cut_lineage(s.groupBy(*by, "score").agg(F.sum(u).alias("u"), F.sum(1 - u).alias("a")))
+    cuts = d.agg(F.percentile_approx("score", [i / RANGES for i in range(1, RANGES)], 10_000)).first()[0] or []
+    cuts = F.array(*[F.lit(x) for x in sorted(set(cuts))]).cast("array<double>")
+    d = d.withColumn("range", F.size(F.filter(cuts, lambda x: x <= F.col("score"))))
+    apart = d.groupBy(*by, "range").agg(F.sum("u").alias("ru"), F.sum("a").alias("ra"))
+    below = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
-    right = F.coalesce(F.sum("u").over(before), F.lit(0)) + F.sum("a").over(whole) - F.coalesce(F.sum("a").over(before), F.lit(0))
-    acc = d.withColumn("accuracy", right / (F.sum("u").over(whole) + F.sum("a").over(whole)))
+    starts = apart.select(*by, "range", F.coalesce(F.sum("ru").over(below), F.lit(0)).alias("bu"), F.coalesce(F.sum("ra").over(below), F.lit(0)).alias("ba"), F.sum("ru").over(whole).alias("tu"), F.sum("ra").over(whole).alias("ta"))
+    before = Window.partitionBy(*by, "range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    within = d.withColumn("wu", F.coalesce(F.sum("u").over(before), F.lit(0))).withColumn("wa", F.coalesce(F.sum("a").over(before), F.lit(0)))
+    same = reduce(lambda x, y: x & y, [F.col(f"w.{c}").eqNullSafe(F.col(f"s.{c}")) for c in [*by, "range"]])
+    acc = within.alias("w").join(starts.alias("s"), same).select(*[F.col(f"w.{c}") for c in by], "score", ((F.col("bu") + F.col("wu") + F.col("ta") - F.col("ba") - F.col("wa")) / (F.col("tu") + F.col("ta"))).alias("accuracy"))
     best = F.max_by(F.struct("score", "accuracy"), F.struct(F.col("accuracy"), -F.col("score")))
     return acc.groupBy(*by).agg(best.alias("b")).where("b is not null").select(*by, F.col("b.score").alias("threshold"), F.col("b.accuracy").alias("accuracy"))
 
 
+def top_scores(hits: DataFrame, goldens: DataFrame, first: bool = False) -> DataFrame:
+    """(qid, score, unanswerable): what `calibrate` needs, from retrieved hits (qid, rank, score) and test items
+    (qid, category). Items without a category or without hits are left out. The score is the best of
+    the hits, as the gate reads it, or with `first` that of the first hit."""
+    best = hits.where(F.col("score").isNotNull()).groupBy("qid").agg((F.min_by("score", "rank") if first else F.max("score")).alias("score"))
+    return goldens.where(F.col("category").isNotNull()).join(best, "qid").select("qid", "score", (F.col("category") == "unanswerable").alias("unanswerable"))
+
+
 def gate(hits: DataFrame, queries: DataFrame, threshold: float, active: bool = True) -> DataFrame:
     """(qid, top_score, refuse): refuse without hits, or if the best of all hits is below the
     threshold. With scores of another kind (`active` false) only missing hits refuse."""

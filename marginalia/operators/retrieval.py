@@ -7,17 +7,21 @@ in which partitions arrive.
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
 from ..functions import text as T
-from ..session import spread
+from ..session import cut_lineage, spread
+from . import providers
 
 QUERIES_A_SLICE = 20_000  # questions whose inverted list is sent at once
 
@@ -37,14 +41,32 @@ def postings(docs: DataFrame, key: str = "child_id", text: str = "text") -> Data
     return t.select(key, F.size("_t").alias("dl"), F.explode("_t").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
-def term_stats(docs: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
-    """(term, df, idf) with the negative weights of very common terms raised to a share of the mean."""
-    n = docs.count()
-    df = docs.select(F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("m")).first()["m"]
+@dataclass(frozen=True)
+class Statistics:
+    """What BM25 needs of a whole corpus: (term, df, idf) and the mean length."""
+
+    terms: DataFrame
+    n: int
+    mean_length: float
+
+
+def statistics(docs: DataFrame, config: EngineConfig = DEFAULT) -> Statistics:
+    """The statistics of all texts, written once; searches read them again and again.
+
+    The negative weights of very common terms are raised to a share of the mean weight.
+    """
+    t = docs.select(T.tokens(F.col("text")).alias("t"))
+    n, mean_length = t.agg(F.count("*"), F.avg(F.size("t"))).first()
+    df = t.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    raw = cut_lineage(df.withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
+    mean = raw.agg(F.avg("raw")).first()[0]
     floor = config.bm25_epsilon * (mean if mean is not None else 0.0)
-    return raw.select("term", "df", F.when(F.col("raw") < 0, F.lit(floor)).otherwise(F.col("raw")).alias("idf"))
+    return Statistics(raw.select("term", "df", F.when(F.col("raw") < 0, F.lit(floor)).otherwise(F.col("raw")).alias("idf")), n, float(mean_length or 1.0))
+
+
+def term_stats(docs: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
+    """(term, df, idf) of all texts."""
+    return statistics(docs, config).terms
 
 
 def _query_slices(queries: DataFrame, most: int) -> Iterator[list]:
@@ -60,82 +82,102 @@ def _best(parts: list[pd.DataFrame], k: int, key: str) -> pd.DataFrame:
     return pd.concat(parts, ignore_index=True).sort_values(["qid", "score", key], ascending=[True, False, True], kind="stable").groupby("qid", sort=False).head(k)
 
 
-def _sparse_topk(docs: DataFrame, queries: DataFrame, k: int, key: str, weight_of: Callable[[DataFrame], DataFrame] | None, k1: float, b: float, avgdl: float) -> DataFrame:
-    """The k best texts of each question by summed term weights: BM25 with `weight_of` (term -> idf),
-    else the cosine of counts.
+@dataclass
+class _Asked:
+    """A slice of questions as an inverted list: for each term the questions that ask it, and how often."""
 
-    A slice of questions becomes an inverted list by term, sent to the executors; its size is
-    bounded by the slice. Each task scores its texts in blocks against all questions of the slice
-    and keeps k rows a question, so neither term matches nor scores are ever shuffled.
-    """
-    schema = f"qid long, {key} string, score double"
-    texts = spread(docs.where(F.col("text").isNotNull()).select(F.col(key).alias("k"), F.array_join(T.tokens(F.col("text")), " ").alias("t")))
-    out = None
-    for rows in _query_slices(queries, QUERIES_A_SLICE):
-        qids = np.array([r["qid"] for r in rows], dtype=np.int64)
+    qids: np.ndarray
+    terms: list[str]
+    lens: np.ndarray
+    starts: np.ndarray
+    q_of: np.ndarray
+    times: np.ndarray
+    weights: np.ndarray
+    norms: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list) -> _Asked:
         terms: dict[str, dict[int, int]] = {}
         for i, r in enumerate(rows):
             for w in r["t"]:
                 at = terms.setdefault(w, {})
                 at[i] = at.get(i, 0) + 1
-        vocabulary = {w: j for j, w in enumerate(terms)}
         lens = np.array([len(x) for x in terms.values()], dtype=np.int64)
-        starts = np.concatenate([[0], np.cumsum(lens)[:-1]]).astype(np.int64) if len(lens) else np.zeros(0, np.int64)
         q_of = np.array([i for x in terms.values() for i in x], dtype=np.int64)
         times = np.array([n for x in terms.values() for n in x.values()], dtype=np.float64)
-        weights = np.ones(len(vocabulary))
-        if weight_of is not None:
-            asked = docs.sparkSession.createDataFrame([(w,) for w in vocabulary], "term string")
-            for r in weight_of(asked).collect():
-                weights[vocabulary[r["term"]]] = r["idf"]
-        norms = np.sqrt(np.bincount(q_of, times * times, minlength=len(qids)))
-        sent = docs.sparkSession.sparkContext.broadcast((qids, vocabulary, lens, starts, q_of, times, weights, norms))
+        return cls(np.array([r["qid"] for r in rows], dtype=np.int64), list(terms), lens, np.cumsum(lens) - lens, q_of, times, np.ones(len(terms)), np.sqrt(np.bincount(q_of, times * times, minlength=len(rows))))
+
+
+def _matches(texts: pd.Series, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term, count) of the asked terms in texts of tokens with single blanks between, and each text's
+    number of tokens and length of its vector of counts."""
+    lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+    sizes = np.asarray(pc.list_value_length(lists), dtype=np.int64)
+    flat = lists.flatten()
+    of = np.repeat(np.arange(len(texts)), sizes)
+    coded = flat.dictionary_encode()
+    codes = np.asarray(coded.indices, dtype=np.int64)
+    blank = np.asarray(pc.equal(coded.dictionary, ""), dtype=bool)
+    term = np.asarray(pc.fill_null(pc.index_in(coded.dictionary, terms), -1), dtype=np.int64)
+    pair, count = np.unique(of[~blank[codes]] * max(1, len(blank)) + codes[~blank[codes]], return_counts=True)
+    text, code = np.divmod(pair, max(1, len(blank)))
+    length = np.sqrt(np.bincount(text, count.astype(np.float64) ** 2, minlength=len(texts)))
+    tokens = np.bincount(text, count, minlength=len(texts))
+    met = term[code] >= 0
+    return text[met], term[code][met], count[met], tokens, length
+
+
+def _sparse_topk(docs: DataFrame, queries: DataFrame, k: int, key: str, stats: Statistics | None, config: EngineConfig) -> DataFrame:
+    """The k best texts of each question by summed term weights: BM25 with `stats`, else the cosine of counts.
+
+    The join of terms with questions is a sparse product inside the tasks: a slice of questions is
+    sent as an inverted list, whose size is bounded by the slice; a task meets its texts with it in
+    blocks and keeps k rows a question. So neither matches nor scores are ever shuffled, and a
+    term that every text has costs no hot key.
+    """
+    schema = f"qid long, {key} string, score double"
+    texts = spread(docs.where(F.col("text").isNotNull()).select(F.col(key).alias("k"), F.array_join(T.tokens(F.col("text")), " ").alias("t")))
+    out = None
+    k1, b = config.bm25_k1, config.bm25_b
+    mean_length = stats.mean_length if stats else 1.0
+    bm25 = stats is not None
+    for rows in _query_slices(queries, QUERIES_A_SLICE):
+        asked = _Asked.of(rows)
+        if stats is not None:
+            at = {w: i for i, w in enumerate(asked.terms)}
+            for r in stats.terms.join(docs.sparkSession.createDataFrame([(w,) for w in at], "term string"), "term").select("term", "idf").collect():  # terms of the slice
+                asked.weights[at[r["term"]]] = r["idf"]
+        sent = docs.sparkSession.sparkContext.broadcast(asked)
 
         def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            qids, vocabulary, lens, starts, q_of, times, weights, norms = sent.value
-            n_q = len(qids)
+            a = sent.value
+            n_q, terms = len(a.qids), pa.array(a.terms, pa.large_string())
             per_block = max(1, min(1000, 4_000_000 // max(1, n_q)))
             best: pd.DataFrame | None = None
             for pdf in batches:
-                pdf = pdf.sort_values("k", kind="stable")
-                keys, all_texts = pdf["k"].to_numpy(), pdf["t"].tolist()
+                keys, all_texts = pdf["k"].to_numpy(), pdf["t"]
                 parts: list[pd.DataFrame] = [] if best is None else [best]
                 for lo in range(0, len(keys), per_block):
-                    block = all_texts[lo : lo + per_block]
-                    d, t, w = [], [], []
-                    for i, text in enumerate(block):
-                        words = text.split(" ") if text else []
-                        counts = Counter(words)
-                        if weight_of_is_idf:
-                            bend = k1 * (1 - b + b * len(words) / avgdl)
-                        else:
-                            length = sum(n * n for n in counts.values()) ** 0.5
-                        for word, n in counts.items():
-                            j = vocabulary.get(word)
-                            if j is not None:
-                                d.append(i)
-                                t.append(j)
-                                w.append(weights[j] * n * (k1 + 1) / (n + bend) if weight_of_is_idf else n / length)
-                    if not d:
+                    block = all_texts.iloc[lo : lo + per_block]
+                    text, term, count, tokens, length = _matches(block, terms)
+                    if not len(text):
                         continue
-                    da, ta, wa = np.array(d, dtype=np.int64), np.array(t, dtype=np.int64), np.array(w)
-                    reps = lens[ta]
-                    first = np.repeat(starts[ta] - np.concatenate([[0], np.cumsum(reps)[:-1]]), reps)
-                    at = first + np.arange(int(reps.sum()))
-                    flat = q_of[at] * len(block) + np.repeat(da, reps)
-                    score = np.bincount(flat, np.repeat(wa, reps) * times[at], minlength=n_q * len(block)).reshape(n_q, len(block))
-                    met = np.bincount(flat, minlength=n_q * len(block)).reshape(n_q, len(block)) > 0
-                    score = np.round(score if weight_of_is_idf else score / norms[:, None], 6)
-                    score[~met] = -np.inf
-                    top = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                    got = np.take_along_axis(score, top, axis=1)
-                    row, col = np.nonzero(np.isfinite(got))
-                    parts.append(pd.DataFrame({"qid": qids[row], key: keys[lo + top[row, col]], "score": got[row, col]}))
+                    n = count.astype(np.float64)
+                    w = a.weights[term] * n * (k1 + 1) / (n + k1 * (1 - b + b * tokens[text] / mean_length)) if bm25 else n / length[text]
+                    reps = a.lens[term]
+                    at = np.repeat(a.starts[term] - (np.cumsum(reps) - reps), reps) + np.arange(int(reps.sum()))
+                    flat = a.q_of[at] * len(block) + np.repeat(text, reps)
+                    score = np.bincount(flat, np.repeat(w, reps) * a.times[at], minlength=n_q * len(block)).reshape(n_q, len(block))
+                    met = np.zeros(n_q * len(block), dtype=bool)
+                    met[flat] = True
+                    score = np.where(met.reshape(score.shape), np.round(score if bm25 else score / a.norms[:, None], 6), -np.inf)
+                    least = np.partition(score, -k, axis=1)[:, -k] if len(block) > k else np.full(n_q, -np.inf)
+                    row, col = np.nonzero((score >= least[:, None]) & np.isfinite(score))  # with all ties of the last
+                    parts.append(pd.DataFrame({"qid": a.qids[row], key: keys[lo + col], "score": score[row, col]}))
                 if parts:
                     best = _best(parts, k, key)
             yield best if best is not None else pd.DataFrame({"qid": [], key: [], "score": []}).astype({"qid": "int64", key: "object", "score": "float64"})
 
-        weight_of_is_idf = weight_of is not None
         hits = texts.mapInPandas(run, schema)
         out = hits if out is None else out.unionByName(hits)
     if out is None:
@@ -143,21 +185,19 @@ def _sparse_topk(docs: DataFrame, queries: DataFrame, k: int, key: str, weight_o
     return ranked(out, k, item=key)
 
 
-def bm25_topk(docs: DataFrame, queries: DataFrame, k: int | None = None, config: EngineConfig = DEFAULT, key: str = "child_id", source_type: str | None = None) -> DataFrame:
+def bm25_topk(docs: DataFrame, queries: DataFrame, k: int | None = None, config: EngineConfig = DEFAULT, key: str = "child_id", source_type: str | None = None, stats: Statistics | None = None) -> DataFrame:
     """Okapi scores of every text that shares a term with a question; the k best of each.
 
     `queries`: qid, question; a term asked twice counts twice. Statistics always cover all texts;
     `source_type` only filters the results.
     """
-    stats = term_stats(docs, config)
-    avgdl = docs.agg(F.avg(F.size(T.tokens(F.col("text")))).alias("a")).first()["a"] or 1.0
     pool = docs if source_type is None else docs.where(F.col("source_type") == source_type)
-    return _sparse_topk(pool, queries, k or config.bm25_k, key, lambda asked: stats.join(asked, "term").select("term", "idf"), config.bm25_k1, config.bm25_b, float(avgdl))
+    return _sparse_topk(pool, queries, k or config.bm25_k, key, stats or statistics(docs, config), config)
 
 
 def cosine_topk(docs: DataFrame, queries: DataFrame, k: int | None = None, config: EngineConfig = DEFAULT, key: str = "child_id") -> DataFrame:
     """The offline dense channel: cosine of term counts."""
-    return _sparse_topk(docs, queries, k or config.dense_k, key, None, 0.0, 0.0, 1.0)
+    return _sparse_topk(docs, queries, k or config.dense_k, key, None, config)
 
 
 # ---- dense vectors ---------------------------------------------------------------------------
@@ -251,11 +291,24 @@ def lexical_scores(question: Column, text: Column) -> Column:
 
 
 def rerank(candidates: DataFrame, queries: DataFrame, k: int | None = None, config: EngineConfig = DEFAULT, scorer=lexical_scores) -> DataFrame:
-    """The best candidates by pair score; equal scores keep the order they had."""
+    """The best candidates by pair score; equal scores keep the order they had.
+
+    `scorer` is a column function, or a `PairScorer`; one that isn't available, and pairs it can't
+    score, keep the order of fusion.
+    """
     c = candidates.where(F.col("rank") <= config.rerank_candidates).withColumnRenamed("rank", "before")
-    scored = c.join(queries.select("qid", "question"), "qid").withColumn("score", F.round(scorer(F.col("question"), F.col("text")), 6))
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "before")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= (k or config.final_children)).drop("question", "before")
+    asked = c.join(queries.select("qid", "question"), "qid")
+    if callable(scorer):
+        scored = asked.withColumn("score", F.round(scorer(F.col("question"), F.col("text")), 6))
+        order = [F.desc("score"), "before"]
+    elif not scorer.available:
+        scored, order = asked, ["before"]
+    else:
+        pairs = providers.score_pairs(asked, scorer)
+        scored = pairs.withColumn("score", F.coalesce(F.round("pair_score", 6), "score"))
+        order = [F.desc_nulls_last("pair_score"), "before"]
+    w = Window.partitionBy("qid").orderBy(*order)
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= (k or config.final_children)).drop("question", "before", "pair_score")
 
 
 def to_parents(candidates: DataFrame, parents: DataFrame, k: int | None = None, config: EngineConfig = DEFAULT) -> DataFrame:
@@ -290,7 +343,7 @@ def sub_queries(results: DataFrame) -> DataFrame:
     return kept.select("qid", (F.row_number().over(Window.partitionBy("qid").orderBy("pos")) - 1).alias("q_idx"), "question")
 
 
-def retrieve(children: DataFrame, parents: DataFrame, queries: DataFrame, mode: str = "hybrid_rerank", k: int | None = None, source_type: str | None = None, config: EngineConfig = DEFAULT) -> DataFrame:
+def retrieve(children: DataFrame, parents: DataFrame, queries: DataFrame, mode: str = "hybrid_rerank", k: int | None = None, source_type: str | None = None, config: EngineConfig = DEFAULT, stats: Statistics | None = None, scorer=lexical_scores) -> DataFrame:
     """Sections for each question in one of the modes dense, hybrid and hybrid_rerank."""
     if mode not in ("dense", "hybrid", "hybrid_rerank"):
         raise ValueError(f"unknown mode {mode}")
@@ -300,9 +353,51 @@ def retrieve(children: DataFrame, parents: DataFrame, queries: DataFrame, mode:
         found = dense.join(children.select("child_id", "parent_id", "text"), "child_id")
         final = found.where(F.col("rank") <= config.final_children)
     else:
-        sparse = bm25_topk(children, queries, config=config, source_type=source_type)
+        sparse = bm25_topk(children, queries, config=config, source_type=source_type, stats=stats)
         top = config.final_children if mode == "hybrid" else config.rerank_candidates
         final = rrf(dense, sparse, children, top, config=config)
         if mode == "hybrid_rerank":
-            final = rerank(final, queries, config=config)
+            final = rerank(final, queries, config=config, scorer=scorer)
     return to_parents(final, parents, k, config)
+
+
+class Engine:
+    """An index that is read and counted once and asked many times.
+
+    Chunks, sections and term statistics are kept between questions; nothing is read before the
+    first of them.
+    """
+
+    def __init__(self, children: DataFrame, parents: DataFrame, config: EngineConfig = DEFAULT, scorer=lexical_scores) -> None:
+        self.config, self.scorer = config, scorer
+        self._children, self._parents = children, parents
+        self._stats: Statistics | None = None
+
+    @property
+    def children(self) -> DataFrame:
+        self._load()
+        return self._children
+
+    @property
+    def parents(self) -> DataFrame:
+        self._load()
+        return self._parents
+
+    @property
+    def stats(self) -> Statistics:
+        self._load()
+        return self._stats
+
+    def _load(self) -> None:
+        if self._stats is None:
+            self._children, self._parents = self._children.persist(StorageLevel.MEMORY_AND_DISK), self._parents.persist(StorageLevel.MEMORY_AND_DISK)
+            self._stats = statistics(self._children, self.config)
+
+    def retrieve(self, queries: DataFrame, mode: str = "hybrid_rerank", k: int | None = None, source_type: str | None = None) -> DataFrame:
+        return retrieve(self.children, self.parents, queries, mode, k, source_type, self.config, self.stats, self.scorer)
+
+    def close(self) -> None:
+        if self._stats is not None:
+            self._children.unpersist()
+            self._parents.unpersist()
+            self._stats = None

@@ -98,11 +98,10 @@ def sub_queries(spark, d):
 
 def round_robin(spark, d):
     r = table(spark, d, "rag_results").where("result_id % 20 = 0").withColumn("qid", F.col("result_id")).dropDuplicates(["result_id"])
-    parts = R.sub_queries(r).withColumn("part", F.struct("qid", "q_idx"))
+    parts = R.sub_queries(r).withColumn("part", F.xxhash64("qid", "q_idx"))
     c = chunks(spark, d)
-    asked = parts.select((F.col("qid") * 100 + F.col("q_idx")).alias("qid"), "question")
-    found = R.bm25_topk(c, asked, 10).join(c.select("child_id", "parent_id"), "child_id")
-    per = R.to_parents(found, sections(spark, d)).select(F.floor(F.col("qid") / 100).alias("qid"), (F.col("qid") % 100).cast("int").alias("q_idx"), "rank", "parent_id", "score")
+    found = R.bm25_topk(c, parts.select(F.col("part").alias("qid"), "question"), 10).join(c.select("child_id", "parent_id"), "child_id")
+    per = R.to_parents(found, sections(spark, d)).withColumnRenamed("qid", "part").join(parts.select("part", "qid", "q_idx"), "part").select("qid", "q_idx", "rank", "parent_id", "score")
     return R.round_robin(per)
 
 
@@ -115,6 +114,17 @@ def _mode(mode: str):
     return run
 
 
+def engine(spark, d):
+    """The same as `retrieve_rerank`, asked of an engine that keeps its index."""
+    e = R.Engine(chunks(spark, d), sections(spark, d))
+    return e.retrieve(questions(spark, d)).select("qid", "rank", "parent_id", "score")
+
+
+def top_sources(spark, d):
+    found = R.retrieve(chunks(spark, d), sections(spark, d), questions(spark, d), "hybrid")
+    return citations.top_sources(found.select("qid", "rank", citations.label().alias("label")))
+
+
 def gate_retrieved(spark, d):
     q = questions(spark, d)
     found = R.retrieve(chunks(spark, d), sections(spark, d), q, "hybrid_rerank")
@@ -135,6 +145,8 @@ QUERIES = {
     "child_to_parent": child_to_parent,
     "sub_queries": sub_queries,
     "round_robin": round_robin,
+    "engine_rerank": engine,
+    "top_sources": top_sources,
     "retrieve_dense": _mode("dense"),
     "retrieve_hybrid": _mode("hybrid"),
     "retrieve_rerank": _mode("hybrid_rerank"),
@@ -190,5 +202,8 @@ SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY rank, q_idx) AS positio
     "retrieve_dense": _retrieved("cosk"),
     "retrieve_hybrid": _retrieved("fused"),
     "retrieve_rerank": _retrieved("reranked"),
+    "engine_rerank": _retrieved("reranked", "SELECT qid, rank, parent_id, score FROM lifted"),
+    "top_sources": _retrieved("fused", f"""SELECT qid, string_agg('- ' || label, chr(10) ORDER BY rank) AS sources FROM (SELECT qid, rank, label FROM
+ (SELECT qid, label, min(rank) AS rank FROM (SELECT qid, rank, {Q.LABEL} AS label FROM lifted) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY rank) <= 3) GROUP BY qid"""),
     "gate_retrieved": _retrieved("reranked", "SELECT q.qid, max(score) AS top_score, (count(score) = 0 OR max(score) < 0.5) AS refuse FROM q LEFT JOIN lifted USING (qid) GROUP BY q.qid"),
 }

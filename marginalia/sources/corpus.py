@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,7 +60,7 @@ def pages_to_documents(pages: DataFrame, cleaned: bool = True) -> DataFrame:
     title = F.col("metadata").getItem("title")
     return d.select(
         F.col("page_id").cast("string").alias("doc_key"), L.slug(F.col("url"), title).alias("source"), F.lit("web").alias("source_type"), F.col("url").alias("source_url"), title.alias("title"),
-        F.lit(None).cast("string").alias("source_id"), body.alias("body"), F.when(F.col("markdown").isNull(), F.lit("no page")).alias("error"),
+        F.lit(None).cast("string").alias("source_id"), body.alias("body"), F.col("error").alias("error"),
     )
 
 
@@ -66,16 +70,79 @@ def rendered(docs: DataFrame) -> DataFrame:
     return docs.where("body is not null").select("source", F.concat(N.render_front_matter(meta, F.col("source_type"), F.col("source")), F.lit("\n"), F.col("body")).alias("file"))
 
 
-def write_index(children: DataFrame, path: str, reset: bool = True) -> None:
-    """The search index as a table; a missing page is -1, as the index has no nulls."""
-    children.withColumn("page", F.coalesce("page", F.lit(-1))).write.mode("overwrite" if reset else "append").parquet(path)
+def page(spark: SparkSession, url: str | None = None, file: str | None = None, canonical: str | None = None, fetch=L.fetch_page) -> DataFrame:
+    """One page as a document like those of `pages_to_documents`: a local file, or else an address that is
+    fetched. One of them must be given."""
+    if file is not None:
+        return pages_to_documents(html_files(spark, file, canonical or url))
+    if url is None:
+        raise ValueError("give an address or a file")
+    return pages_to_documents(spark.createDataFrame([(0, canonical or url, fetch(url))], "page_id long, url string, html string"))
 
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
+def write_files(files: DataFrame, folder: str) -> int:
+    """Writes (source, file) as `source`.md into a folder that all executors reach; how many were written.
+    A file that a repeated task writes again is the same."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        target, at = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        target.create_dir(at, recursive=True)
+        for pdf in batches:
+            for name, text in zip(pdf["source"], pdf["file"]):
+                with target.open_output_stream(f"{at}/{name}.md") as f:
+                    f.write(text.encode())
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    return files.select("source", "file").mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def normalize_folder(spark: SparkSession, path: str, folder: str) -> DataFrame:
+    """Every *.md of a folder, not of those below it, normalised into another folder: (source, source_type,
+    error), with an error instead of a file where one can't be read."""
+    docs = documents(markdown_files(spark, path, recursive=False))
+    write_files(rendered(docs), folder)
+    return docs.select("source", "source_type", "error")
+
+
+def save_pages(docs: DataFrame, folder: str) -> int:
+    """Web documents as files named after their addresses."""
+    return write_files(rendered(docs.where("error is null")), folder)
+
+
+def write_index(children: DataFrame, path: str, reset: bool = True, vectors: DataFrame | None = None) -> None:
+    """The search index as a table, with `vectors` (child_id, embedding) if given; a missing page is -1, as
+    the index has no nulls."""
+    rows = children if vectors is None else children.join(vectors, "child_id", "left")
+    rows.withColumn("page", F.coalesce("page", F.lit(-1))).write.mode("overwrite" if reset else "append").parquet(path)
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame:
     try:
         return spark.read.parquet(path)
-    except Exception as e:
-        raise NotIndexed(f"nothing is indexed at {path}") from e
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise NotIndexed(f"nothing is indexed at {path}") from e
+        raise
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """The index; `NotIndexed` where there is none. Other failures stay what they are."""
+    return _read(spark, path)
+
+
+def sections_path(index: str) -> str:
+    """Where an index keeps its sections: beside it."""
+    return index.rstrip("/") + "_sections"
+
+
+def write_sections(parents: DataFrame, index: str, reset: bool = True) -> None:
+    parents.write.mode("overwrite" if reset else "append").parquet(sections_path(index))
+
+
+def read_sections(spark: SparkSession, index: str) -> DataFrame:
+    return _read(spark, sections_path(index))
 
 
 def append_run(report: DataFrame, path: str, dataset: str, config: dict[str, str]) -> None:
