@@ -89,7 +89,7 @@ def nearest_figure_above(captions: DataFrame, figures: DataFrame) -> DataFrame:
     c = captions.select("page_id", "cap_id", F.col("box").alias("cb"))
     f = figures.select("page_id", F.col("box").alias("fb"))
     gap = F.col("cb")[1] - F.col("fb")[3]
-    best = c.join(f, "page_id").where(gap >= ABOVE).groupBy("page_id", "cap_id").agg(F.min_by("fb", F.struct(gap, F.col("fb")[0])).alias("fb"))
+    best = c.join(f, "page_id").where(gap >= ABOVE).groupBy("page_id", "cap_id").agg(F.min_by("fb", F.struct(gap, "fb")).alias("fb"))
     j = c.join(best, ["page_id", "cap_id"], "left")
     lo = lambda i: F.least(F.col("fb")[i], F.col("cb")[i])
     hi = lambda i: F.greatest(F.col("fb")[i], F.col("cb")[i])

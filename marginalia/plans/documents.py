@@ -68,7 +68,8 @@ def cleaned_web(spark, d):
 
 
 def sections(spark, d):
-    return C.chunk(_documents(spark, d))[0].select("parent_id", "sec_no", "section", "page_start", "page_end", F.length("text").alias("n_chars"))
+    of = lambda c: F.coalesce(c, F.lit(-1)).alias(c)
+    return C.chunk(_documents(spark, d))[0].select("parent_id", "sec_no", "section", of("page_start"), of("page_end"), F.length("text").alias("n_chars"))
 
 
 def chunks(spark, d):
@@ -174,7 +175,21 @@ def _body(expression: str) -> str:
     return _E + f"SELECT document_id, {expression} AS body FROM e"
 
 
+# blocks that are never cut, in one pattern: of those that overlap, the first to start wins
+_PAGE = r"(?:(?im)^<!--\s*loc\s+page=\d+\s*-->\s*$)"
+_BLOCK = _PAGE + r"|(?:(?s)\$\$.*?\$\$)|(?:(?is)---\s*\[FIGURE\]\s*---.*?---\s*\[/FIGURE\]\s*---)|(?:(?s)```.*?```)|(?:(?m)(?:^\|[^\n]*\|[ \t]*\n){2,})"
+_SECTIONS = _E + rf""", b AS (SELECT document_id, regexp_extract_all(markdown, '{_BLOCK}') AS blocks, regexp_extract_all(regexp_replace(markdown, '{_BLOCK}', chr(1), 'g'), chr(1) || '|[^\n' || chr(1) || ']*\n|[^\n' || chr(1) || ']+') AS parts FROM e WHERE markdown IS NOT NULL),
+p AS (SELECT document_id, blocks, unnest(parts) AS part, generate_subscripts(parts, 1) AS n FROM b),
+q AS (SELECT *, CASE WHEN part = chr(1) THEN blocks[count(*) FILTER (part = chr(1)) OVER (PARTITION BY document_id ORDER BY n)] ELSE part END AS text, part <> chr(1) AND regexp_matches(part, '^#{{1,6}}\s+\S') AS opens FROM p),
+r AS (SELECT *, CASE WHEN part = chr(1) AND regexp_matches(text, '^{_PAGE}$') THEN regexp_extract(text, '(\d+)', 1)::INT END AS mark FROM q),
+s AS (SELECT *, last_value(mark IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY n) AS page, sum(opens::INT) OVER (PARTITION BY document_id ORDER BY n) AS sec FROM r),
+t AS (SELECT *, min(CASE WHEN mark IS NULL THEN n END) OVER (PARTITION BY document_id, sec) AS begins FROM s),
+g AS (SELECT document_id, sec, coalesce(any_value(CASE WHEN opens THEN trim(ltrim(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '#'), ' ' || chr(9)) END), 'preambule') AS section, arg_min(page, n) FILTER (page IS NOT NULL) AS page_start, arg_max(page, n) FILTER (page IS NOT NULL) AS page_end,
+ string_agg(CASE WHEN mark IS NULL THEN text END, '' ORDER BY n) AS body FROM t WHERE n >= begins GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY sec) - 1 AS sec_no, regexp_replace(body, '\A{SPACE}+|{SPACE}+\z', '', 'g') AS whole FROM g)
+SELECT printf('doc%08d__sec%03d', document_id, sec_no) AS parent_id, sec_no, section, coalesce(page_start, -1) AS page_start, coalesce(page_end, -1) AS page_end, len(whole) AS n_chars FROM o WHERE whole <> ''"""
 ORACLES = {
+    "sections": _SECTIONS,
     "unify_pages": _body(r"regexp_replace(replace(markdown, '<!-- loc page=', '<!-- page '), '(?im)^<!--\s*page\s+(\d+)\s*-->\s*$', '<!-- loc page=\1 -->', 'g')"),
     "unify_figures": _body(
         r"regexp_replace(markdown || chr(10) || '--- [INTERPRETATION DE LA FIGURE] ---' || chr(10) || '  a curve ' || chr(10) || '--- [FIN INTERPRETATION] ---' || chr(10), '(?is)---\s*\[INTERPRETATION DE LA FIGURE\]\s*---\s*\n\s*(.*?)\s*---\s*\[FIN INTERPRETATION\]\s*---', '--- [FIGURE] ---' || chr(10) || '\1' || chr(10) || '--- [/FIGURE] ---', 'g')"

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import citations, goldens, metrics
+from ..operators import citations, goldens, metrics, reports
 from ..session import spread, table
+from . import pipeline
 from . import sql as Q
 
 
@@ -144,7 +145,68 @@ def golden_categories(spark, d):
     return _results(spark, d).select("result_id", goldens.category(F.coalesce("contexts", F.array().cast("array<string>"))).alias("category"))
 
 
+def per_answer(spark, d):
+    """The four levels of the report of each stored answer, side by side."""
+    r = _results(spark, d).withColumnRenamed("result_id", "qid")
+    verdicts = r.select("qid", F.when(F.col("qid") % 3 < 2, F.col("qid") % 3 == 0).alias("grounded"))
+    p = reports.per_answer(r, _parents(spark, d), verdicts)
+    listed = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    levels = [("pipeline", x) for x in "n_sub_queries n_contexts n_sections refused answer_length score_top score_mean score_min score_max score_range refused_by_gate refused_by_judge".split()]
+    levels += [("judge", "verdict")] + [("retrieval", x) for x in "overlap n_keywords n_matched source_types n_titles n_chars".split()]
+    counts = ("n_keywords", "n_matched", "n_titles", "n_chars")
+    return p.select("qid", *[(F.coalesce(f"{a}.{b}", F.lit(-1)) if b in counts else F.col(f"{a}.{b}")).alias(b) for a, b in levels], listed(F.col("citations.cited")).alias("cited"), listed(F.col("citations.uncited")).alias("uncited"), F.array_join("citations.sources", ",").alias("sources"), F.col("citations.rate").alias("rate"))
+
+
+def grounding(spark, d):
+    r = _results(spark, d)
+    return reports.grounding(r.select(F.col("result_id").alias("qid"), "answer", "contexts", F.col("query").alias("reference")))
+
+
+def _goldens(spark, d):
+    """Stored questions as test items, each in the category of the test item with its number."""
+    i = _items(spark, d).select(F.col("item_id").alias("result_id"), "category")
+    return _results(spark, d).join(i, "result_id", "left").select(F.col("result_id").alias("qid"), F.col("contexts").alias("gold_context"), "category", "answer")
+
+
+def _read_hits(spark, d):
+    return _hits(spark, d).join(_parents(spark, d).select("parent_id", "text"), "parent_id").select("qid", "rank", "text")
+
+
+def _grades(g):
+    return g.select("qid", F.when(F.col("qid") % 4 > 0, (F.col("qid") % 5 + 1) / 5.0).alias("correctness"))
+
+
+def evaluation_report(spark, d):
+    g = _goldens(spark, d)
+    return pipeline.evaluate(g, g.drop("answer"), _read_hits(spark, d), grades=_grades(g))
+
+
+def evaluation_intervals(spark, d):
+    g = _goldens(spark, d)
+    return pipeline.evaluate(g, g.drop("answer"), _read_hits(spark, d), grades=_grades(g), intervals=True)
+
+
+def calibration_scores(spark, d):
+    return metrics.top_scores(_hits(spark, d), _goldens(spark, d))
+
+
+def calibrated_from_hits(spark, d):
+    return metrics.calibrate(calibration_scores(spark, d))
+
+
+def golden_generation(spark, d):
+    c = table(spark, d, "children").select("source", "parent_id", "child_no", "text").where("text is not null").dropDuplicates(["parent_id", "child_no"])
+    return goldens.single_passage(c).unionByName(goldens.multi_passage(c))
+
+
 QUERIES = {
+    "per_answer_report": per_answer,
+    "grounding_proxies": grounding,
+    "evaluation_report": evaluation_report,
+    "evaluation_intervals": evaluation_intervals,
+    "calibration_scores": calibration_scores,
+    "calibrated_from_hits": calibrated_from_hits,
+    "golden_generation": golden_generation,
     "refusal_flags": refusal_flags,
     "refusal_confusion": refusal_confusion,
     "overlap_relevance": relevance,
@@ -189,7 +251,43 @@ _REL = _H + f""", t AS (SELECT qid, rank, text, coalesce(contexts, []) AS gold F
 w AS (SELECT qid, rank, {Q.words('text')} AS hw, gold FROM t),
 rel AS (SELECT qid, rank, round(coalesce(list_max(list_transform(gold, lambda g: {Q.overlap(Q.words('g'), 'hw')})), 0), 6) AS relevance, len(gold) AS n_gold FROM w)"""
 _SC = "WITH s AS (SELECT DISTINCT ON (question_id) dataset, retrieval_mode, best_reranker_score AS score, is_unanswerable AS u FROM reranker_calibration WHERE question_id IS NOT NULL), g AS (SELECT * FROM s WHERE score IS NOT NULL AND NOT isnan(score) AND u IS NOT NULL)"
+_SENT = r"list_filter(list_transform(regexp_extract_all(coalesce(answer, ''), '[^.!?]+[.!?]*'), lambda x: trim(x)), lambda x: x <> '')"
+_GOLD = _REL + ", i AS (SELECT DISTINCT ON (item_id) item_id, category FROM test_unanswerable_only WHERE item_id IS NOT NULL), gold AS (SELECT result_id AS qid, category, answer FROM r LEFT JOIN i ON i.item_id = r.result_id)"
+_TOP = _H + ", i AS (SELECT DISTINCT ON (item_id) item_id, category FROM test_unanswerable_only WHERE item_id IS NOT NULL), top AS (SELECT qid, max(dist) AS score, any_value(category) = 'unanswerable' AS unanswerable FROM h JOIN i ON i.item_id = h.qid WHERE dist IS NOT NULL AND category IS NOT NULL GROUP BY qid)"
+_METRICS = """, k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY relevance DESC, rank) AS i FROM rel JOIN gold USING (qid) WHERE category IS DISTINCT FROM 'unanswerable'),
+m AS (SELECT qid, max(n_gold) AS n_gold, max(CASE WHEN relevance >= 0.4 AND rank <= 4 THEN 1.0 ELSE 0.0 END)::DOUBLE AS hit, min(CASE WHEN relevance >= 0.4 THEN rank END) AS first, count(*) FILTER (relevance >= 0.4 AND rank <= 4) AS good, count(*) AS n,
+ sum(CASE WHEN rank <= 4 THEN relevance / log2(rank + 1.0) ELSE 0 END) AS dcg, sum(CASE WHEN i <= 4 THEN relevance / log2(i + 1.0) ELSE 0 END) AS idcg FROM k GROUP BY qid),
+x AS (SELECT qid, CASE WHEN n_gold > 0 THEN hit END AS hit, CASE WHEN n_gold > 0 THEN coalesce(1.0::DOUBLE / first, 0) END AS mrr, CASE WHEN n_gold > 0 THEN good / least(4, n) END AS precision, CASE WHEN n_gold > 0 THEN CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END END AS ndcg FROM m)"""
 ORACLES = {
+    "per_answer_report": _H
+    + rf""", s AS (SELECT result_id AS qid, list_filter(list_transform(coalesce(hits, []), lambda x: x.dist), lambda x: x IS NOT NULL) AS sc, coalesce(hits, []) AS hs, coalesce(contexts, []) AS cx, coalesce(answer, '') AS an, coalesce(refused, false) AS ref, query, sub_queries FROM r),
+g AS (SELECT *, (len(hs) = 0 OR coalesce(list_max(sc) < 0.1119, false)) AS gate, CASE WHEN qid % 3 < 2 THEN qid % 3 = 0 END AS ok, {_keys('query')} AS kw, {Q.words("array_to_string(cx, ' ')", 3)} AS cw,
+ list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(an, '(?i)\[DOC\s*([0-9]{{1,6}})\]', 1), lambda x: x::INT), lambda x: x BETWEEN 1 AND len(hs)))) AS c FROM s),
+t AS (SELECT qid, string_agg(k || ' ×' || n, ', ' ORDER BY k || ' ×' || n) AS source_types FROM (SELECT qid, coalesce(p.source_type, '?') AS k, count(*) AS n FROM h JOIN p USING (parent_id) GROUP BY ALL) GROUP BY qid),
+u AS (SELECT qid, count(DISTINCT section) FILTER (section <> '') AS n_titles FROM h JOIN p USING (parent_id) GROUP BY qid)
+SELECT qid, coalesce(len(sub_queries), 0) AS n_sub_queries, len(cx) AS n_contexts, len(list_distinct(list_transform(hs, lambda x: x.parent_id))) AS n_sections, ref AS refused, length(an) AS answer_length,
+ round(sc[1], 3) AS score_top, round(list_avg(sc), 3) AS score_mean, round(list_min(sc), 3) AS score_min, round(list_max(sc), 3) AS score_max, round(list_max(sc) - list_min(sc), 3) AS score_range, ref AND gate AS refused_by_gate, ref AND NOT gate AS refused_by_judge,
+ CASE WHEN ref THEN 'refused' WHEN ok IS NULL THEN 'not judged' WHEN ok THEN 'grounded' ELSE 'ungrounded' END AS verdict,
+ CASE WHEN len(cx) > 0 THEN round(CASE WHEN len(kw) > 0 THEN len(list_intersect(kw, cw)) / len(kw) ELSE 0 END, 3) END AS overlap, CASE WHEN len(cx) > 0 THEN len(kw) ELSE -1 END AS n_keywords, CASE WHEN len(cx) > 0 THEN len(list_intersect(kw, cw)) ELSE -1 END AS n_matched,
+ CASE WHEN len(cx) > 0 THEN coalesce(source_types, '') END AS source_types, CASE WHEN len(cx) > 0 THEN coalesce(n_titles, 0) ELSE -1 END AS n_titles, CASE WHEN len(cx) > 0 THEN coalesce(list_sum(list_transform(cx, lambda x: length(x))), 0) ELSE -1 END AS n_chars,
+ CASE WHEN an <> '' AND len(hs) > 0 THEN array_to_string(c, ',') END AS cited, CASE WHEN an <> '' AND len(hs) > 0 THEN array_to_string(list_filter(range(1, len(hs) + 1), lambda x: NOT list_contains(c, x)), ',') END AS uncited,
+ CASE WHEN an <> '' AND len(hs) > 0 THEN array_to_string(list_transform(c, lambda x: CASE WHEN length(hs[x].source) > 30 THEN left(hs[x].source, 27) || '...' ELSE coalesce(nullif(hs[x].source, ''), CASE WHEN hs[x].source IS NULL THEN '?' ELSE '(empty)' END) END), ',') END AS sources,
+ CASE WHEN an <> '' AND len(hs) > 0 THEN round(len(c) / len(hs), 2) END AS rate FROM g LEFT JOIN t USING (qid) LEFT JOIN u USING (qid)""",
+    "grounding_proxies": _R
+    + f""", a AS (SELECT result_id AS qid, list_filter(list_transform({_SENT}, lambda s: {Q.words('s')}), lambda w: len(w) > 0) AS told, list_transform(coalesce(contexts, []), lambda c: {Q.words('c')}) AS rd, {Q.words('query')} AS wanted FROM r),
+g AS (SELECT *, list_transform(rd, lambda c: CASE WHEN {Q.overlap('wanted', 'c')} >= 0.4 THEN 1 ELSE 0 END) AS good, list_filter(told, lambda s: len(list_filter(rd, lambda c: len(list_intersect(s, c)) >= 0.5 * len(s))) > 0) AS held FROM a)
+SELECT qid, CASE WHEN len(told) > 0 THEN round(len(held) / len(told), 6) END AS faithfulness, CASE WHEN len(good) > 0 THEN round(CASE WHEN list_sum(good) > 0 THEN list_sum(list_transform(good, lambda x, i: x * list_sum(good[1:i]) / i)) / list_sum(good) ELSE 0 END, 6) END AS context_precision FROM g""",
+    "evaluation_report": _GOLD
+    + _METRICS
+    + f""", f AS (SELECT gold.qid, category, category = 'unanswerable' AS wanted, {_refuses('answer')} AS made, hit, mrr, precision, ndcg, CASE WHEN category IS DISTINCT FROM 'unanswerable' AND gold.qid % 4 > 0 THEN (gold.qid % 5 + 1) / 5.0::DOUBLE END AS correctness FROM gold LEFT JOIN x ON x.qid = gold.qid)
+SELECT category, grouping(category)::INT AS level, count(*) AS n, round(avg(hit), 6) AS hit, round(avg(mrr), 6) AS mrr, round(avg(precision), 6) AS precision, round(avg(ndcg), 6) AS ndcg, round(avg(correctness), 6) AS correctness,
+ count(*) FILTER (category IS NOT NULL AND wanted AND made) AS tp, count(*) FILTER (category IS NOT NULL AND NOT wanted AND made) AS fp, count(*) FILTER (category IS NOT NULL AND wanted AND NOT made) AS fn, count(*) FILTER (category IS NOT NULL AND NOT wanted AND NOT made) AS tn,
+ round(avg(CASE WHEN category IS NOT NULL THEN (wanted = made)::INT END), 6) AS refusal_correctness FROM f GROUP BY ROLLUP (category)""",
+    "calibration_scores": _TOP + " SELECT * FROM top",
+    "calibrated_from_hits": _TOP
+    + """, d AS (SELECT score, count(*) FILTER (unanswerable) AS u, count(*) FILTER (NOT unanswerable) AS a FROM top WHERE NOT isnan(score) GROUP BY score),
+x AS (SELECT score, (coalesce(sum(u) OVER b, 0) + sum(a) OVER () - coalesce(sum(a) OVER b, 0)) / (sum(u) OVER () + sum(a) OVER ()) AS accuracy FROM d WINDOW b AS (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT score AS threshold, accuracy FROM x QUALIFY row_number() OVER (ORDER BY accuracy DESC, score) = 1""",
     "refusal_flags": _R + f" SELECT result_id, {_refuses('answer')} AS is_refusal FROM r",
     "refusal_confusion": _I
     + f""", f AS (SELECT category = 'unanswerable' AS w, {_refuses('ground_truth')} AS m FROM i WHERE category IS NOT NULL),

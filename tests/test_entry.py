@@ -34,6 +34,7 @@ def test_core_queries_match_their_sql(spark, sf, name):
 
     import duckdb
     import numpy as np
+    import pandas as pd
 
     from marginalia.plans import registry
 
@@ -49,7 +50,7 @@ def test_core_queries_match_their_sql(spark, sf, name):
     def plain(v):
         if isinstance(v, (list, tuple, np.ndarray)):
             return tuple(map(plain, v))
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return None
         return round(float(v), 6) if isinstance(v, (float, np.floating)) else v.item() if isinstance(v, np.generic) else v
 
