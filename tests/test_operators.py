@@ -165,7 +165,9 @@ def test_html():
     root = H.parse('<body><nav>menu</nav><main><h1>T¶</h1><p>a <b>b</b><p>c<ul><li>one<li>two</ul><pre class="language-py">x = 1\n</pre><script>"</p>"</script></main>')
     assert H.to_markdown(H._main(root)) == "# T\n\na **b**\n\nc\n\n- one\n- two\n\n```py\nx = 1\n```"
     m = H.parse("<math><mfrac><mi>a</mi><msqrt><mi>λ</mi></msqrt></mfrac><msubsup><mo>∑</mo><mi>i</mi><mn>2</mn></msubsup></math>").first("math")
-    assert H.mathml_to_latex(m) == r"\frac{a}{\sqrt{\lambda}} \sum_{i}^{2}"
+    assert H.mathml_to_latex(m) == r"\frac{a}{\sqrt{λ}}\sum_{i}^{2}"
+    m = H.parse("<math><mrow><mi>ℝ</mi><mo>∉</mo><mfenced><mi>x</mi><mo>−</mo><mn>1</mn></mfenced><mo>\u2062</mo><mroot><mi>y</mi><mn>3</mn></mroot><mtext>if so</mtext><msup><mi>z</mi></msup></mrow><annotation>no</annotation></math>").first("math")
+    assert H.mathml_to_latex(m) == r"\mathbb{R}\notin\left(x-1\right)\sqrt[3]{y}\text{if so}z"
     assert H.table_to_markdown("<table></table>") == "<table></table>"
 
 
