@@ -73,7 +73,7 @@ def sections(spark, d):
 
 
 def chunks(spark, d):
-    return C.chunk(_documents(spark, d))[1].select("child_id", "parent_id", "child_no", "page", "child_type", "text", "embed_text")
+    return C.chunk(_documents(spark, d))[1].select("child_id", "parent_id", "child_no", F.coalesce("page", F.lit(-1)).alias("page"), "child_type", "text", "embed_text")
 
 
 def _children(spark, d):
@@ -187,9 +187,79 @@ t AS (SELECT *, min(CASE WHEN mark IS NULL THEN n END) OVER (PARTITION BY docume
 g AS (SELECT document_id, sec, coalesce(any_value(CASE WHEN opens THEN trim(ltrim(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '#'), ' ' || chr(9)) END), 'preambule') AS section, arg_min(page, n) FILTER (page IS NOT NULL) AS page_start, arg_max(page, n) FILTER (page IS NOT NULL) AS page_end,
  string_agg(CASE WHEN mark IS NULL THEN text END, '' ORDER BY n) AS body FROM t WHERE n >= begins GROUP BY ALL),
 o AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY sec) - 1 AS sec_no, regexp_replace(body, '\A{SPACE}+|{SPACE}+\z', '', 'g') AS whole FROM g)
-SELECT printf('doc%08d__sec%03d', document_id, sec_no) AS parent_id, sec_no, section, coalesce(page_start, -1) AS page_start, coalesce(page_end, -1) AS page_end, len(whole) AS n_chars FROM o WHERE whole <> ''"""
+"""
+_SECTION_ROWS = _SECTIONS + """ SELECT printf('doc%08d__sec%03d', document_id, sec_no) AS parent_id, sec_no, section, coalesce(page_start, -1) AS page_start, coalesce(page_end, -1) AS page_end, len(whole) AS n_chars FROM o WHERE whole <> ''"""
+def _strip(t: str) -> str:
+    return rf"regexp_replace({t}, '\A{SPACE}+|{SPACE}+\z', '', 'g')"
+
+
+# units of a section: blocks, and paragraphs of prose, the long ones as runs of sentences; then a walk over them
+_CHUNK_ROWS = _SECTIONS.replace("WITH e", "WITH RECURSIVE e", 1) + (
+    rf""", k1 AS (SELECT document_id, sec, n, text, page, CASE WHEN mark IS NOT NULL THEN 'page' WHEN part <> chr(1) THEN 'prose' WHEN text LIKE '$$%' THEN 'formula' WHEN text LIKE '```%' THEN 'code_block' WHEN text LIKE '|%' THEN 'table' ELSE 'figure' END AS kind FROM t WHERE n >= begins),
+k2 AS (SELECT *, lag(kind) OVER (PARTITION BY document_id, sec ORDER BY n) AS before FROM k1),
+k3 AS (SELECT *, sum(CASE WHEN kind = 'prose' AND before = 'prose' THEN 0 ELSE 1 END) OVER (PARTITION BY document_id, sec ORDER BY n) AS run FROM k2),
+k4 AS (SELECT document_id, sec, run, kind, first(page ORDER BY n) AS page, string_agg(text, '' ORDER BY n) AS body FROM k3 WHERE kind <> 'page' GROUP BY document_id, sec, run, kind),
+u1 AS (SELECT document_id, sec, run, kind, page, CASE WHEN kind = 'prose' THEN string_split_regex(body, '
+{SPACE}*
+') ELSE [body] END AS pp FROM k4),
+u2 AS (SELECT document_id, sec, run, kind, page, unnest(pp) AS para, generate_subscripts(pp, 1) AS pi FROM u1),
+u3 AS (SELECT *, CASE WHEN kind <> 'prose' THEN [para] WHEN len(para) <= 750 THEN [{_strip('para')} || chr(10) || chr(10)]
+ ELSE list_filter(list_reduce(list_transform(string_split(regexp_replace(para, '([.!?]){SPACE}+', '\1' || chr(2), 'g'), chr(2)), lambda x: [x]), lambda acc, x: CASE WHEN len(acc[-1]) + len(x[1]) <= 750 THEN list_append(acc[:-2], {_strip("acc[-1] || ' ' || x[1]")}) ELSE list_append(acc, x[1]) END, ['']), lambda x: x <> '') END AS us FROM u2 WHERE kind <> 'prose' OR {_strip('para')} <> ''),
+u4 AS (SELECT document_id, sec, run, kind, page, pi, unnest(us) AS unit, generate_subscripts(us, 1) AS ui, len(us) AS nu, len(para) AS np FROM u3),
+u5 AS (SELECT document_id, sec, kind, page, CASE WHEN kind <> 'prose' OR np <= 750 THEN unit WHEN ui < nu THEN unit || ' ' ELSE unit || chr(10) || chr(10) END AS unit, row_number() OVER (PARTITION BY document_id, sec ORDER BY run, pi, ui) AS rn FROM u4),
+w AS (SELECT document_id, sec, rn, kind, page, unit, 0 AS child_no, len(unit) AS size, len(unit) >= (CASE kind WHEN 'prose' THEN 750 ELSE 400 END) AS shut FROM u5 WHERE rn = 1 UNION ALL
+ SELECT u.document_id, u.sec, u.rn, u.kind, u.page, u.unit, w.child_no + f.fresh::INT, CASE WHEN f.fresh THEN len(u.unit) ELSE w.size + len(u.unit) END, (CASE WHEN f.fresh THEN len(u.unit) ELSE w.size + len(u.unit) END) >= (CASE u.kind WHEN 'prose' THEN 750 ELSE 400 END)
+ FROM w JOIN u5 u ON u.document_id = w.document_id AND u.sec = w.sec AND u.rn = w.rn + 1, LATERAL (SELECT w.shut OR w.size + len(u.unit) > 400 AS fresh) f),
+y AS (SELECT document_id, sec, child_no, first(page ORDER BY rn) FILTER (page IS NOT NULL) AS page, string_agg(DISTINCT kind, '+' ORDER BY kind) AS child_type, {_strip("string_agg(unit, '' ORDER BY rn)")} AS text FROM w GROUP BY ALL),
+x AS (SELECT y.*, o.section, printf('doc%08d', document_id) AS source, printf('doc%08d__sec%03d', document_id, o.sec_no) AS parent_id, lag(text) OVER (PARTITION BY document_id, sec ORDER BY child_no) AS prev FROM y JOIN o USING (document_id, sec) WHERE o.whole <> '')
+SELECT parent_id || printf('__c%03d', child_no) AS child_id, parent_id, child_no, coalesce(page, -1) AS page, child_type, text,
+ '[' || source || ' | ' || section || ' | page ' || coalesce(page::VARCHAR, '?') || ']' || chr(10) || CASE WHEN prev IS NULL THEN '' ELSE right(prev, 80) || chr(10) END || text AS embed_text FROM x"""
+)
+
+
+def _tables(t: str) -> str:
+    """HTML tables of a text as pipe tables: what lies between them, and each of them rewritten."""
+    table = r"(?is)<table\b.*?</table>"
+    clean = r"trim(regexp_replace(regexp_replace(c, '<[^>]*>', '', 'g'), '\s+', ' ', 'g'))"
+    rows = rf"list_filter(list_transform(regexp_extract_all(t, '(?is)<tr\b.*?(?:</tr>|</table>)'), lambda r: list_transform(regexp_extract_all(r, '(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>', 1), lambda c: replace({clean}, '|', '\|'))), lambda r: len(r) > 0)"
+    width = f"list_max(list_transform({rows}, lambda r: len(r)))"
+    line = f"'| ' || array_to_string(list_concat(r, list_transform(range({width} - len(r)), lambda x: '')), ' | ') || ' |'"
+    lines = f"list_transform({rows}, lambda r: {line})"
+    pipe = f"CASE WHEN len({rows}) = 0 THEN t ELSE ({lines})[1] || chr(10) || '| ' || array_to_string(list_transform(range({width}), lambda x: '---'), ' | ') || ' |' || array_to_string(list_transform(({lines})[2:], lambda x: chr(10) || x), '') END"
+    made = f"list_transform(regexp_extract_all({t}, '{table}'), lambda t: {pipe})"
+    return f"array_to_string(list_transform(list_zip(string_split_regex({t}, '{table}'), {made}), lambda z: z[1] || coalesce(z[2], '')), '')"
+
+
+_PAGES_OF = r"regexp_replace(x, '(?im)^<!--\s*page\s+(\d+)\s*-->\s*$', '<!-- loc page=\1 -->', 'g')"
+_FIGURES_OF = r"regexp_replace(x, '(?is)---\s*\[INTERPRETATION DE LA FIGURE\]\s*---\s*\n\s*(.*?)\s*---\s*\[FIN INTERPRETATION\]\s*---', '--- [FIGURE] ---' || chr(10) || '\1' || chr(10) || '--- [/FIGURE] ---', 'g')"
+_PIPES_OF = r"regexp_replace(x, '(?m)^[ \t]*\|[ \t]*$\n?', '', 'g')"
+_NORMALIZED = (
+    _E
+    + f""", a AS (SELECT document_id, {_PAGES_OF.replace('x,', 'markdown,', 1)} AS x FROM e), b AS (SELECT document_id, {_FIGURES_OF} AS x FROM a), c AS (SELECT document_id, {_tables('x')} AS markdown FROM b), """
+    + _LINES.replace("FROM e", "FROM c")
+    + f""", h AS (SELECT *, regexp_matches(line, {_HEAD}) AND NOT regexp_matches(line, '[0-9]\\s*$') AND NOT regexp_matches(line, '^#{{1,6}}\\s+\\S') AS old, regexp_extract(line, {_HEAD}, 1) AS num, regexp_extract(line, {_HEAD}, 2) AS sub FROM l),
+g AS (SELECT document_id, string_agg(CASE WHEN old THEN repeat('#', least(6, len(num) - len(replace(num, '.', '')) + 2 + (sub <> '')::INT)) || ' ' || trim(line) ELSE line END, chr(10) ORDER BY n) AS x FROM h GROUP BY document_id),
+k AS (SELECT document_id, {_PIPES_OF} AS markdown FROM g) SELECT e.document_id, {_TIDY.replace('markdown', 'k.markdown')} AS body FROM e LEFT JOIN k USING (document_id)"""
+)
+_IMAGES = r"regexp_replace(markdown, '!\[([^\]]*)\]\(([^)]*)\)', '', 'g')"
+_EMOJIS = r"replace(regexp_replace(markdown, '[\x{1F300}-\x{1FAFF}\x{2700}-\x{27BF}\x{2600}-\x{26FF}\x{1F1E6}-\x{1F1FF}\x{FE0F}\x{200D}]+', '', 'g'), '  ', ' ')"
+_DROPPED = r"""m AS (SELECT *, n = max(n) OVER (PARTITION BY document_id) AS last_line, regexp_matches(line, '^#+\s') AS head, regexp_matches(line, '(?i)^#+\s*[\d.]*\s*(?:Exercises?|Problems?)\s*$') AS ex FROM l),
+s AS (SELECT *, sum(head::INT) OVER (PARTITION BY document_id ORDER BY n) AS sec FROM m),
+x AS (SELECT *, max((ex AND NOT last_line)::INT) OVER (PARTITION BY document_id, sec) AS dropped FROM s),
+y AS (SELECT document_id, coalesce(string_agg(CASE WHEN dropped = 1 THEN NULL WHEN last_line THEN line ELSE line || chr(10) END, '' ORDER BY n), '') AS markdown FROM x GROUP BY document_id)"""
+_CLEANED = (
+    _E
+    + f""", a AS (SELECT document_id, {_IMAGES} AS markdown FROM e WHERE metadata['source_url'] IS NOT NULL), b AS (SELECT document_id, {_MATH} AS markdown FROM a),
+c AS (SELECT document_id, regexp_replace(markdown, '\\[([^\\]]+)\\]\\([^)]*\\)', '\\1', 'g') AS markdown FROM b), d AS (SELECT document_id, {_EMOJIS} AS markdown FROM c), """
+    + _LINES.replace("FROM e", "FROM d")
+    + f""", {_DROPPED} SELECT e.document_id, {_SQUEEZE.replace('markdown', 'y.markdown')} AS body FROM e LEFT JOIN y USING (document_id) WHERE metadata['source_url'] IS NOT NULL"""
+)
 ORACLES = {
-    "sections": _SECTIONS,
+    "sections": _SECTION_ROWS,
+    "chunks": _CHUNK_ROWS,
+    "clean_web": _CLEANED,
+    "normalize_body": _NORMALIZED,
+    "html_tables": _body(_tables("markdown")),
     "unify_pages": _body(r"regexp_replace(replace(markdown, '<!-- loc page=', '<!-- page '), '(?im)^<!--\s*page\s+(\d+)\s*-->\s*$', '<!-- loc page=\1 -->', 'g')"),
     "unify_figures": _body(
         r"regexp_replace(markdown || chr(10) || '--- [INTERPRETATION DE LA FIGURE] ---' || chr(10) || '  a curve ' || chr(10) || '--- [FIN INTERPRETATION] ---' || chr(10), '(?is)---\s*\[INTERPRETATION DE LA FIGURE\]\s*---\s*\n\s*(.*?)\s*---\s*\[FIN INTERPRETATION\]\s*---', '--- [FIGURE] ---' || chr(10) || '\1' || chr(10) || '--- [/FIGURE] ---', 'g')"
