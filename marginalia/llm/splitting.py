@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.sql import SPACE
 from ..session import spread, table
 from .structure import atomic_blocks
 
@@ -181,4 +182,11 @@ def piece_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p4_found": found, "p4_pieces": pieces, "p4_piece_report": piece_report}
-ORACLES: dict[str, str] = {}
+_BLOCK = r"(?:(?ms)^[ \t]{0,3}```[^\n]*\n.*?(?:^[ \t]{0,3}```+[ \t]*$|\z))|(?:(?ms)^[ \t]{0,3}~~~[^\n]*\n.*?(?:^[ \t]{0,3}~~~+[ \t]*$|\z))|(?:(?s)\$\$.*?\$\$)|(?:(?ms)^[ \t]*--- \[FIGURE\] ---[ \t]*$.*?^[ \t]*--- \[/FIGURE\] ---[ \t]*$)|(?:(?m)^[ \t]*\|[^\n]*\n[ \t]*\|[^\n]*(?:\n[ \t]*\|[^\n]*)*)"
+_LONGEST = "coalesce(list_max(list_transform(regexp_extract_all(own, '{}'), lambda x: length(x))), 0)"
+ORACLES = {
+    "p4_found": f"""WITH items AS (SELECT 'children.text' AS item_field, child_id AS item_key, text AS body, text AS own FROM children UNION ALL SELECT 'children.embed_text', child_id, embed_text, text FROM children UNION ALL SELECT 'parents.text', parent_id, text, text FROM parents),
+big AS (SELECT DISTINCT item_field, item_key, coalesce(own, '') AS own, max_chars FROM items JOIN size_limits USING (item_field) WHERE length(body) > max_chars),
+kinds AS (SELECT item_field, item_key, length(own) > max_chars AND greatest({_LONGEST.format(_BLOCK)}, {_LONGEST.format('[^.!?…。！？' + SPACE[1:-1] + ']+')}) > max_chars AS unbreakable FROM big)
+SELECT item_field, item_key, 'oversize' AS case_kind FROM kinds UNION ALL SELECT item_field, item_key, 'unbreakable' FROM kinds WHERE unbreakable""",
+}
