@@ -354,6 +354,29 @@ def test_scan_counts_are_whole(spark, sf, monkeypatch):
     assert {tuple(r) for r in scans.found(spark, sf).collect()} == want and any(kind == "misread" for _, _, kind in want)
 
 
+def test_counts_in_the_jvm_are_those_of_the_reader(spark, sf):
+    from collections import Counter
+
+    texts = [r["body"] for r in scans._docs(spark, sf).collect()] + ["!a b!c rnodel- \nling ‐x •y e.g. A.B ﬁne 12 -\n- z¬\nq r­", "", "\n\n", "!Ab !ab ab! --"]
+    one: Counter = Counter()
+    two: Counter = Counter()
+    for text in texts:
+        broken = False
+        for line in text.split("\n"):
+            ws = [w.lower() for _, w in scans.words_of(line)]
+            if not ws:
+                continue
+            ends = line.rstrip()[-1:] in scans._HYPHENS
+            ws = ws[1:] if broken else ws
+            ws = ws[:-1] if ends else ws
+            broken = ends
+            one.update(ws)
+            two.update(zip(ws, ws[1:]))
+    words, pairs = scans._counts(spark.createDataFrame([(t,) for t in texts], "body string"))
+    assert {r["word"]: r["n"] for r in words.collect()} == one
+    assert {(r["a"], r["b"]): r["n"] for r in pairs.collect()} == two
+
+
 def test_neighbours_may_favour_any_candidate_of_a_misread_word():
     words = {w: 900 for w in "aorder border corder dorder eorder forder gorder".split()} | {"horder": 500, "tall": 500, "x": 10**6}
     m = scans.Channel(words, {("tall", "horder"): 400}, {})
