@@ -60,27 +60,41 @@ def words_of(line: str) -> list[tuple[int, str]]:
 # ---- language model --------------------------------------------------------------------------
 
 
-def _words(line: F.Column) -> F.Column:
-    """The lower-case words of `words_of`, in the JVM."""
-    small = r"[\p{L}\p{Nl}\p{No}&&[^A-Z]]"
-    token = r"(?U)(?:[^\s.,;:?()«»“”„\"…\[\]—–’'/=<>{}+*^\\$~%¿¡]|(?<=" + small + r")\.(?=" + small + "))+"
-    bare = lambda w: F.regexp_replace(w, r"^[-‐•]*(?:!(?!\p{Ll}))?|!+$", "")
-    return F.filter(F.transform(F.regexp_extract_all(line, F.lit(token), F.lit(0)), lambda w: F.lower(bare(w))), lambda w: w.rlike(r"[\p{L}\p{Nl}\p{No}]"))
-
-
 def _counts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(word, n) and (a, b, n) over all lines. Words at a line's end that may be broken, and the
     rest of them, don't count; pairs don't cross lines."""
-    broken = lambda x: x.rlike(f"(?U)[{_HYPHENS}]\\s*$")
-    lines = F.filter(F.transform(F.split("body", "\n"), lambda x: F.struct(_words(x).alias("w"), broken(x).alias("ends"))), lambda x: F.size(x["w"]) > 0)
-    of = texts.select(lines.alias("l"))
-    after = lambda i: F.coalesce(F.get("l", i - 1)["ends"], F.lit(False)).cast("int")
-    whole = F.transform("l", lambda x, i: F.slice(x["w"], after(i) + 1, F.greatest(F.lit(0), F.size(x["w"]) - after(i) - x["ends"].cast("int"))))
-    w = of.select(F.explode(whole).alias("w")).where("size(w) > 0")
-    none = F.lit(None).cast("string")
-    pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct(F.get("w", i - 1).alias("a"), F.get("w", i).alias("b")))).otherwise(F.array().cast("array<struct<a:string,b:string>>"))
-    each = w.select(F.explode(F.concat(F.transform("w", lambda x: F.struct(x.alias("a"), none.alias("b"))), pairs)).alias("x"))
-    total = cut_lineage(each.groupBy("x.a", "x.b").agg(F.count("*").alias("n")))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        one: Counter = Counter()
+        two: Counter = Counter()
+
+        def flush() -> pd.DataFrame:
+            rows = [(a, None, n) for a, n in one.items()] + [(a, b, n) for (a, b), n in two.items()]
+            one.clear()
+            two.clear()
+            return pd.DataFrame(rows, columns=["a", "b", "n"])
+
+        for pdf in batches:
+            for text in pdf["body"]:
+                broken = False
+                for line in text.split("\n"):
+                    ws = [w.lower() for _, w in words_of(line)]
+                    if not ws:
+                        continue
+                    ends = line.rstrip()[-1:] in _HYPHENS
+                    if broken:
+                        ws = ws[1:]
+                    if ends:
+                        ws = ws[:-1]
+                    broken = ends
+                    one.update(ws)
+                    two.update(zip(ws, ws[1:]))
+            if len(one) + len(two) > 200_000:
+                yield flush()
+        yield flush()
+
+    parts = texts.select("body").mapInPandas(run, "a string, b string, n long")
+    total = cut_lineage(parts.groupBy("a", "b").agg(F.sum("n").alias("n")))
     return total.where("b is null").select(F.col("a").alias("word"), "n"), total.where("b is not null")
 
 

@@ -354,7 +354,7 @@ def test_scan_counts_are_whole(spark, sf, monkeypatch):
     assert {tuple(r) for r in scans.found(spark, sf).collect()} == want and any(kind == "misread" for _, _, kind in want)
 
 
-def test_counts_in_the_jvm_are_those_of_the_reader(spark, sf):
+def test_counts_are_those_of_a_plain_walk(spark, sf):
     from collections import Counter
 
     texts = [r["body"] for r in scans._docs(spark, sf).collect()] + ["!a b!c rnodel- \nling ‐x •y e.g. A.B ﬁne 12 -\n- z¬\nq r­", "", "\n\n", "!Ab !ab ab! --"]
