@@ -48,6 +48,9 @@ def words_of(line: str) -> list[tuple[int, str]]:
     out = []
     for m in _TOKEN.finditer(line):
         w = m.group()
+        if w.isalpha():
+            out.append((m.start(), w))
+            continue
         lead = len(w) - len(w.lstrip("-‐•"))
         if w[lead : lead + 1] == "!" and not w[lead + 1 : lead + 2].islower():
             lead += 1
