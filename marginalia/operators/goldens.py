@@ -22,6 +22,11 @@ def sample(items: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     return items.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
 
 
+def first(items: DataFrame, n: int | None) -> DataFrame:
+    """The first n items in the order of the file; all without n."""
+    return items if n is None else items.orderBy("idx").limit(n)
+
+
 def unanswerable(items: DataFrame, reference: str, seed: int = 42) -> DataFrame:
     """Each question with the context of the next question in a fixed shuffled order, of another
     source; the reference says that there is no answer.

@@ -31,6 +31,15 @@ def region_type(region: Column) -> Column:
     return F.lower(F.trim(field(region, "native_label", "label", "type")))
 
 
+def region_text(region: Column) -> Column:
+    return field(region, "content", "text", "markdown")
+
+
+def region_image(region: Column) -> Column:
+    """The path of a region's image, where the recogniser cut one out."""
+    return field(region, "image_path", "img_path", "image")
+
+
 def cluster_figures(figures: DataFrame) -> DataFrame:
     """Adds `cluster`: figures of a page by rows. In order of (y, x) a figure joins the first
     cluster whose band, widened by `BAND`, meets its own; clusters grow with their figures.

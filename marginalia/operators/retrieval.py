@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -362,42 +362,19 @@ def retrieve(children: DataFrame, parents: DataFrame, queries: DataFrame, mode:
 
 
 class Engine:
-    """An index that is read and counted once and asked many times.
+    """An index that is counted once and asked many times.
 
-    Chunks, sections and term statistics are kept between questions; nothing is read before the
-    first of them.
+    Chunks and sections stay the tables they are, read by columns as each search needs them; the
+    term statistics are written once, before the first search that needs them.
     """
 
     def __init__(self, children: DataFrame, parents: DataFrame, config: EngineConfig = DEFAULT, scorer=lexical_scores) -> None:
-        self.config, self.scorer = config, scorer
-        self._children, self._parents = children, parents
-        self._stats: Statistics | None = None
+        self.children, self.parents, self.config, self.scorer = children, parents, config, scorer
 
-    @property
-    def children(self) -> DataFrame:
-        self._load()
-        return self._children
-
-    @property
-    def parents(self) -> DataFrame:
-        self._load()
-        return self._parents
-
-    @property
+    @cached_property
     def stats(self) -> Statistics:
-        self._load()
-        return self._stats
-
-    def _load(self) -> None:
-        if self._stats is None:
-            self._children, self._parents = self._children.persist(StorageLevel.MEMORY_AND_DISK), self._parents.persist(StorageLevel.MEMORY_AND_DISK)
-            self._stats = statistics(self._children, self.config)
+        return statistics(self.children, self.config)
 
     def retrieve(self, queries: DataFrame, mode: str = "hybrid_rerank", k: int | None = None, source_type: str | None = None) -> DataFrame:
-        return retrieve(self.children, self.parents, queries, mode, k, source_type, self.config, self.stats, self.scorer)
-
-    def close(self) -> None:
-        if self._stats is not None:
-            self._children.unpersist()
-            self._parents.unpersist()
-            self._stats = None
+        stats = None if mode == "dense" else self.stats
+        return retrieve(self.children, self.parents, queries, mode, k, source_type, self.config, stats, self.scorer)

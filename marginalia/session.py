@@ -22,6 +22,7 @@ def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.unionOutputPartitioning", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
@@ -33,6 +34,9 @@ def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
 def ship_package(spark: SparkSession) -> None:
     """Send this package's source to the executors once per application, so that Python
     workers import it wherever they run."""
+    # a union of inputs partitioned alike may be taken for partitioned itself, and then fail when the
+    # adaptive plan gives its inputs other numbers of partitions ("Can't zip RDDs")
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return

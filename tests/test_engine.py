@@ -52,7 +52,6 @@ def test_an_engine_answers_like_the_functions(small):
     for mode in ("dense", "hybrid", "hybrid_rerank"):
         assert rows(e.retrieve(q, mode)) == rows(R.retrieve(c, p, q, mode))
     assert e.stats is e.stats and e.stats.n == 6
-    e.close()
 
 
 class Odd:
@@ -371,3 +370,38 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         session.cut_lineage(Frame())
+
+
+def test_regions_by_their_several_keys(spark):
+    d = spark.createDataFrame([({"label": " Figure ", "text": "a", "img_path": "x.png"},), ({"native_label": "caption", "type": "text", "content": "b"},), ({},)], "r map<string,string>")
+    got = d.select(layout.region_type(F.col("r")), layout.region_text(F.col("r")), layout.region_image(F.col("r"))).collect()
+    assert [tuple(x) for x in got] == [("figure", "a", "x.png"), ("caption", "b", None), (None, None, None)]
+
+
+def test_content_patterns(spark):
+    d = spark.createDataFrame([("https://www.d2l.ai/chapter_x/a.html",), ("https://d2l.ai/index.html",), ("https://h.test/a",)], "url string")
+    assert [r[0] for r in d.select(links.is_content(F.col("url"))).collect()] == [True, False, True]
+    assert [r[0] for r in d.select(links.is_content(F.col("url"), "/a$")).collect()] == [False, False, True]
+
+
+def test_commands(spark, tmp_path, capsys):
+    from marginalia import __main__ as cli
+
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "a.md").write_text("---\nsource_type: web\ntitle: T\nsource_url: https://h.test/a\n---\n\n# Layers\n\nA gated layer keeps the signal. It is small.\n")
+    (source / "b.md").write_text("---\nsource_type: web\n---\n\n# Loss\n\nThe loss falls with every step.\n")
+    index, clean = str(tmp_path / "index"), str(tmp_path / "clean")
+    cli.main(["normalize", str(source), clean])
+    cli.main(["ingest", clean, index])
+    cli.main(["stats", index])
+    cli.main(["search", index, "gated layer"])
+    assert "web · h.test" in capsys.readouterr().out
+    (tmp_path / "items.json").write_text(json.dumps([{"question": "What does a gated layer keep?", "ground_truth": "the signal", "contexts": ["A gated layer keeps the signal."], "category": "single_passage"}, {"question": "zzz", "category": "unanswerable"}]))
+    cli.main(["evaluate", index, str(tmp_path / "items.json"), "--history", str(tmp_path / "runs")])
+    assert "hit_lower" in capsys.readouterr().out and spark.read.json(str(tmp_path / "runs")).count() == 1
+    cli.main(["calibrate", index, str(tmp_path / "items.json"), "--limit", "1"])
+    args = cli.parser().parse_args(["chat", index, "--report"])
+    asked, said = iter(["What does a gated layer keep?", ""]), []
+    cli.chat(spark, args, lambda _: next(asked), said.append)
+    assert "gated layer" in said[0] and any("Retrieval" in x for x in said)
