@@ -269,7 +269,7 @@ SELECT qid, coalesce(len(sub_queries), 0) AS n_sub_queries, len(cx) AS n_context
  round(sc[1], 3) AS score_top, round(list_avg(sc), 3) AS score_mean, round(list_min(sc), 3) AS score_min, round(list_max(sc), 3) AS score_max, round(list_max(sc) - list_min(sc), 3) AS score_range, ref AND gate AS refused_by_gate, ref AND NOT gate AS refused_by_judge,
  CASE WHEN ref THEN 'refused' WHEN ok IS NULL THEN 'not judged' WHEN ok THEN 'grounded' ELSE 'ungrounded' END AS verdict,
  CASE WHEN len(cx) > 0 THEN round(CASE WHEN len(kw) > 0 THEN len(list_intersect(kw, cw)) / len(kw) ELSE 0 END, 3) END AS overlap, CASE WHEN len(cx) > 0 THEN len(kw) ELSE -1 END AS n_keywords, CASE WHEN len(cx) > 0 THEN len(list_intersect(kw, cw)) ELSE -1 END AS n_matched,
- CASE WHEN len(cx) > 0 THEN coalesce(source_types, '') END AS source_types, CASE WHEN len(cx) > 0 THEN coalesce(n_titles, 0) ELSE -1 END AS n_titles, CASE WHEN len(cx) > 0 THEN coalesce(list_sum(list_transform(cx, lambda x: length(x))), 0) ELSE -1 END AS n_chars,
+ CASE WHEN len(cx) > 0 THEN coalesce(source_types, '') END AS source_types, CASE WHEN len(cx) > 0 THEN coalesce(n_titles, 0) ELSE -1 END AS n_titles, CASE WHEN len(cx) > 0 THEN coalesce(list_sum(list_transform(cx, lambda x: length(x)))::BIGINT, 0) ELSE -1 END AS n_chars,
  CASE WHEN an <> '' AND len(hs) > 0 THEN array_to_string(c, ',') END AS cited, CASE WHEN an <> '' AND len(hs) > 0 THEN array_to_string(list_filter(range(1, len(hs) + 1), lambda x: NOT list_contains(c, x)), ',') END AS uncited,
  CASE WHEN an <> '' AND len(hs) > 0 THEN array_to_string(list_transform(c, lambda x: CASE WHEN length(hs[x].source) > 30 THEN left(hs[x].source, 27) || '...' ELSE coalesce(nullif(hs[x].source, ''), CASE WHEN hs[x].source IS NULL THEN '?' ELSE '(empty)' END) END), ',') END AS sources,
  CASE WHEN an <> '' AND len(hs) > 0 THEN round(len(c) / len(hs), 2) END AS rate FROM g LEFT JOIN t USING (qid) LEFT JOIN u USING (qid)""",
