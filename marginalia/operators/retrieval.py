@@ -237,20 +237,15 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str =
                 v = np.stack([np.asarray(x, dtype=np.float64) for x in pdf["e"]])
                 norm = np.sqrt((v * v).sum(axis=1))
                 v, keys = v[norm > 0] / norm[norm > 0, None], pdf["k"].to_numpy()[norm > 0]
-                order = np.argsort(keys, kind="stable")
-                v, keys = v[order], keys[order]
-                parts = []
+                parts = [] if best is None else [best]
                 for lo in range(0, len(ids), 1024):
                     sims = np.round(q[lo : lo + 1024] @ v.T, 6)
                     if exclude_self:
                         sims[ids[lo : lo + 1024, None] == keys[None, :]] = -np.inf
-                    top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-                    for row, cols in enumerate(top):
-                        parts.append(pd.DataFrame({"qid": ids[lo + row], key: keys[cols], "score": sims[row, cols]}))
-                here = pd.concat(parts, ignore_index=True)
-                here = here[np.isfinite(here["score"])]
-                best = here if best is None else pd.concat([best, here], ignore_index=True)
-                best = best.sort_values(["qid", "score", key], ascending=[True, False, True], kind="stable").groupby("qid", sort=False).head(k)
+                    least = np.partition(sims, -k, axis=1)[:, -k] if len(keys) > k else np.full(len(sims), -np.inf)
+                    row, col = np.nonzero((sims >= least[:, None]) & np.isfinite(sims))  # with all ties of the last
+                    parts.append(pd.DataFrame({"qid": ids[lo + row], key: keys[col], "score": sims[row, col]}))
+                best = _best(parts, k, key)
             yield best if best is not None else pd.DataFrame({"qid": [], key: [], "score": []}).astype({"qid": "int64", key: "int64", "score": "float64"})
 
         hits = spread(vectors).select(F.col(key).cast("long").alias("k"), F.col(embedding).alias("e")).mapInPandas(near, schema)

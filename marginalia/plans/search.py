@@ -34,6 +34,10 @@ def term_stats(spark, d):
     return R.term_stats(c).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
+def postings(spark, d):
+    return R.postings(chunks(spark, d)).select("child_id", "term", "tf", "dl")
+
+
 def doc_lengths(spark, d):
     from ..functions import text as T
 
@@ -133,6 +137,7 @@ def gate_retrieved(spark, d):
 
 QUERIES = {
     "term_stats": term_stats,
+    "postings": postings,
     "doc_lengths": doc_lengths,
     "bm25_topk": bm25,
     "bm25_topk_filtered": bm25_filtered,
@@ -177,6 +182,7 @@ _ROUND = Q.SEARCH.replace(
 )
 ORACLES = {
     "term_stats": Q.SEARCH + "SELECT term, df, round(idf, 6) AS idf FROM stats",
+    "postings": Q.SEARCH + "SELECT child_id, term, tf, dl FROM post",
     "doc_lengths": Q.SEARCH + "SELECT child_id, len(t) AS dl FROM tok",
     "bm25_topk": Q.SEARCH + "SELECT qid, child_id, score, rank FROM bmk",
     "bm25_topk_filtered": Q.SEARCH + "SELECT qid, child_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, child_id) AS rank FROM bm JOIN c USING (child_id) WHERE source_type = 'pdf' QUALIFY rank <= 20",
