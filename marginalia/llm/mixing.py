@@ -9,8 +9,8 @@ The order within a source is cut into buckets by the logarithm of the key, `STEP
 the weights, a bucket then holds at most 1 / (e STEPS) of a source's documents, 0.15 %. Bucket sums are
 aggregated before anything moves, so a running sum is the sum of earlier buckets plus a sum within
 one bucket, and a source with a third of all documents is spread over as many tasks as any other.
-Documents are whole, so the prefix stops short of the budget; the one document of the rest that fits
-the gap best is added if that comes nearer.
+Documents are whole, so the prefix stops short of the budget where the next one is too long. The
+gap is filled by the next `FILL` documents in order that fit it, and by the one that comes nearest.
 
 Sources without tokens can't contribute; the others keep their shares in proportion. Documents
 without tokens are left out. Each document counts once; repeated rows of a source's weight count
@@ -19,6 +19,7 @@ once; shares that are null or not above 0, and repeats below 1, leave a source o
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +27,7 @@ from ..session import cut_lineage, table
 from .tokens import token_sizes
 
 STEPS = 256  # buckets a factor e of the key
+FILL = 256  # documents of a source, next in order, that may fill the gap its prefix leaves
 
 
 def quality() -> F.Column:
@@ -62,13 +64,34 @@ def mix(docs: DataFrame, weights: DataFrame, seed: int = 7) -> DataFrame:
     run = docs.withColumn("within", within).join(starts, ["source", "bucket"])
     upto = F.col("before") + F.col("within")
     run = cut_lineage(run.withColumn("drawn", (upto <= F.col("rest")) & (F.col("epochs") < F.col("repeats"))))
-    # the gap that whole documents leave, and the document that fits it best
+    # the gap that whole documents leave
     open_ = run.where((F.col("epochs") < F.col("repeats")) & (F.col("rest") > 0))
     gaps = open_.groupBy("source").agg((F.first("rest") - F.coalesce(F.sum(F.when(F.col("drawn"), F.col("tokens"))), F.lit(0))).alias("gap"))
-    miss = F.abs(F.col("gap") - F.col("tokens"))
-    fill = open_.where(~F.col("drawn")).join(gaps, "source").where(miss < F.col("gap")).groupBy("source").agg(F.min_by("doc_id", F.struct(miss, "key", "doc_id")).alias("fill"))
-    taken = F.col("drawn") | F.coalesce(F.col("fill") == F.col("doc_id"), F.lit(False))
-    return run.join(fill, "source", "left").select("source", "doc_id", "tokens", (F.col("epochs") + taken.cast("long")).alias("copies")).where("copies > 0")
+    near = open_.where(~F.col("drawn")).join(gaps, "source").where(F.col("tokens") < 2 * F.col("gap"))
+    order = F.row_number().over(Window.partitionBy("source").orderBy("key", "doc_id"))  # each task keeps its first FILL before they meet
+    filled = near.withColumn("place", order).where(F.col("place") <= FILL).groupBy("source").applyInPandas(_fill, "source string, doc_id long")
+    taken = F.col("drawn") | F.col("filled")
+    marked = run.join(filled.withColumn("filled", F.lit(True)), ["source", "doc_id"], "left").fillna(False, ["filled"])
+    return marked.select("source", "doc_id", "tokens", (F.col("epochs") + taken.cast("long")).alias("copies")).where("copies > 0")
+
+
+def _fill(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A source's next documents in order as long as they fit its gap, and then the one that comes nearest."""
+    pdf = pdf.sort_values("place", kind="stable")
+    gap = float(pdf["gap"].iloc[0])
+    taken: list[int] = []
+    left: list[tuple[float, int]] = []
+    for doc, tokens in zip(pdf["doc_id"], pdf["tokens"]):
+        if tokens <= gap:
+            taken.append(doc)
+            gap -= tokens
+        else:
+            left.append((tokens, doc))
+    if left:
+        tokens, doc = min(left, key=lambda x: abs(gap - x[0]))
+        if abs(gap - tokens) < gap:
+            taken.append(doc)
+    return pd.DataFrame({"source": pdf["source"].iloc[0], "doc_id": pd.Series(taken, dtype="int64")})
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
