@@ -31,6 +31,13 @@ def last_turns(t: DataFrame, n: int) -> DataFrame:
     return t.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 
+def answered(t: DataFrame) -> DataFrame:
+    """(conv_id, n_answers): how often the tutor speaks right after the student."""
+    before = F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn"))
+    pairs = t.withColumn("_before", before).where("role = 'tutor' and _before = 'student'")
+    return pairs.groupBy("conv_id").agg(F.count("*").alias("n_answers"))
+
+
 def history(t: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
     """(conv_id, history): the latest turns, labelled, in order."""
     label = F.concat(F.when(F.col("role") == "student", F.lit("Student")).otherwise(F.lit("Tutor")), F.lit(" : "), F.col("text"))

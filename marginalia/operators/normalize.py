@@ -2,6 +2,9 @@
 
 Each step takes and gives a column; null stays null. Steps are safe to repeat. `$` in a
 replacement is a group, so literal dollars are escaped.
+
+The regular expressions of the steps, and the order of the steps, are fixed values: they state the
+conventions of the corpus and the marks of older ones, and must stay as they are.
 """
 
 from __future__ import annotations

@@ -3,7 +3,7 @@ are made of stored rows, alike for both engines; only the site that is crawled i
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
@@ -35,9 +35,7 @@ def history_last_n(spark, d):
 
 
 def conversation_pairs(spark, d):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    t = turns(spark, d).withColumn("before", F.lag("role").over(w))
-    return t.where("role = 'tutor' and before = 'student'").groupBy("conv_id").agg(F.count("*").alias("n_answers"))
+    return V.answered(turns(spark, d))
 
 
 def compress_state(spark, d):
