@@ -10,7 +10,9 @@ recur.
 Counts cover all documents and all words and pairs; nothing is pruned or sampled. Each word form is
 joined with the frequent words one confusion away. A confusion's rate is the share of its
 occurrences that such forms hold, a form counting unless it is seen more often than the rates
-explain. Scanned documents are read in buckets of bounded size; a bucket is sent the counts of the
+explain. Rates are averages, and a word's own may be some times as large (scanned pages have another
+share of the languages, and a reader errs once a word), so a form is a word only beyond `SPREAD`
+times what they explain; both grow with the input, and a form is judged alike at any size. Scanned documents are read in buckets of bounded size; a bucket is sent the counts of the
 words, candidates and pairs that occur in its own lines.
 
 Rows: documents without `source_id`, or with a null or empty text, have no lines; a repeated
@@ -33,6 +35,9 @@ from ..session import cut_lineage, table
 BUCKET_DOCS = 4_000  # documents a bucket holds at most on average; bounds the memory of a task
 STRONG = 20  # occurrences of a word that others may be misread from
 KNOWN = 3  # occurrences, beyond those that confusion may explain, that make a word known
+SPREAD = 6  # times the average that the rate of a confusion may be in one word
+TWICE = 2e-6  # chance that a word has two confusions, or a blank read as a character; above the square of the rates
+LEAST = 4  # characters of a form that rates are estimated from, and of the words it may come from
 ROUNDS = 5  # of the estimation of rates
 REACH = 9.4  # most that the pairs on both sides of a word can favour one candidate over another
 _HYPHENS = "-‐‑­¬"
@@ -101,9 +106,14 @@ def _counts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return total.where("b is null").select(F.col("a").alias("word"), "n"), total.where("b is not null")
 
 
-def _explained(n: int, expected: float) -> bool:
+def _explained(n: int, expected: float, spread: float = SPREAD) -> bool:
     """Whether confusion alone may have made n occurrences of a form."""
-    return n < KNOWN + 2 * expected + 3 * math.sqrt(expected)
+    return n < KNOWN + spread * expected + 3 * math.sqrt(expected)
+
+
+def _most_twice(top: int) -> float:
+    """Occurrences from which two confusions in a word explain no form, `top` being the most frequent word's."""
+    return KNOWN + TWICE * top + 3 * math.sqrt(TWICE * top)
 
 
 def _is_listed(op: tuple[str, str]) -> bool:
@@ -132,8 +142,11 @@ def _rates(seen: dict[tuple[str, str], float], shown: dict[str, float]) -> dict[
 
 
 def _shown(words: dict[str, int]) -> Counter:
+    """Occurrences of what may be misread, in the words that forms are held against."""
     out: Counter = Counter()
     for w, n in words.items():
+        if len(w) < LEAST or not _open(w):
+            continue
         for c in w:
             out[c] += n
         for right in {right for right, _ in _MULTI if len(right) > 1}:
@@ -165,9 +178,10 @@ def _replaced(w: str) -> Iterator[tuple[str, tuple[str, str]]]:
 class Channel:
     """Words, pairs and confusion probabilities."""
 
-    def __init__(self, words: dict[str, int], pairs: dict[tuple[str, str], int], rate: dict[tuple[str, str], float], total: int | None = None) -> None:
+    def __init__(self, words: dict[str, int], pairs: dict[tuple[str, str], int], rate: dict[tuple[str, str], float], total: int | None = None, top: int | None = None) -> None:
         self.words, self.pairs = words, pairs
         self.total = total or sum(words.values()) + 1
+        self.top = top or max(words.values(), default=0)  # the count of the most frequent word
         self.at: dict[str, list[str]] = {}  # a word with one character left open -> words
         for w, n in words.items():
             if n >= STRONG and _open(w):
@@ -186,9 +200,28 @@ class Channel:
             if self.words.get(v, 0) >= STRONG:
                 yield v, op
 
+    def _expected(self, low: str) -> float | None:
+        """How often one confusion makes this form; None if none can."""
+        near = [self.words[v] * self.rate.get(op, 0.0) for v, op in self._edits(low)]
+        return sum(near) if near else None
+
+    def _twice(self, low: str) -> dict[str, float]:
+        """How often two confusions, or a blank read as a character, make this form of each word or two."""
+        out = {v: self.words[v] * TWICE for mid in self._listed(low) for v, _ in self._edits(mid)}
+        for i in range(2, len(low) - 2):
+            a, b = self.words.get(low[:i], 0), self.words.get(low[i + 1 :], 0)
+            if a >= 200 and b >= 200:
+                out[low[:i] + " " + low[i + 1 :]] = min(a, b) * TWICE
+        return out
+
     def known(self, low: str) -> bool:
         n = self.words.get(low, 0)
-        return n >= KNOWN and not _explained(n, sum(self.words[v] * self.rate.get(op, 0.0) for v, op in self._edits(low)))
+        if n < KNOWN:
+            return False
+        expected = self._expected(low)
+        if expected is not None:
+            return not _explained(n, expected)
+        return len(low) < 6 or n >= _most_twice(self.top) or not _explained(n, max(self._twice(low).values(), default=0.0), 1)
 
     def candidates(self, word: str) -> list[tuple[str, float]]:
         """(lower-case word, log of its expected number of readings as `word`); the word itself is
@@ -203,8 +236,9 @@ class Channel:
                 self.cache[word] = [(low, math.log(n + 1.0))]
                 return self.cache[word]
         name = word[:1].isupper()
-        # a form's own occurrence is no evidence for it
-        out = [(low, math.log(n) if known else math.log(max(n - 1, 0) * 0.05 + (0.05 if name else 0.004)))]
+        # a form's own occurrence is no evidence for it, nor are those that confusion is expected to make
+        own = 0 if known else min(max(n - 1, 0), KNOWN + (self._expected(low) or 0.0))
+        out = [(low, math.log(n) if known else math.log(own * 0.05 + (0.05 if name else 0.004)))]
         if len(low) >= 2:
             best: dict[str, float] = {}
             for v, op in self._edits(low):
@@ -216,14 +250,8 @@ class Channel:
                 if not known and not listed:
                     p = max(p, 4e-6)
                 best[v] = max(best.get(v, -99.0), math.log(self.words[v] * p + 1e-12))
-            if not best and n < KNOWN and len(low) >= 6 and not name:  # two confusions in one word
-                for mid in self._listed(low):
-                    for v, _ in self._edits(mid):
-                        best[v] = max(best.get(v, -99.0), math.log(self.words[v] * 2e-6))
-                for i in range(2, len(low) - 2):  # a blank read as a character
-                    a, b = self.words.get(low[:i], 0), self.words.get(low[i + 1 :], 0)
-                    if a >= 200 and b >= 200:
-                        best[low[:i] + " " + low[i + 1 :]] = math.log(min(a, b) * 2e-6)
+            if not best and not known and len(low) >= 6 and not name:
+                best = {v: math.log(x) for v, x in self._twice(low).items()}
             out += [x for x in sorted(best.items(), key=lambda x: -x[1]) if x[1] >= out[0][1] - REACH]  # no path through the others can win
         if len(self.cache) > 200_000:
             self.cache.clear()
@@ -596,7 +624,8 @@ def _near(words: DataFrame, forms: DataFrame) -> DataFrame:
     met = every.select("word").mapInPandas(_keys, "word string, key string, a string, b string").join(strong, "key").where("v <> word and (a is null) = (c is not null)")
     one = met.groupBy("word").agg(F.collect_list(F.struct("v", F.col("m").alias("n"), F.coalesce("a", "c").alias("a"), "b")).alias("near"))
     once = cut_lineage(every.join(one, "word", "left"))
-    lone = once.where(F.col("near").isNull() & (F.col("n") < KNOWN) & (F.length("word") >= 6)).select("word")
+    top = words.agg(F.max("n")).first()[0] or 0
+    lone = once.where(F.col("near").isNull() & (F.col("n") < _most_twice(top)) & (F.length("word") >= 6)).select("word")
     far = lone.mapInPandas(_far_keys, "word string, key string").join(strong, "key").groupBy("word").agg(F.collect_set(F.struct("v", F.col("m").alias("n"), F.lit(None).cast("string").alias("a"), F.lit(None).cast("string").alias("b"))).alias("far"))
     return cut_lineage(once.join(far, "word", "left").select("word", "n", F.coalesce("near", "far", F.array().cast(_NEAR)).alias("near")))
 
@@ -612,7 +641,7 @@ def _estimate(near: DataFrame) -> dict[tuple[str, str], float]:
 
     strong = near.where(F.col("n") >= STRONG).select("word", "n")
     base = {r["a"]: r["n"] for r in strong.mapInPandas(shown, "a string, n long").groupBy("a").agg(F.sum("n").alias("n")).collect()}  # characters
-    forms = near.where("n > 0 and length(word) >= 4 and exists(near, x -> x.a is not null)").select("n", "near")
+    forms = near.where(f"n > 0 and length(word) >= {LEAST} and exists(near, x -> x.a is not null)").select("n", "near")
     rate: dict[tuple[str, str], float] | None = None
     for _ in range(ROUNDS):
 
@@ -677,7 +706,7 @@ def _read(docs: DataFrame, each, schema: str) -> DataFrame:
     needed = cut_lineage(needed)
     near = _near(words, needed.select("word").distinct())
     rate = _estimate(near)
-    total = (words.agg(F.sum("n")).first()[0] or 0) + 1
+    total, top = words.agg(F.coalesce(F.sum("n"), F.lit(0)) + 1, F.max("n")).first()
     own = cut_lineage(needed.join(near, "word").select("bucket", "word", "n", F.transform("near", lambda x: F.struct(x["v"].alias("v"), x["n"].alias("n"))).alias("near")))
 
     def counts(rows: pd.DataFrame) -> dict[str, int]:
@@ -685,7 +714,7 @@ def _read(docs: DataFrame, each, schema: str) -> DataFrame:
         return out | {w: n for w, n in zip(rows["word"], rows["n"]) if n}
 
     def record(pdf: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        m = _Recorder(counts(rows), {}, rate, total)
+        m = _Recorder(counts(rows), {}, rate, total, top)
         m.met = set()
         for _, text, edges in _edges(pdf):
             read_document(text, m, edges)
@@ -699,7 +728,7 @@ def _read(docs: DataFrame, each, schema: str) -> DataFrame:
     def decode(pdf: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         two = rows["b"].notna()
         pair = rows[two]
-        m = Channel(counts(rows[~two]), dict(zip(zip(pair["word"], pair["b"]), pair["n"])), rate, total)
+        m = Channel(counts(rows[~two]), dict(zip(zip(pair["word"], pair["b"]), pair["n"])), rate, total, top)
         out = [x for doc, text, edges in _edges(pdf) for x in each(doc, text, m, edges)]
         return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
