@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +45,30 @@ def region_image(region: Column) -> Column:
     return field(region, "image_path", "img_path", "image")
 
 
+def _boxed(boxes: DataFrame, i: str, ordinal: Column, name: str) -> DataFrame:
+    """(page_id, `name`): the boxes of each page in one list."""
+    x = F.struct(F.col(i).cast("long").alias("id"), ordinal.cast("long").alias("ordinal"), *[F.col("box")[k].cast("double").alias(n) for k, n in enumerate(("x0", "y0", "x1", "y1"))])
+    return boxes.where("box is not null").select("page_id", x.alias("x")).groupBy("page_id").agg(F.collect_list("x").alias(name))
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray], pa.Array]:
+    """Of lists of boxes: the list that each box is in, what it holds, and its id, which may be null."""
+    x = lists.flatten()
+    of = np.repeat(np.arange(len(lists)), np.asarray(pc.fill_null(pc.list_value_length(lists), 0), dtype=np.int64))
+    names, parts = [f.name for f in x.type], dict(zip([f.name for f in x.type], x.flatten()))
+    held = {n: parts[n].cast(pa.float64()).to_numpy(zero_copy_only=False) for n in names[2:]}  # a number missing is NaN
+    for n in names[:2]:
+        held[n], held[f"no {n}"] = np.asarray(parts[n].fill_null(0)), np.asarray(parts[n].is_null())
+    return of, held, parts["id"]
+
+
+def _in_order(of: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The boxes by page and keys, and where each page that has any begins and how many it has."""
+    order = np.lexsort((*reversed(keys), of))
+    starts = np.flatnonzero(np.diff(of[order], prepend=-1))
+    return order, starts, np.diff(starts, append=len(of))
+
+
 def cluster_figures(figures: DataFrame) -> DataFrame:
     """Adds `cluster`: figures of a page by rows. In order of (y, x) a figure joins the first
     cluster whose band, widened by `BAND`, meets its own; clusters grow with their figures.
@@ -65,26 +94,60 @@ def cluster_figures(figures: DataFrame) -> DataFrame:
     return f.groupBy("page_id").applyInPandas(one, "page_id long, fig_id long, cluster int")
 
 
+def _choices(f: dict[str, np.ndarray], figs: tuple[np.ndarray, np.ndarray, np.ndarray], c: dict[str, np.ndarray], caps: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """For each figure, page after page, the place of its caption or -1. `figs` and `caps`: page of each, and start and
+    size of each page, in order, with size 0 for a page that has none. Step k takes the figure k of all pages."""
+    (_, f_start, f_size), (_, c_start, c_size) = figs, caps
+    chosen = np.full(len(f["y1"]), -1, dtype=np.int64)
+    left = np.ones(len(c["y0"]), dtype=bool)
+    for k in range(f_size.max(initial=0)):
+        pages = np.flatnonzero((f_size > k) & (c_size > 0))
+        if not len(pages):
+            break
+        n = c_size[pages]
+        begins = np.cumsum(n) - n
+        cap = np.repeat(c_start[pages] - begins, n) + np.arange(int(n.sum()))
+        fig = np.repeat(f_start[pages] + k, n)
+        gap = c["y0"][cap] - f["y1"][fig]
+        ok = left[cap] & (np.fmin(f["x1"][fig], c["x1"][cap]) - np.fmax(f["x0"][fig], c["x0"][cap]) > 0) & (gap >= ABOVE)
+        gap = np.where(ok, gap, np.inf)
+        best = np.flatnonzero(ok & (gap == np.repeat(np.minimum.reduceat(gap, begins), n)))
+        best = best[np.diff(fig[best], prepend=-1) > 0]  # of equally near ones the first
+        chosen[fig[best]] = cap[best]
+        left[cap[best]] = False
+    return chosen
+
+
 def pair_captions(figures: DataFrame, captions: DataFrame) -> DataFrame:
     """(page_id, fig_id, cap_id): each figure's nearest caption below that shares its columns, each
     caption once, null where none is left. Figures choose in reading order, which is their `ordinal` (else
-    their id): figures of one row may differ by a point in height, so boxes don't tell it."""
-    order = lambda df, i: F.col("ordinal") if "ordinal" in df.columns else F.col(i)
-    f = figures.where("box is not null").select("page_id", "fig_id", F.lit(None).cast("long").alias("cap_id"), "box", order(figures, "fig_id").cast("long").alias("ordinal"))
-    c = captions.where("box is not null").select("page_id", F.lit(None).cast("long").alias("fig_id"), "cap_id", "box", order(captions, "cap_id").cast("long").alias("ordinal"))
+    their id): figures of one row may differ by a point in height, so boxes don't tell it.
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ordinal", kind="stable")
-        caps = [(int(i), b) for i, b in zip(pdf["cap_id"], pdf["box"]) if pd.notna(i)]
-        rows = []
-        for i, b in zip(pdf["fig_id"], pdf["box"]):
-            if pd.isna(i):
-                continue
-            near = [(cb[1] - b[3], k) for k, (_, cb) in enumerate(caps) if min(b[2], cb[2]) - max(b[0], cb[0]) > 0 and cb[1] - b[3] >= ABOVE]
-            rows.append((pdf["page_id"].iloc[0], int(i), caps.pop(min(near)[1])[0] if near else None))
-        return pd.DataFrame(rows, columns=["page_id", "fig_id", "cap_id"]).astype({"cap_id": "Int64"})
-
-    return f.unionByName(c).groupBy("page_id").applyInPandas(one, "page_id long, fig_id long, cap_id long")
+    Figures and captions are gathered apart and joined by page, so inputs that lie by page aren't shuffled again.
+    """
+    order = lambda df, i: F.col("ordinal") if "ordinal" in df.columns else F.col(i)
+    f, c = figures.where("fig_id is not null"), captions.where("cap_id is not null")
+    figs, caps = _boxed(f, "fig_id", order(figures, "fig_id"), "figs"), _boxed(c, "cap_id", order(captions, "cap_id"), "caps")
+    unpaged = figs.where("page_id is null").withColumn("caps", F.lit(None).cast(caps.schema["caps"].dataType)).unionByName(caps.where("page_id is null").withColumn("figs", F.lit(None).cast(figs.schema["figs"].dataType)))
+    unpaged = unpaged.groupBy("page_id").agg(F.first("figs", True).alias("figs"), F.first("caps", True).alias("caps"))  # boxes without a page are one page, which a join would part
+    pages = figs.where("page_id is not null").join(caps, "page_id", "left").unionByName(unpaged)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, places, ids = [], [], []
+            for name in ("figs", "caps"):
+                of, x, i = _flat(batch.column(name))
+                by, starts, sizes = _in_order(of, x["no ordinal"], x["ordinal"], x["id"])
+                start, size = np.zeros((2, batch.num_rows), dtype=np.int64)
+                start[of[by][starts]], size[of[by][starts]] = starts, sizes
+                held.append({n: v[by] for n, v in x.items()})
+                places.append((of[by], start, size))
+                ids.append(i.take(pa.array(by)))
+            chosen = _choices(held[0], places[0], held[1], places[1])
+            cap = ids[1].take(pa.array(chosen, mask=chosen < 0))
+            yield pa.RecordBatch.from_arrays([batch.column("page_id").cast(pa.int64()).take(pa.array(places[0][0])), ids[0], cap], ["page_id", "fig_id", "cap_id"])
+
+    return pages.mapInArrow(run, "page_id long, fig_id long, cap_id long")
 
 
 def captions_in_band(clusters: DataFrame, captions: DataFrame) -> DataFrame:

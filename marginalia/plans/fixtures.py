@@ -103,7 +103,9 @@ _CAPTION = ["l_suppkey % 400", "l_partkey * 13 % 900", "l_suppkey % 400 + 80", "
 
 
 def _boxes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    of = lambda parts, i: table(spark, d, "lineitem").selectExpr("l_orderkey AS page_id", f"{_LINES} AS n", f"array({', '.join(f'cast({p} AS double)' for p in parts)}) AS box").selectExpr("page_id", f"cast(n AS bigint) AS {i}", "box")
+    # lines are numbered by themselves first: what else is selected beside a window is made, and shuffled, before it
+    lines = table(spark, d, "lineitem").selectExpr("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", f"cast({_LINES} AS bigint) AS n")
+    of = lambda parts, i: lines.selectExpr("l_orderkey AS page_id", f"n AS {i}", f"array({', '.join(f'cast({p} AS double)' for p in parts)}) AS box")
     return of(_FIGURE, "fig_id"), of(_CAPTION, "cap_id")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from marginalia.operators import chunking, citations, conversation, goldens, layout, links, metrics, providers, reports
 from marginalia.operators import html as H
 from marginalia.operators import retrieval as R
-from marginalia.plans import pipeline
+from marginalia.plans import fixtures, pipeline
 from marginalia.sources import corpus, recognised
 
 
@@ -217,6 +217,42 @@ def test_figures_at_the_band_s_edge_stay_apart(spark):
     assert {(r["fig_id"], r["cluster"]) for r in layout.cluster_figures(f).collect()} == {(1, 0), (2, 1), (3, 1)}
 
 
+def _pages_of_boxes(i, seed):
+    """Boxes of 40 pages and of none, one page with many, some boxes with a number or the whole missing."""
+    r = random.Random(seed)
+    pages = [None, *range(40), *[7] * 40]
+    corner = lambda: r.choice([None] * (r.random() < 0.02) + [float(r.randrange(0, 800, 20))])
+    rows = [(r.choice(pages), n, None if r.random() < 0.02 else [x := float(r.randrange(300)), corner(), x + r.randrange(200), corner()]) for n in range(600)]
+    return rows, f"page_id long, {i} long, box array<double>"
+
+
+def _by_page(rows):
+    pages = {}
+    for page, i, box in rows:
+        if box is not None:
+            pages.setdefault(page, []).append((i, [float("nan") if x is None else x for x in box]))
+    return pages
+
+
+def test_captions_are_paired_for_many_pages_at_once(spark):
+    f, c = _pages_of_boxes("fig_id", 1), _pages_of_boxes("cap_id", 2)
+    want, caps = set(), _by_page(c[0])
+    for page, figs in _by_page(f[0]).items():
+        left = caps.get(page, [])
+        for i, b in figs:
+            near = [(cb[1] - b[3], k) for k, (_, cb) in enumerate(left) if min(b[2], cb[2]) > max(b[0], cb[0]) and cb[1] - b[3] >= layout.ABOVE]
+            want.add((page, i, left.pop(min(near)[1])[0] if near else None))
+    pairs = layout.pair_captions(spark.createDataFrame(*f), spark.createDataFrame(*c))
+    assert set(map(tuple, pairs.collect())) == want and len({x[2] for x in want}) > 100
+    assert "FlatMapGroups" not in pairs._jdf.queryExecution().executedPlan().toString()  # a call of pandas a page took too long
+
+
+def test_lines_are_shuffled_once_for_figures_and_captions(spark, sf):
+    """Boxes aren't made before the shuffle by page, and what is gathered by page isn't shuffled again."""
+    plan = fixtures.nearest_caption(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(l_orderkey") == 4 and plan.count("Exchange hashpartitioning(page_id") == 1  # two for lines without a page
+
+
 def test_files_and_stores(spark, tmp_path):
     source, target = tmp_path / "in", tmp_path / "out"
     (source / "deep").mkdir(parents=True)
