@@ -93,7 +93,7 @@ def bootstrap(scores: DataFrame, resamples: int = 1000, ci: float = 0.95, seed:
     import numpy as np
 
     keys = list(by)
-    hist = scores.where(F.col("score").isNotNull() & ~F.isnan("score")).groupBy(*keys, F.round("score", 6).alias("v")).agg(F.count("*").alias("c"))
+    hist = cut_lineage(scores.where(F.col("score").isNotNull() & ~F.isnan("score")).groupBy(*keys, F.round("score", 6).alias("v")).agg(F.count("*").alias("c")))  # read twice
     seeded = hist.withColumn("g", F.xxhash64(*keys)).withColumn("seed", F.xxhash64(*keys, "v", F.lit(seed)))
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import citations, goldens, metrics, reports
-from ..session import spread, table
+from ..session import table
 from . import pipeline
 from . import sql as Q
 
@@ -38,8 +38,9 @@ def refusal_confusion(spark, d):
 
 
 def relevance(spark, d):
-    words = _parents(spark, d).select("parent_id", T.word_set(F.col("text")).alias("hit"))
-    gold = spread(_results(spark, d)).select(F.col("result_id").alias("qid"), metrics.gold_words(F.col("contexts")).alias("gold"))
+    # sets of words are many times what the files' sizes let Spark expect, so neither side may be sent through the driver
+    words = _parents(spark, d).select("parent_id", T.word_set(F.col("text")).alias("hit")).hint("merge")
+    gold = _results(spark, d).select(F.col("result_id").alias("qid"), metrics.gold_words(F.col("contexts")).alias("gold")).hint("merge")
     h = _hits(spark, d).join(words, "parent_id")
     return h.join(gold, "qid").select("qid", "rank", F.round(metrics.relevance(F.col("gold"), F.col("hit")), 6).alias("relevance"), F.size("gold").alias("n_gold"))
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from marginalia.operators import chunking, citations, conversation, goldens, layout, links, metrics, providers, reports
 from marginalia.operators import html as H
 from marginalia.operators import retrieval as R
-from marginalia.plans import fixtures, pipeline
+from marginalia.plans import fixtures, pipeline, quality
 from marginalia.sources import corpus, recognised
 
 
@@ -253,6 +253,12 @@ def test_lines_are_shuffled_once_for_figures_and_captions(spark, sf):
     assert plan.count("Exchange hashpartitioning(l_orderkey") == 4 and plan.count("Exchange hashpartitioning(page_id") == 1  # two for lines without a page
 
 
+def test_sets_of_words_are_not_sent_through_the_driver(spark, sf):
+    """The files' sizes tell little of them: at 0.1 GB they were broadcast and filled the driver's memory."""
+    assert "BroadcastHashJoin" not in quality.relevance(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in quality.bootstrap(spark, sf)._jdf.queryExecution().executedPlan().toString()  # scores are made once
+
+
 def test_files_and_stores(spark, tmp_path):
     source, target = tmp_path / "in", tmp_path / "out"
     (source / "deep").mkdir(parents=True)
