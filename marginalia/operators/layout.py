@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -69,29 +68,46 @@ def _in_order(of: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return order, starts, np.diff(starts, append=len(of))
 
 
+def _labels(top: np.ndarray, bottom: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Clusters of figures in order, page after page. Step k takes the figure k of all pages that have so many."""
+    pages = np.argsort(-sizes, kind="stable")
+    starts, sizes = starts[pages], sizes[pages]
+    label = np.zeros(len(top), dtype=np.int32)
+    lo, hi = np.full((len(pages), 1), np.inf), np.full((len(pages), 1), -np.inf)  # bands that no page has yet meet nothing
+    made = np.zeros(len(pages), dtype=np.int64)
+    for k in range(sizes[0] if len(sizes) else 0):
+        n = int(np.searchsorted(-sizes, -k))  # pages of more than k figures
+        lo, hi, made = lo[:n], hi[:n], made[:n]
+        if made.max() == lo.shape[1]:
+            lo, hi = (np.concatenate([x, np.full(x.shape, fill)], axis=1) for x, fill in ((lo, np.inf), (hi, -np.inf)))
+        t, b, row = top[starts[:n] + k], bottom[starts[:n] + k], np.arange(n)
+        meets = (t[:, None] < hi + BAND) & (b[:, None] > lo - BAND)
+        at = meets.argmax(axis=1)
+        new = ~meets[row, at]
+        at = np.where(new, made, at)
+        lo[row, at] = np.where(new, t, np.minimum(lo[row, at], t))
+        hi[row, at] = np.where(new, b, np.maximum(hi[row, at], b))
+        made = made + new
+        label[starts[:n] + k] = at
+    return label
+
+
 def cluster_figures(figures: DataFrame) -> DataFrame:
     """Adds `cluster`: figures of a page by rows. In order of (y, x) a figure joins the first
     cluster whose band, widened by `BAND`, meets its own; clusters grow with their figures.
 
-    `figures`: page_id, fig_id, box. The order matters, so a page is one group; pages hold few.
+    `figures`: page_id, fig_id, box. The order matters, so a page is taken whole by a task; the pages
+    of an Arrow batch are worked through side by side.
     """
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y0", "x0", "fig_id"], kind="stable")
-        bands: list[list[float]] = []
-        label = []
-        for top, bottom in zip(pdf["y0"], pdf["y1"]):
-            k = next((i for i, (a, b) in enumerate(bands) if top < b + BAND and bottom > a - BAND), None)
-            if k is None:
-                bands.append([top, bottom])
-                k = len(bands) - 1
-            else:
-                bands[k] = [min(bands[k][0], top), max(bands[k][1], bottom)]
-            label.append(k)
-        return pdf.assign(cluster=label)[["page_id", "fig_id", "cluster"]]
-
-    f = figures.where("box is not null").select("page_id", "fig_id", F.col("box")[0].alias("x0"), F.col("box")[1].alias("y0"), F.col("box")[3].alias("y1"))
-    return f.groupBy("page_id").applyInPandas(one, "page_id long, fig_id long, cluster int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, x, ids = _flat(batch.column("figs"))
+            order, starts, sizes = _in_order(of, x["y0"], x["x0"], x["no id"], x["id"])
+            label = _labels(x["y0"][order], x["y1"][order], starts, sizes)
+            yield pa.RecordBatch.from_arrays([batch.column("page_id").cast(pa.int64()).take(pa.array(of[order])), ids.take(pa.array(order)), pa.array(label)], ["page_id", "fig_id", "cluster"])
+
+    return _boxed(figures, "fig_id", F.lit(None), "figs").mapInArrow(run, "page_id long, fig_id long, cluster int")
 
 
 def _choices(f: dict[str, np.ndarray], figs: tuple[np.ndarray, np.ndarray, np.ndarray], c: dict[str, np.ndarray], caps: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:

@@ -247,6 +247,19 @@ def test_captions_are_paired_for_many_pages_at_once(spark):
     assert "FlatMapGroups" not in pairs._jdf.queryExecution().executedPlan().toString()  # a call of pandas a page took too long
 
 
+def test_figures_of_many_pages_are_clustered_at_once(spark):
+    f, want = _pages_of_boxes("fig_id", 3), set()
+    for page, figs in _by_page(f[0]).items():
+        bands = []
+        for i, b in sorted(figs, key=lambda x: [(v != v, v) for v in (x[1][1], x[1][0])] + [x[0]]):
+            k = next((k for k, (lo, hi) in enumerate(bands) if b[1] < hi + layout.BAND and b[3] > lo - layout.BAND), len(bands))
+            bands[k:k + 1] = [[min(bands[k][0], b[1]), max(bands[k][1], b[3])] if k < len(bands) else [b[1], b[3]]]
+            want.add((page, i, k))
+    clusters = layout.cluster_figures(spark.createDataFrame(*f))
+    assert set(map(tuple, clusters.collect())) == want and max(x[2] for x in want) > 3
+    assert "FlatMapGroups" not in clusters._jdf.queryExecution().executedPlan().toString()
+
+
 def test_lines_are_shuffled_once_for_figures_and_captions(spark, sf):
     """Boxes aren't made before the shuffle by page, and what is gathered by page isn't shuffled again."""
     plan = fixtures.nearest_caption(spark, sf)._jdf.queryExecution().executedPlan().toString()
