@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from marginalia.operators import chunking, citations, conversation, goldens, layout, links, metrics, providers, reports
 from marginalia.operators import html as H
 from marginalia.operators import retrieval as R
-from marginalia.plans import fixtures, pipeline, quality
+from marginalia.plans import fixtures, pipeline, quality, search
 from marginalia.sources import corpus, recognised
 
 
@@ -266,6 +266,15 @@ def test_lines_are_shuffled_once_for_figures_and_captions(spark, sf):
     assert plan.count("Exchange hashpartitioning(l_orderkey") == 4 and plan.count("Exchange hashpartitioning(page_id") == 1  # two for lines without a page
 
 
+def test_a_sweep_of_weights_makes_its_lists_once(spark, sf):
+    assert search.rrf_alpha_sweep(spark, sf)._jdf.queryExecution().executedPlan().toString().count("MapInPandas ") == 2  # six: two a weight
+    lists = [spark.createDataFrame([(q, f"c{(q * 7 + r * s) % 9}", r) for q in range(4) for r in range(1, 7)], "qid long, child_id string, rank int") for s in (1, 2)]
+    c = spark.createDataFrame([(f"c{i}", f"p{i % 4}", f"text {i // 8}") for i in range(9)], "child_id string, parent_id string, text string")
+    want = {(a, r["qid"], r["parent_id"], r["child_id"], r["score"], r["rank"]) for a in (0.2, 0.8) for r in R.rrf(*lists, c, 3, a).collect()}
+    got = R.rrf_sweep(*lists, c, [0.2, 0.8], 3).select("alpha", "qid", "parent_id", "child_id", "score", "rank").collect()
+    assert set(map(tuple, got)) == want and len(got) == 24
+
+
 def test_sets_of_words_are_not_sent_through_the_driver(spark, sf):
     """The files' sizes tell little of them: at 0.1 GB they were broadcast and filled the driver's memory."""
     assert "BroadcastHashJoin" not in quality.relevance(spark, sf)._jdf.queryExecution().executedPlan().toString()
