@@ -38,11 +38,12 @@ def refusal_confusion(spark, d):
 
 
 def relevance(spark, d):
-    # sets of words are many times what the files' sizes let Spark expect, so neither side may be sent through the driver
-    words = _parents(spark, d).select("parent_id", T.word_set(F.col("text")).alias("hit")).hint("merge")
+    # texts and sets of words are many times what the files' sizes let Spark expect, so they may not be sent through the
+    # driver; texts are shuffled, which are smaller than their words
+    texts = _parents(spark, d).select("parent_id", "text").hint("merge")
     gold = _results(spark, d).select(F.col("result_id").alias("qid"), metrics.gold_words(F.col("contexts")).alias("gold")).hint("merge")
-    h = _hits(spark, d).join(words, "parent_id")
-    return h.join(gold, "qid").select("qid", "rank", F.round(metrics.relevance(F.col("gold"), F.col("hit")), 6).alias("relevance"), F.size("gold").alias("n_gold"))
+    h = _hits(spark, d).select("qid", "rank", "parent_id").join(texts, "parent_id").join(gold, "qid").select("qid", "rank", T.word_set(F.col("text")).alias("hit"), "gold")
+    return h.select("qid", "rank", F.round(metrics.relevance(F.col("gold"), F.col("hit")), 6).alias("relevance"), F.size("gold").alias("n_gold"))
 
 
 def ranking(spark, d):
